@@ -44,7 +44,9 @@ def file_id(value) -> Column:
 
 
 def release_slug(value) -> Column:
-    return F.btrim(F.regexp_replace(text_or_empty(value), "[^A-Za-z0-9_-]+", "_"), F.lit("_"))
+    """Letters, digits and single underscores."""
+    t = F.regexp_replace(strip(text_or_empty(value)), "[^a-zA-Z0-9_]+", "_")
+    return F.btrim(F.regexp_replace(t, "_+", "_"), F.lit("_"))
 
 
 def name_uuid(value, namespace: uuid.UUID = uuid.NAMESPACE_URL) -> Column:
