@@ -10,7 +10,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
 
 DIGITS = 9
 
@@ -34,25 +33,49 @@ def best_rows(scores: np.ndarray, present: np.ndarray | None, k: int) -> tuple[n
     return keep[order[place, query]], query
 
 
+def best_groups(scores: np.ndarray, present: np.ndarray | None, k: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Like :func:`best_rows` for the best row of each group; ``starts`` are the first rows of
+    the groups, rows are in (group, id) order."""
+    ranked = np.round(scores, DIGITS)
+    if present is not None:
+        ranked = np.where(present, ranked, -np.inf)
+    peaks = np.maximum.reduceat(ranked, starts, axis=0)
+    group, query = best_rows(peaks, np.isfinite(peaks), k)
+    ends = np.append(starts[1:], len(scores))
+    rows = [starts[g] + int(np.argmax(ranked[starts[g] : ends[g], q])) for g, q in zip(group, query)]
+    return np.array(rows, dtype=np.int64), query
+
+
 class RunningTop:
-    """Best k (id, score) pairs per query over the blocks of one task."""
+    """Best k (id, score) pairs per query over the blocks of one task.
+
+    With groups, k counts distinct groups and each keeps its best row.
+    """
 
     def __init__(self, queries: int, k: int):
         self.queries, self.k = queries, k
         self.ids: pa.Array | None = None
+        self.groups: pa.Array | None = None
         self.query = np.empty(0, np.int64)
         self.score = np.empty(0)
 
-    def add(self, ids: pa.Array, query: np.ndarray, score: np.ndarray) -> None:
+    def add(self, ids: pa.Array, query: np.ndarray, score: np.ndarray, groups: pa.Array | None = None) -> None:
         if self.ids is not None:
             ids = pa.concat_arrays([self.ids, ids.cast(self.ids.type)])
             query, score = np.concatenate([self.query, query]), np.concatenate([self.score, score])
-        table = pa.table({"q": query, "s": -np.round(score, DIGITS), "i": ids})
-        order = np.asarray(pc.sort_indices(table, sort_keys=[("q", "ascending"), ("s", "ascending"), ("i", "ascending")]))
+            if groups is not None:
+                groups = pa.concat_arrays([self.groups, groups.cast(self.groups.type)])
+        table = pa.table({"q": query, "s": -np.round(score, DIGITS), "g": ids if groups is None else groups, "i": ids})
+        order = np.asarray(pc.sort_indices(table, sort_keys=[(c, "ascending") for c in ("q", "s", "g", "i")]))
+        if groups is not None:
+            codes = np.asarray(groups.dictionary_encode().indices)
+            _, first = np.unique(np.stack([query[order], codes[order]]), axis=1, return_index=True)
+            order = order[np.sort(first)]
         sorted_q = query[order]
         starts = np.searchsorted(sorted_q, np.arange(self.queries))
         keep = order[np.arange(len(order)) - starts[sorted_q] < self.k]
         self.ids, self.query, self.score = ids.take(pa.array(keep)), query[keep], score[keep]
+        self.groups = None if groups is None else groups.take(pa.array(keep))
 
 
 def matrix_of(column: pa.Array, width: int) -> np.ndarray:
@@ -60,7 +83,3 @@ def matrix_of(column: pa.Array, width: int) -> np.ndarray:
     flat = column.flatten() if not isinstance(column, pa.FixedSizeListArray) else column.values
     return np.asarray(flat.cast(pa.float64())).reshape(-1, width)
 
-
-def one_row(df: DataFrame, *columns: str) -> list:
-    """Scalar subqueries for the columns of a one-row aggregate."""
-    return [df.select(c).scalar() for c in columns]

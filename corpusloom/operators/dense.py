@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.values import bind
-from corpusloom.operators.blocks import RunningTop, best_rows, matrix_of
+from corpusloom.operators.blocks import RunningTop, best_groups, best_rows, matrix_of
 from corpusloom.operators.ranking import SCORE_DIGITS, topk
 
 MAX_BROADCAST_VALUES = 16_000_000  # 128 MB of float64
@@ -58,18 +58,28 @@ def _scores(index: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
 
 
 def _permitted(corpora: pa.Array | None, allowed: list | None) -> np.ndarray | None:
-    """(row, query) filter matrix from each query's corpus list; NULL lists allow all."""
+    """(row, query) filter matrix: a row passes if one of its corpora is in the query's list.
+
+    A NULL list allows every row; rows hold one corpus or a list of them.
+    """
     if corpora is None or allowed is None or all(a is None for a in allowed):
         return None
-    names = pc.unique(corpora)
+    rows = len(corpora)
+    if pa.types.is_list(corpora.type):
+        owner = np.repeat(np.arange(rows), np.asarray(pc.fill_null(pc.list_value_length(corpora), 0)))
+        flat = corpora.flatten()
+    else:
+        owner, flat = np.arange(rows), corpora
+    names = pc.unique(flat)
     position = {n: i for i, n in enumerate(names.to_pylist())}
-    table = np.zeros((len(names), len(allowed)), bool)
+    holds = np.zeros((rows, len(names)))
+    holds[owner, np.asarray(pc.index_in(flat, value_set=names), dtype=np.int64)] = 1
+    wanted = np.zeros((len(names), len(allowed)))
     for q, some in enumerate(allowed):
-        if some is None:
-            table[:, q] = True
-        else:
-            table[[position[c] for c in some if c in position], q] = True
-    return table[np.asarray(pc.index_in(corpora, value_set=names))]
+        wanted[[position[c] for c in some or () if c in position and c is not None], q] = 1
+    passed = holds @ wanted > 0
+    passed[:, [q for q, some in enumerate(allowed) if some is None]] = True
+    return passed
 
 
 def _column(batch, name: str) -> pa.Array | None:
@@ -79,30 +89,63 @@ def _column(batch, name: str) -> pa.Array | None:
     return c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
 
 
-def _block_top(index: pa.RecordBatch, queries: np.ndarray, allowed, metric: str, k: int, top: RunningTop) -> None:
+def _block_top(index, queries: np.ndarray, allowed, metric: str, k: int, top: RunningTop) -> None:
     width = queries.shape[1]
     sized = pc.equal(pc.list_value_length(_column(index, "embedding")), width)
     index = index.filter(pc.fill_null(sized, False))
     if index.num_rows == 0:
         return
-    index = index.take(pc.sort_indices(_column(index, "child_id")))
+    grouped = "group_id" in index.schema.names
+    keys = [("group_id", "ascending"), ("child_id", "ascending")] if grouped else [("child_id", "ascending")]
+    index = index.take(pc.sort_indices(index, sort_keys=keys))
     step = max(64, SCORE_CELLS // max(len(queries), 1))
     for start in range(0, index.num_rows, step):
         part = index.slice(start, step)
         scores = _scores(matrix_of(_column(part, "embedding"), width), queries, metric)
-        row, query = best_rows(scores, _permitted(_column(part, "corpus_id"), allowed), k)
-        top.add(_column(part, "child_id").take(pa.array(row)), query, scores[row, query])
+        present = _permitted(_column(part, "corpus_id"), allowed)
+        if grouped:
+            codes = np.asarray(_column(part, "group_id").dictionary_encode().indices)
+            first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+            row, query = best_groups(scores, present, k, first)
+            top.add(_column(part, "child_id").take(pa.array(row)), query, scores[row, query], _column(part, "group_id").take(pa.array(row)))
+        else:
+            row, query = best_rows(scores, present, k)
+            top.add(_column(part, "child_id").take(pa.array(row)), query, scores[row, query])
 
 
 def _result(top: RunningTop, query_ids: pa.Array, schema: pa.Schema) -> pa.RecordBatch | None:
     if top.ids is None or not len(top.ids):
         return None
     columns = [query_ids.take(pa.array(top.query)), top.ids, pa.array(np.round(top.score, SCORE_DIGITS))]
+    if top.groups is not None:
+        columns.insert(2, top.groups)
     return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 def _arrow_type(name: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]
+    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}[name]
+
+
+def _schema(ddl: str) -> pa.Schema:
+    return pa.schema([(name, _arrow_type(kind)) for name, kind in (part.split() for part in ddl.split(", "))])
+
+
+def _partial_topk(index: DataFrame, queries: DataFrame, k: int, metric: str, max_values: int, block_rows: int) -> DataFrame:
+    """Top rows per task; the caller makes the final cut."""
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}")
+    keep = [c for c in ("child_id", "group_id", "embedding", "corpus_id") if c in index.columns]
+    wanted = [c for c in ("query_id", "embedding", "corpus_ids") if c in queries.columns]
+    types = dict(index.dtypes)
+    ddl = f"query_id {dict(queries.dtypes)['query_id']}, child_id {types['child_id']}"
+    ddl += f", group_id {types['group_id']}" if "group_id" in keep else ""
+    ddl += ", score double"
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).first()
+    if not size["n"]:
+        return index.sparkSession.createDataFrame([], ddl)
+    if size["n"] * size["width"] <= max_values:
+        return _broadcast_topk(index.select(*keep), queries.select(*wanted), k, metric, size["width"], ddl)
+    return _blocked_topk(index.select(*keep), queries.select(*wanted), k, metric, size["n"], ddl, block_rows)
 
 
 def vector_topk(
@@ -115,28 +158,24 @@ def vector_topk(
     Vectors of another length than the query batch are skipped.  Runs one small job
     to learn the batch size.
     """
-    if metric not in METRICS:
-        raise ValueError(f"metric must be one of {METRICS}")
-    size = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).first()
-    ddl = f"query_id {dict(queries.dtypes)['query_id']}, child_id {dict(index.dtypes)['child_id']}, score double"
-    if not size["n"]:
-        return topk(index.sparkSession.createDataFrame([], ddl), k)
-    keep = [c for c in ("child_id", "embedding", "corpus_id") if c in index.columns]
-    wanted = [c for c in ("query_id", "embedding", "corpus_ids") if c in queries.columns]
-    if size["n"] * size["width"] <= max_values:
-        partial = _broadcast_topk(index.select(*keep), queries.select(*wanted), k, metric, size["width"], ddl)
-    else:
-        partial = _blocked_topk(index.select(*keep), queries.select(*wanted), k, metric, size["n"], ddl, block_rows)
-    return topk(partial, k)
+    return topk(_partial_topk(index.drop("group_id"), queries, k, metric, max_values, block_rows), k)
 
 
-def _schema(ddl: str) -> pa.Schema:
-    fields = [part.split() for part in ddl.split(", ")]
-    return pa.schema([(n, pa.float64() if t == "double" else _arrow_type(t)) for n, t in fields])
+def vector_topk_groups(
+    index: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", max_values: int = MAX_BROADCAST_VALUES, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """(query_id, group_id, child_id, score, rank): the k best groups of each query by their best row.
+
+    ``index`` has (child_id, group_id, embedding[, corpus_id]).  Each task reduces its
+    rows to groups first, so a group of any size costs one row per query and task.
+    """
+    partial = _partial_topk(index, queries, k, metric, max_values, block_rows)
+    best = topk(partial, 1, ["query_id", "group_id"], "score", "child_id").drop("rank")
+    return topk(best, k, "query_id", "score", "group_id")
 
 
 def _broadcast_topk(index: DataFrame, queries: DataFrame, k: int, metric: str, width: int, ddl: str) -> DataFrame:
-    # bounded by the check in vector_topk
+    # bounded by the check in _partial_topk
     batch = queries.filter(F.size("embedding") == width).toArrow()
     ids = _column(batch, "query_id")
     vectors = matrix_of(_column(batch, "embedding"), width)
@@ -169,15 +208,12 @@ def _blocked_topk(index: DataFrame, queries: DataFrame, k: int, metric: str, n_q
         empty = schema.empty_table()
         if a.num_rows == 0 or b.num_rows == 0:
             return empty
-        ids, vectors = _column(b, "query_id"), _column(b, "embedding")
-        width = int(pc.max(pc.list_value_length(vectors)).as_py())
-        sized = pc.equal(pc.list_value_length(vectors), width)
-        b = b.filter(sized)
-        ids = _column(b, "query_id")
+        width = int(pc.max(pc.list_value_length(_column(b, "embedding"))).as_py())
+        b = b.filter(pc.equal(pc.list_value_length(_column(b, "embedding")), width))
         allowed = b.column("corpus_ids").to_pylist() if "corpus_ids" in b.schema.names else None
-        top = RunningTop(len(ids), k)
+        top = RunningTop(b.num_rows, k)
         _block_top(a.combine_chunks(), matrix_of(_column(b, "embedding"), width), allowed, metric, k, top)
-        out = _result(top, ids, schema)
+        out = _result(top, _column(b, "query_id"), schema)
         return empty if out is None else pa.Table.from_batches([out])
 
     return left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInArrow(score, ddl)
