@@ -9,6 +9,7 @@ from corpusloom.functions.text import SPACE, blank_to_null, col, lines, strip, t
 from corpusloom.functions.unicode import casefold
 from corpusloom.functions.values import BLANK_WORDS, content_id, entries_to_map, entry_value, is_blank, null_if_blank, safe_float
 from corpusloom.operators.documents import front_matter_body, front_matter_entries
+from corpusloom.operators.matching import contained_terms
 from corpusloom.operators.ranking import dedupe_first
 
 # Document types, event types and the keyword lists of the question parser.
@@ -512,13 +513,17 @@ def resolve_timelines(questions: DataFrame, seeds: DataFrame, events: DataFrame,
     seeded = q.join(meetings, "query_id").join(e, "meeting_id").filter(fits).select(*columns)
     free = q.join(meetings.select("query_id").distinct(), "query_id", "left_anti")
     # topics meet events through the topics each event text contains
-    from corpusloom.operators.matching import contained_terms
-
     folded = free.withColumn("_t", casefold("_topic"))
     found = contained_terms(e, "event_id", "_hay", folded.select(F.col("_t").alias("term")))
     by_topic = folded.filter("_t is not null").join(found.withColumnRenamed("term", "_t"), "_t").join(e, "event_id").filter(fits).select(*columns)
     rest = free.join(by_topic.select("query_id").distinct(), "query_id", "left_anti")
-    typed = rest.filter("_kind is not null").join(e.withColumnRenamed("event_type", "_et"), F.col("_kind") == F.col("_et")).withColumnRenamed("_et", "event_type").select(*columns)
+    # questions without a usable topic share the first `limit` events of their type, or of all
+    per_type = Window.partitionBy("event_type").orderBy(*timeline_keys())
+    pool = e.withColumn("_n", F.row_number().over(per_type)).filter(F.col("_n") <= limit).withColumnRenamed("event_type", "_et")
+    typed = rest.filter("_kind is not null").join(pool, F.col("_kind") == F.col("_et")).withColumnRenamed("_et", "event_type").select(*columns)
+    first = e.orderBy(*timeline_keys()).limit(limit).withColumn("_all", F.lit(True))
+    untyped = rest.filter("_kind is null").withColumn("_all", F.lit(True)).join(F.broadcast(first), "_all").select(*columns)
+    typed = typed.unionByName(untyped)
     out = seeded.unionByName(by_topic).unionByName(typed)
     w = Window.partitionBy("query_id").orderBy(*timeline_keys())
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
