@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import col, strip, text_or_empty, unquote
@@ -20,6 +20,16 @@ def bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def each(df: DataFrame, items, *keep, item: str = "_s", pos: str = "_pos") -> DataFrame:
+    """One row per array element with its 0-based position.
+
+    The outer form is used, with the empty case removed afterwards, because the inner
+    form makes the optimizer test the array in a filter and so compute it twice.
+    """
+    out = df.select(*keep, F.posexplode_outer(items).alias(pos, item))
+    return out.filter(F.col(pos).isNotNull())
+
+
 def content_id(*parts, length: int = 16) -> Column:
     """First hex digits of the SHA-1 of the parts joined by two pipes."""
     return F.substring(F.sha1(F.concat_ws("||", *[text_or_empty(p) for p in parts])), 1, length)

@@ -23,7 +23,7 @@ from corpusloom.functions.text import (
     unix_newlines,
     unquote,
 )
-from corpusloom.functions.values import bind, content_id, entry_value, safe_bool, safe_int
+from corpusloom.functions.values import bind, content_id, each, entry_value, safe_bool, safe_int
 
 # Chunking defaults.
 DEFAULTS = {
@@ -403,17 +403,19 @@ def parent_sections(text, title, rules) -> Column:
         F.array(_section(col(title), strip(t)))
     )
     deepest = F.array_max(c["parent_split_levels"])
-    for level in range(2, 7):
 
-        def descend(section: Column, level: int = level) -> Column:
-            nested = bind(
-                heading_sections(section["text"], section["heading_path"], [level]),
-                lambda n: F.when(F.size(n) > 1, n).otherwise(F.array(section)),
-            )
-            due = c["auto_descend"] & (F.lit(level) > deepest) & (F.length(section["text"]) > limit)
-            return F.when(due, nested).otherwise(F.array(section))
+    def descend(section: Column, level: Column) -> Column:
+        nested = bind(
+            heading_sections(section["text"], section["heading_path"], F.array(level)),
+            lambda n: F.when(F.size(n) > 1, n).otherwise(F.array(section)),
+        )
+        due = c["auto_descend"] & (level > deepest) & (F.length(section["text"]) > limit)
+        return F.when(due, nested).otherwise(F.array(section))
 
-        sections = F.flatten(F.transform(sections, descend))
+    # one pass per heading level below the configured ones
+    sections = F.aggregate(
+        F.sequence(F.lit(2), F.lit(6)), sections, lambda acc, level: F.flatten(F.transform(acc, lambda s: descend(s, level)))
+    )
     packed = F.flatten(
         F.transform(
             sections,
@@ -719,7 +721,7 @@ def _carried(df: DataFrame) -> list[str]:
 def parent_rows(chunked: DataFrame, strip_html_tags: bool = True) -> DataFrame:
     """One row per parent section."""
     keep = _carried(chunked)
-    out = chunked.select(*keep, "chunking_method", F.posexplode("sections").alias("_pos", "_s"))
+    out = each(chunked, "sections", *keep, "chunking_method")
     return out.select(
         content_id(
             "corpus_id", "source_file", F.lit("parent"), (F.col("_pos") + 1).cast("string"),
@@ -738,16 +740,16 @@ def parent_rows(chunked: DataFrame, strip_html_tags: bool = True) -> DataFrame:
 def child_rows(chunked: DataFrame, strip_html_tags: bool = True) -> DataFrame:
     """One row per child passage."""
     keep = _carried(chunked)
-    parents = chunked.select(*keep, "chunking_method", F.posexplode("sections").alias("_pos", "_s"))
-    kids = parents.select(
-        *keep, "chunking_method",
+    parents = each(chunked, "sections", *keep, "chunking_method")
+    kids = each(
+        parents, "_s.children", *keep, "chunking_method",
         content_id(
             "corpus_id", "source_file", F.lit("parent"), (F.col("_pos") + 1).cast("string"),
             F.col("_s.parent_marker_id"), F.col("_s.heading_path"),
         ).alias("parent_id"),
         F.col("_s.parent_marker_id").alias("parent_marker_id"),
         (F.col("_pos") + 1).alias("parent_no"),
-        F.posexplode("_s.children").alias("_cpos", "_c"),
+        item="_c", pos="_cpos",
     )
     clean = kids.withColumn("_t", clean_markup(F.col("_c.text"), strip_html_tags))
     return clean.select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import SPACE, blank_to_null, col, lines, strip, table_row, text_or_empty, unix_newlines, unquote
 from corpusloom.functions.unicode import casefold
-from corpusloom.functions.values import BLANK_WORDS, content_id, entries_to_map, entry_value, is_blank, null_if_blank, safe_float
+from corpusloom.functions.values import BLANK_WORDS, content_id, each, entries_to_map, entry_value, is_blank, null_if_blank, safe_float
 from corpusloom.operators.documents import front_matter_body, front_matter_entries
 from corpusloom.operators.matching import contained_terms
 from corpusloom.operators.ranking import dedupe_first
@@ -185,7 +185,7 @@ def slides(meetings: DataFrame) -> DataFrame:
     """One row per ``# Slide n: title`` of the slide decks."""
     decks = accepted(meetings).filter("document_type = 'meeting_slide_deck'")
     parts = F.filter(F.split(F.concat(F.lit("\n"), "body"), r"(?U)\n(?=#[^\S\n]+Slide[^\S\n]+\d+)", -1), lambda p: F.rlike(p, F.lit(r"(?U)^#\s+Slide\s+\d")))
-    rows = decks.select(*META, "markdown_file", "document_type", F.posexplode(parts).alias("_p", "_block"))
+    rows = each(decks, parts, *META, "markdown_file", "document_type", item="_block", pos="_p")
     rows = rows.withColumn("_head", F.split_part("_block", F.lit("\n"), F.lit(1))).withColumn("_s", h2_sections("_block"))
     s = F.col("_s")
     rows = rows.withColumn("_m", key_values(F.coalesce(entry_value(s, "slide_metadata"), F.lit(""))))
@@ -213,7 +213,7 @@ def minutes_sections(meetings: DataFrame) -> DataFrame:
     """One row per agenda section of the minutes."""
     docs = accepted(meetings).filter("document_type = 'meeting_minutes'")
     parts = F.split(F.concat(F.lit("\n"), "body"), r"(?U)\n(?=#[^\S\n]+\S)", -1)
-    rows = docs.select(*META, "markdown_file", "document_type", F.posexplode(parts).alias("section_no", "_block"))
+    rows = each(docs, parts, *META, "markdown_file", "document_type", item="_block", pos="section_no")
     rows = rows.withColumn("section_title", strip(F.regexp_extract("_block", r"(?U)^#[^\S\n]+([^\n]+)", 1)))
     rows = rows.filter(F.contains("section_title", F.lit("議題")) | F.col("section_title").startswith("Agenda"))
     rows = rows.withColumn("_s", h2_sections("_block"))
@@ -265,7 +265,7 @@ def _event(rows: DataFrame, event_type: Column, topic: Column, summary: Column,
 
 def slide_events(slide_rows: DataFrame) -> DataFrame:
     """Proposed events of slides; unknown types are proposals, decisions are downgraded."""
-    rows = slide_rows.select("*", F.posexplode("proposed_events").alias("_p", "item"))
+    rows = each(slide_rows, "proposed_events", "*", item="item", pos="_p")
     raw = F.lower(unquote(F.coalesce(_either(F.col("item"), "event_type", "type"), F.lit("proposal"))))
     rows = rows.withColumn("_raw", raw).filter(~F.col("_raw").isin("", "none")).withColumn("_summary", _first_value(F.col("item"), SLIDE_SUMMARY)).filter("_summary <> ''")
     kind = F.when(F.col("_raw").isin(EVENT_TYPES) & (F.col("_raw") != "decision"), F.col("_raw")).otherwise(F.lit("proposal"))
@@ -284,7 +284,7 @@ def minutes_events(minutes_rows: DataFrame) -> DataFrame:
         ]
     )
     base = minutes_rows.withColumn("warning", F.lit(None).cast("string"))
-    long = base.withColumn("_l", F.explode(lists)).select("*", F.posexplode("_l.items").alias("_p", "item"))
+    long = each(base.withColumn("_l", F.explode_outer(lists)), "_l.items", "*", item="item", pos="_p")
     summary = F.coalesce(*[F.when(F.col("_l.kind") == kind, _first_value(F.col("item"), keys)) for _, kind, keys in MINUTES_LISTS])
     long = long.withColumn("_summary", summary).filter("_summary <> ''").withColumn("_kind", F.col("_l.kind")).withColumn("_list", F.col("_l.list"))
     shared = F.coalesce(F.col("topic"), F.col("agenda"), F.col("section_title"))
@@ -308,7 +308,7 @@ def explicit_events(meetings: DataFrame) -> DataFrame:
     """Events listed under ``# meeting_events`` in the minutes."""
     docs = accepted(meetings).filter("document_type = 'meeting_minutes'")
     listed = F.regexp_extract(F.concat(F.lit("\n"), "body"), r"(?s)\n#[ \t]+meeting_events[ \t]*\n(.*)", 1)
-    rows = docs.withColumn("warning", F.lit(None).cast("string")).select("*", F.posexplode(list_items(listed)).alias("_p", "item"))
+    rows = each(docs.withColumn("warning", F.lit(None).cast("string")), list_items(listed), "*", item="item", pos="_p")
     rows = rows.withColumn("_kind", F.lower(unquote(F.coalesce(entry_value(F.col("item"), "event_type"), F.lit(""))))).filter(F.col("_kind").isin(EVENT_TYPES))
     rows = rows.withColumn("_summary", _first_value(F.col("item"), ["event_summary", "summary", "text"])).filter("_summary <> ''")
     refs = _ref(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import blank_to_null, col, lines, natural_sort_key, squeeze, strip, text_or_empty
 from corpusloom.functions.unicode import html_unescape, html_unescape_lines
-from corpusloom.functions.values import bind, file_id
+from corpusloom.functions.values import bind, each, file_id
 from corpusloom.operators.ranking import ordinal
 from corpusloom.session import cut_lineage
 
@@ -226,7 +226,7 @@ def page_links(pages: DataFrame, order: str = "page_id") -> DataFrame:
             F.when(keep, F.concat(s["out"], F.array(link))).otherwise(s["out"]).alias("out"),
         )
 
-    found = pages.select(order, F.col("url").alias("source_url"), F.posexplode(F.aggregate(parts, first, step, lambda s: s["out"])).alias("position", "_l"))
+    found = each(pages, F.aggregate(parts, first, step, lambda s: s["out"]), order, F.col("url").alias("source_url"), item="_l", pos="position")
     decoded = found.withColumn("_text", squeeze(html_unescape(F.col("_l.text"))))
     return decoded.select(
         order, "source_url", "position", resolve_url("source_url", html_unescape(F.col("_l.href"))).alias("url"),
