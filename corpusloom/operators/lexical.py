@@ -1,6 +1,6 @@
 """BM25 (Okapi) over child passages for batches of queries.
 
-Document frequencies are one map-side-combined aggregation over distinct tokens.
+Term and passage counts come from one map-side-combined aggregation (the lexicon).
 Scoring has two exact plans with the same result:
 
 * the query batch is small enough (checked): its term matrix is broadcast and every
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import retrieval_tokens
 from corpusloom.operators.blocks import RunningTop, best_rows
 from corpusloom.operators.ranking import SCORE_DIGITS, topk
+from corpusloom.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -49,20 +50,26 @@ def postings(tokenized: DataFrame) -> DataFrame:
     return tokenized.select("child_id", "dl", F.explode("tokens").alias("term")).groupBy("child_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def term_frequencies(tokenized: DataFrame) -> DataFrame:
-    """(term, df): each passage counts once."""
-    return tokenized.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+def build_lexicon(tokenized: DataFrame) -> DataFrame:
+    """(term, df, total_length) in one pass; the row without a term holds the number of
+    passages and their summed length.
+
+    Every passage adds each of its terms once.  Counts combine map-side, so a term found
+    everywhere shuffles one row per task.
+    """
+    marked = F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string")))
+    return tokenized.select("dl", F.explode(marked).alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("total_length"))
 
 
-def corpus_stats(tokenized: DataFrame) -> DataFrame:
+def corpus_stats(lexicon: DataFrame) -> DataFrame:
     """One row: number of passages and mean length."""
-    return tokenized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    return lexicon.filter("term is null").select(F.col("df").alias("n"), (F.col("total_length") / F.col("df")).alias("avgdl"))
 
 
-def inverse_frequencies(df_table: DataFrame, stats: DataFrame, okapi: Okapi = Okapi()) -> DataFrame:
+def inverse_frequencies(lexicon: DataFrame, okapi: Okapi = Okapi()) -> DataFrame:
     """(term, df, idf)."""
-    n = stats.select("n").scalar()
-    raw = df_table.withColumn("idf", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    n = corpus_stats(lexicon).select("n").scalar()
+    raw = lexicon.filter("term is not null").select("term", "df", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     mean = raw.agg(F.avg("idf").alias("m")).select("m").scalar()
     return raw.withColumn("idf", F.when(F.col("idf") < 0, mean * okapi.epsilon).otherwise(F.col("idf")))
 
@@ -104,17 +111,17 @@ def _block_scorer(terms: list[str], query_ids: pa.Array, weights: np.ndarray, av
 
 
 def bm25_topk(
-    tokenized: DataFrame, terms: DataFrame, k: int, okapi: Okapi = Okapi(), idf: DataFrame | None = None,
-    stats: DataFrame | None = None, max_cells: int = MAX_BROADCAST_CELLS,
+    tokenized: DataFrame, terms: DataFrame, k: int, okapi: Okapi = Okapi(), lexicon: DataFrame | None = None, max_cells: int = MAX_BROADCAST_CELLS
 ) -> DataFrame:
     """(query_id, child_id, score, rank): the k best passages of each query.
 
-    Passages sharing no term with a query are not returned for it.  Runs a small job
-    to read the query batch when it fits the broadcast bound.
+    Passages sharing no term with a query are not returned for it.  ``lexicon`` is a
+    stored :func:`build_lexicon` table; without one it is built and checkpointed here, so
+    that the passages are read twice (once to count, once to score) and no more.
     """
-    stats = corpus_stats(tokenized) if stats is None else stats
-    idf = inverse_frequencies(term_frequencies(tokenized), stats, okapi) if idf is None else idf
-    batch = terms.join(idf.select("term", "idf"), "term")
+    lexicon = cut_lineage(build_lexicon(tokenized)) if lexicon is None else lexicon
+    stats = corpus_stats(lexicon)
+    batch = terms.join(inverse_frequencies(lexicon, okapi).select("term", "idf"), "term")
     size = terms.agg(F.count_distinct("term").alias("v"), F.count_distinct("query_id").alias("q")).first()
     if size["v"] * size["q"] > max_cells:
         return topk(bm25_scores_by_join(tokenized, batch, stats, okapi), k)
@@ -132,11 +139,12 @@ def _bm25_broadcast(tokenized: DataFrame, batch: DataFrame, stats: DataFrame, ok
     ddl = f"query_id {dict(batch.dtypes)['query_id']}, child_id {dict(tokenized.dtypes)['child_id']}, score double"
     query_ids = pc.unique(rows.column("query_id"))
     words = pc.unique(rows.column("term"))
-    if rows.num_rows == 0:
+    measured = stats.first()
+    if rows.num_rows == 0 or measured is None:
         return spark.createDataFrame([], ddl)
     weights = np.zeros((len(words), len(query_ids)))
     weights[np.asarray(pc.index_in(rows.column("term"), value_set=words)), np.asarray(pc.index_in(rows.column("query_id"), value_set=query_ids))] = np.asarray(rows.column("w"))
-    avgdl = float(stats.first()["avgdl"])
+    avgdl = float(measured["avgdl"])
     scorer = _block_scorer(words.to_pylist(), query_ids, weights, avgdl, okapi, k, schema)
     return tokenized.select("child_id", "tokens", "dl").mapInArrow(scorer, ddl)
 

@@ -26,7 +26,7 @@ AS_OF = "2024-06-30"
 PASSAGES = f"""cut AS (SELECT doc_id, lang, source, split_part(text, chr(10), 1) AS title, unnest(range(0, greatest((length(text) - 121) // 780, 0) + 1)) AS n, text FROM documents),
 kept AS (SELECT * REPLACE ({strip_sql("substr(text, n * 780 + 1, 900)")} AS text) FROM cut),
 vecs AS (SELECT count(*) AS total FROM embeddings),
-passages AS (SELECT {id_sql("'doc/' || doc_id || '.md'", "'child'", "seq::VARCHAR")} AS child_id, {id_sql("'doc/' || doc_id || '.md'", "'parent'")} AS parent_id, doc_id, source AS corpus_id, title,
+passages AS MATERIALIZED (SELECT {id_sql("'doc/' || doc_id || '.md'", "'child'", "seq::VARCHAR")} AS child_id, {id_sql("'doc/' || doc_id || '.md'", "'parent'")} AS parent_id, doc_id, source AS corpus_id, title,
     lang || ' > part ' || seq // 8 AS heading_path, text, (doc_id * 7 + seq) % (SELECT total FROM vecs) AS vec_id,
     CASE WHEN doc_id % 10 = 4 THEN '2025-01-01' WHEN doc_id % 10 = 5 THEN 'unknown' ELSE '' END AS valid_from, CASE WHEN doc_id % 10 = 3 THEN '2023-12-31' ELSE '' END AS valid_until,
     {strip_sql("title || chr(10) || lang || ' > part ' || seq // 8 || chr(10) || text")} AS search_text
@@ -70,23 +70,28 @@ def current(spark, sf_dir) -> DataFrame:
 # ---------------------------------------------------------------- SQL twins
 
 
-def tokens_sql(x: str) -> str:
-    low = f"lower({x})"
+def tokens_sql(low: str, chars: str) -> str:
+    """Tokens of a lower-cased text column and the list of its characters."""
     return (
         f"regexp_extract_all({low}, '[a-zA-Z0-9_]+|[\\x{{3040}}-\\x{{30ff}}\\x{{3400}}-\\x{{9fff}}]') || "
-        f"list_filter(list_transform(range(1, length({low})), lambda ti: substr({low}, ti, 2)), lambda tp: NOT regexp_matches(tp, '^\\s\\s$'))[1:1000]"
+        f"list_filter(list_transform(list_zip({chars}[:-2], {chars}[2:]), lambda z: z[1] || z[2]), lambda tp: trim(tp, ' ' || chr(10) || chr(9)) <> '')[1:1000]"
     )
 
 
-BM25 = f"""tok AS (SELECT child_id, {tokens_sql('search_text')} AS tokens FROM passages),
-dl AS (SELECT child_id, len(tokens) AS dl FROM tok),
-post AS (SELECT child_id, term, count(*) AS tf FROM (SELECT child_id, unnest(tokens) AS term FROM tok) GROUP BY ALL),
-st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
-raw_idf AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM (SELECT term, count(*) AS df FROM post GROUP BY term), st),
-idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM raw_idf) ELSE idf END AS idf FROM raw_idf),
-qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({tokens_sql('text')}) AS term FROM benchmark) GROUP BY ALL),
-lex AS (SELECT query_id, child_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM post JOIN qt USING (term) JOIN idf USING (term) JOIN dl USING (child_id), st GROUP BY ALL),
-lex20 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, child_id) AS rank FROM lex QUALIFY rank <= 20),
+QUESTION_TOKENS = f"""qlow AS (SELECT item_id, lower(text) AS low, string_split(lower(text), '') AS chars FROM benchmark),
+qtok AS MATERIALIZED (SELECT item_id, {tokens_sql('low', 'chars')} AS tokens FROM qlow)"""
+BM25 = f"""plow AS MATERIALIZED (SELECT child_id, lower(search_text) AS low, string_split(lower(search_text), '') AS chars FROM passages),
+tok AS MATERIALIZED (SELECT child_id, {tokens_sql('low', 'chars')} AS tokens FROM plow),
+{QUESTION_TOKENS},
+post AS MATERIALIZED (SELECT child_id, term, count(*) AS tf FROM (SELECT child_id, unnest(tokens) AS term FROM tok) GROUP BY ALL),
+st AS MATERIALIZED (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM tok),
+raw_idf AS MATERIALIZED (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM (SELECT term, count(*) AS df FROM post GROUP BY term), st),
+mean_idf AS MATERIALIZED (SELECT avg(idf) AS mi FROM raw_idf),
+qt AS MATERIALIZED (SELECT query_id, term, count(*) AS qtf, any_value(CASE WHEN idf < 0 THEN 0.25 * mi ELSE idf END) AS idf
+    FROM (SELECT item_id AS query_id, unnest(tokens) AS term FROM qtok) JOIN raw_idf USING (term), mean_idf GROUP BY ALL),
+gain AS MATERIALIZED (SELECT child_id, term, tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(tokens) / avgdl)) AS g FROM post JOIN tok USING (child_id), st WHERE term IN (SELECT term FROM qt)),
+lex AS MATERIALIZED (SELECT query_id, child_id, round(sum(qtf * idf * g), 9) AS score FROM gain JOIN qt USING (term) GROUP BY ALL),
+lex20 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, child_id) AS rank FROM lex QUALIFY rank <= 20),
 lexn AS (SELECT l.*, l.score / max(l.score) OVER (PARTITION BY query_id) AS bm25_score FROM lex20 l),
 lexf AS (SELECT l.query_id, l.child_id, bm25_score FROM lexn l JOIN passages p USING (child_id) WHERE {CURRENT})"""
 
@@ -97,13 +102,13 @@ def distance_sql(a: str, b: str) -> str:
 
 VECTORS = """ev AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 qv AS (SELECT item_id AS query_id, e FROM benchmark JOIN ev ON vec_id = item_id),
-pv AS (SELECT query_id, vec_id, round(1 / (1 + greatest(list_inner_product(ev.e, ev.e) + list_inner_product(qv.e, qv.e) - 2 * list_inner_product(ev.e, qv.e), 0)), 9) AS s FROM ev, qv),
+pv AS MATERIALIZED (SELECT query_id, vec_id, round(1 / (1 + greatest(list_inner_product(ev.e, ev.e) + list_inner_product(qv.e, qv.e) - 2 * list_inner_product(ev.e, qv.e), 0)), 9) AS s FROM ev, qv),
 dall AS (SELECT query_id, child_id, parent_id, doc_id, s AS score FROM passages JOIN pv USING (vec_id))"""
-DENSE = f"""dtop AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, child_id) AS rank FROM dall QUALIFY rank <= 60),
+DENSE = f"""dtop AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, child_id) AS rank FROM dall QUALIFY rank <= 60),
 densef AS (SELECT query_id, child_id, score AS dense_score FROM dtop WHERE {CURRENT})"""
-FUSED = """fused AS (SELECT query_id, child_id, coalesce(dense_score, 0) AS dense_score, coalesce(bm25_score, 0) AS bm25_score,
+FUSED = """fused AS MATERIALIZED (SELECT query_id, child_id, coalesce(dense_score, 0) AS dense_score, coalesce(bm25_score, 0) AS bm25_score,
     0.65 * coalesce(dense_score, 0) + 0.35 * coalesce(bm25_score, 0) AS score FROM densef FULL JOIN lexf USING (query_id, child_id)),
-ranked AS (SELECT f.*, parent_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, child_id) AS rank FROM fused f JOIN passages USING (child_id))"""
+ranked AS MATERIALIZED (SELECT f.*, parent_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, child_id) AS rank FROM fused f JOIN passages USING (child_id))"""
 
 
 def diversified_sql(source: str, k: int, name: str = "final") -> str:
@@ -114,6 +119,7 @@ def diversified_sql(source: str, k: int, name: str = "final") -> str:
 
 
 LEXICAL = [PASSAGES, BM25]
+RAW = "query_id, child_id, rank, round(score, 3) AS score"  # raw lexical scores are large
 HYBRID = [PASSAGES, BM25, VECTORS, DENSE, FUSED]
 SCORED = "query_id, child_id, rank, round(score, 6) AS score"
 
@@ -121,7 +127,7 @@ SCORED = "query_id, child_id, rank, round(score, 6) AS score"
 RERANK_SQL = "rr AS (SELECT query_id, child_id, ((query_id * 31 + doc_id * 17) % 97) / 97.0::DOUBLE AS rerank_score FROM ranked WHERE rank <= 40 AND doc_id % 10 <> 1)"
 MERGED = """mg1 AS (SELECT k.* , CASE WHEN k.rank <= 8 THEN r.rerank_score END AS rerank_score FROM ranked k LEFT JOIN rr r USING (query_id, child_id) WHERE k.rank <= 40),
 mg2 AS (SELECT *, max(rerank_score IS NOT NULL) OVER (PARTITION BY query_id) AS anyr FROM mg1),
-merged AS (SELECT query_id, child_id, parent_id, rerank_score, coalesce(rerank_score, score) AS score, CASE WHEN anyr AND rank <= 8 THEN score END AS hybrid_score,
+merged AS MATERIALIZED (SELECT query_id, child_id, parent_id, rerank_score, coalesce(rerank_score, score) AS score, CASE WHEN anyr AND rank <= 8 THEN score END AS hybrid_score,
     row_number() OVER (PARTITION BY query_id ORDER BY rank > 8, CASE WHEN rank <= 8 AND anyr THEN round(coalesce(rerank_score, score), 9) END DESC NULLS LAST, rank) AS rank FROM mg2)"""
 
 
@@ -160,7 +166,7 @@ def rerank_scores(ranked: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- lexical
 
 
-@query("tokenize", f"SELECT item_id, n, t AS token FROM (SELECT item_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS n FROM (SELECT item_id, {tokens_sql('text')} AS ts FROM benchmark))")
+@query("tokenize", ctes(QUESTION_TOKENS) + "SELECT item_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS n FROM qtok")
 def tokenize(spark, sf_dir):
     rows = each(load(spark, sf_dir, "benchmark"), retrieval_tokens("text"), "item_id", item="token", pos="_p")
     return rows.select("item_id", (F.col("_p") + 1).alias("n"), "token")
@@ -176,9 +182,9 @@ def query_terms(spark, sf_dir):
     return each(load(spark, sf_dir, "benchmark"), match_terms("text"), "item_id", item="term").select("item_id", "term")
 
 
-@query("bm25_topk", ctes(*LEXICAL) + f"SELECT {SCORED} FROM lex20")
+@query("bm25_topk", ctes(*LEXICAL) + "SELECT query_id, child_id, rank, round(score, 3) AS score FROM lex20")
 def bm25_topk(spark, sf_dir):
-    return lexical(spark, sf_dir).withColumn("score", F.round("score", 6))
+    return lexical(spark, sf_dir).withColumn("score", F.round("score", 3))
 
 
 @query("bm25_normalized", ctes(*LEXICAL) + "SELECT query_id, child_id, round(bm25_score, 6) AS bm25_score FROM lexf")
@@ -188,10 +194,10 @@ def bm25_normalized(spark, sf_dir):
     return rows.select("query_id", "child_id", F.round("bm25_score", 6).alias("bm25_score"))
 
 
-@query("topk", ctes(*LEXICAL) + f"SELECT {SCORED} FROM lex20 WHERE rank <= 8")
+@query("topk", ctes(*LEXICAL) + f"SELECT {RAW} FROM lex20 WHERE rank <= 8")
 def topk(spark, sf_dir):
     rows = X.bm25_topk(X.tokenize(passages(spark, sf_dir)), X.query_terms(questions(spark, sf_dir)), 8)
-    return rows.withColumn("score", F.round("score", 6))
+    return rows.withColumn("score", F.round("score", 3))
 
 
 def _ranked_lexical(spark, sf_dir) -> DataFrame:
@@ -201,14 +207,14 @@ def _ranked_lexical(spark, sf_dir) -> DataFrame:
 _LEXP = "lexp AS (SELECT query_id, child_id, parent_id, rank, l.score FROM lex20 l JOIN passages USING (child_id))"
 
 
-@query("diversify", ctes(*LEXICAL, _LEXP, diversified_sql("lexp", 8)) + f"SELECT {SCORED} FROM final")
+@query("diversify", ctes(*LEXICAL, _LEXP, diversified_sql("lexp", 8)) + f"SELECT {RAW} FROM final")
 def diversify(spark, sf_dir):
-    return R.diversify(_ranked_lexical(spark, sf_dir), 8).select("query_id", "child_id", "rank", F.round("score", 6).alias("score"))
+    return R.diversify(_ranked_lexical(spark, sf_dir), 8).select("query_id", "child_id", "rank", F.round("score", 3).alias("score"))
 
 
-@query("parent_dedupe", ctes(*LEXICAL, _LEXP) + f"SELECT {SCORED} FROM (SELECT *, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY rank) AS nth FROM lexp) WHERE nth = 1")
+@query("parent_dedupe", ctes(*LEXICAL, _LEXP) + f"SELECT {RAW} FROM (SELECT *, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY rank) AS nth FROM lexp) WHERE nth = 1")
 def parent_dedupe(spark, sf_dir):
-    return R.parent_dedupe(_ranked_lexical(spark, sf_dir)).select("query_id", "child_id", "rank", F.round("score", 6).alias("score"))
+    return R.parent_dedupe(_ranked_lexical(spark, sf_dir)).select("query_id", "child_id", "rank", F.round("score", 3).alias("score"))
 
 
 @query(
