@@ -1 +1,246 @@
-"""Queries."""
+"""Approved answers: four wordings per answer made from ``embeddings``, asked by ``benchmark``."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpusloom.functions.text import normalize_question
+from corpusloom.operators import answers as A
+from corpusloom.operators import logs as L
+from corpusloom.operators import ranking as R
+from corpusloom.plans.catalog import ctes, load, query
+
+NOW = "2024-02-01T00:00:00"
+RULES = A.Matching(corpus_version="v1", index_version="i1")
+
+TABLES = """qa AS (SELECT DISTINCT vec_id // 4 AS id, CASE WHEN (vec_id // 4) % 8 = 7 THEN 'disabled' ELSE 'approved' END AS status, 'Question ' || vec_id // 4 AS question, 'Answer ' || (vec_id // 4) % 9 AS answer,
+    CASE WHEN (vec_id // 4) % 6 = 5 THEN 'v0' ELSE 'v1' END AS corpus_version, 'i1' AS index_version, (vec_id // 4) % 5 <> 0 AS has_evidence, 'c' || (vec_id // 4) % 3 AS corpus_id FROM embeddings),
+aliases AS (SELECT vec_id AS id, vec_id // 4 AS qa_id, CASE WHEN vec_id % 9 = 4 THEN 'disabled' ELSE 'active' END AS status, 'Alias ' || vec_id % 397 AS alias_text, 'alias ' || vec_id % 397 AS normalized_text,
+    CASE vec_id % 4 WHEN 0 THEN 'original' WHEN 1 THEN 'llm_paraphrase' WHEN 2 THEN 'admin_alias' ELSE 'normalized' END AS alias_type, embedding::DOUBLE[] AS e FROM embeddings),
+asked AS (SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN 'ALIAS   ' || item_id * 5 % 97 ELSE text END AS question,
+    list_transform(list_zip(a.e, b.e), lambda z: z[1] + (item_id % 4) * 0.2 * z[2]) AS e FROM benchmark JOIN aliases a ON a.id = item_id JOIN aliases b ON b.id = item_id + 1)"""
+SNAP = """snap AS (SELECT a.id AS alias_id, qa_id, alias_type, normalized_text, e FROM aliases a JOIN qa ON qa.id = qa_id WHERE a.status = 'active' AND qa.status = 'approved' AND corpus_version = 'v1' AND index_version = 'i1')"""
+CANDIDATES = """sims AS (SELECT query_id, qa_id, alias_id, alias_type, round(list_inner_product(asked.e, snap.e) / sqrt(list_inner_product(asked.e, asked.e) * list_inner_product(snap.e, snap.e)), 9) AS similarity FROM asked, snap),
+best AS (SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY query_id, qa_id ORDER BY similarity DESC, alias_id) = 1),
+cand AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, qa_id) AS rank FROM best QUALIFY rank <= 10)"""
+EXACT = """keyed AS (SELECT query_id, lower(trim(regexp_replace(question, '\\s+', ' ', 'g'))) AS norm FROM asked),
+pairs AS (SELECT query_id, qa_id, min(alias_id) AS alias_id FROM keyed JOIN snap ON norm = normalized_text GROUP BY ALL),
+exact AS (SELECT query_id, count(*) AS qa_count, arg_min(qa_id, alias_id) AS qa_id, min(alias_id) AS alias_id, CASE WHEN count(*) = 1 THEN 'hit' ELSE 'gray' END AS decision,
+    CASE WHEN count(*) > 1 THEN 'alias_conflict' END AS miss_reason FROM pairs GROUP BY query_id)"""
+DECIDED = """top1 AS (SELECT c.*, similarity - coalesce(lead(similarity) OVER (PARTITION BY query_id ORDER BY rank), similarity - 1) AS margin FROM cand c),
+decided AS (SELECT query_id, qa_id, alias_id, alias_type, similarity, margin, CASE WHEN similarity < 0.82 THEN 'miss' WHEN similarity >= 0.88 AND margin >= 0.03 THEN 'hit' ELSE 'gray' END AS decision,
+    CASE WHEN similarity < 0.82 THEN 'below_gray_threshold' WHEN similarity >= 0.88 AND margin >= 0.03 THEN NULL WHEN margin < 0.03 THEN 'margin_too_small' ELSE 'below_accept_threshold' END AS miss_reason FROM top1 WHERE rank = 1),
+matched AS (SELECT query_id, qa_id, alias_id, 1.0::DOUBLE AS similarity, 1.0::DOUBLE AS margin, decision, miss_reason, 'normalized_exact' AS match_method FROM exact
+    UNION ALL SELECT query_id, qa_id, alias_id, similarity, margin, decision, miss_reason, CASE WHEN alias_type = 'original' THEN 'original_semantic' ELSE 'alias_semantic' END FROM decided WHERE query_id NOT IN (SELECT query_id FROM exact))"""
+
+
+def qa_table(spark, sf_dir) -> DataFrame:
+    n = F.col("id")
+    e = load(spark, sf_dir, "embeddings").filter("vec_id % 4 = 0").select(F.floor(F.col("vec_id") / 4).cast("bigint").alias("id"), "embedding")
+    none = F.array().cast("array<struct<corpus_id:string,title:string>>")
+    evidence = F.when(n % 5 == 0, none).otherwise(F.array(F.struct(F.concat(F.lit("c"), (n % 3).cast("string")).alias("corpus_id"), F.lit("t").alias("title"))))
+    return e.select(
+        "id", F.when(n % 8 == 7, "disabled").otherwise("approved").alias("status"), F.concat(F.lit("Question "), n.cast("string")).alias("question"),
+        F.concat(F.lit("Answer "), (n % 9).cast("string")).alias("answer"), "embedding", evidence.alias("evidence"), F.when(n % 6 == 5, "v0").otherwise("v1").alias("corpus_version"),
+        F.lit("i1").alias("index_version"), F.lit("").alias("memo"), F.lit(False).alias("needs_alias_review"), F.lit("").alias("updated_at"),
+    )
+
+
+def alias_table(spark, sf_dir) -> DataFrame:
+    v = F.col("vec_id")
+    kind = F.when(v % 4 == 0, "original").when(v % 4 == 1, "llm_paraphrase").when(v % 4 == 2, "admin_alias").otherwise("normalized")
+    text = F.concat(F.lit("Alias "), (v % 397).cast("string"))
+    return load(spark, sf_dir, "embeddings").select(
+        v.alias("id"), F.floor(v / 4).cast("bigint").alias("qa_id"), F.when(v % 9 == 4, "disabled").otherwise("active").alias("status"), text.alias("alias_text"),
+        F.lower(text).alias("normalized_text"), kind.alias("alias_type"), "embedding", F.lit("").alias("memo"), F.lit("").alias("created_at"), F.lit("").alias("updated_at"),
+        F.array().cast("array<string>").alias("risk_flags"),
+    )
+
+
+def asked(spark, sf_dir) -> DataFrame:
+    e = load(spark, sf_dir, "embeddings")
+    first = e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("_a"))
+    second = e.select((F.col("vec_id") - 1).alias("item_id"), F.col("embedding").alias("_b"))
+    b = load(spark, sf_dir, "benchmark").join(first, "item_id").join(second, "item_id")
+    i = F.col("item_id")
+    return b.select(
+        i.alias("query_id"), F.when(i % 3 == 0, F.concat(F.lit("ALIAS   "), (i * 5 % 97).cast("string"))).otherwise(F.col("text")).alias("question"),
+        F.zip_with("_a", "_b", lambda x, y: x.cast("double") + (i % 4) * F.lit(0.2) * y.cast("double")).alias("embedding"),
+    )
+
+
+def snapshot(spark, sf_dir) -> DataFrame:
+    return A.in_version(A.active_aliases(qa_table(spark, sf_dir), alias_table(spark, sf_dir)), RULES)
+
+
+@query("alias_join", ctes(TABLES) + "SELECT a.id AS alias_id, qa_id, alias_text, question FROM aliases a JOIN qa ON qa.id = qa_id WHERE a.status = 'active' AND qa.status = 'approved'")
+def alias_join(spark, sf_dir):
+    return A.active_aliases(qa_table(spark, sf_dir), alias_table(spark, sf_dir)).select("alias_id", "qa_id", "alias_text", "question")
+
+
+@query("missing_alias", ctes(TABLES) + "SELECT id, question FROM qa WHERE status = 'approved' AND NOT EXISTS (SELECT 1 FROM aliases a WHERE a.qa_id = qa.id AND alias_type = 'llm_paraphrase' AND a.status = 'active')")
+def missing_alias(spark, sf_dir):
+    return A.missing_alias(qa_table(spark, sf_dir), alias_table(spark, sf_dir), "llm_paraphrase").select("id", "question")
+
+
+@query(
+    "alias_conflicts",
+    ctes(TABLES)
+    + """SELECT normalized_text, count(DISTINCT qa_id) AS qa_count, array_to_string(list_sort(list(DISTINCT qa_id)), ',') AS qa_ids, array_to_string(list_sort(list(DISTINCT alias_text)), ' | ') AS alias_texts
+    FROM aliases WHERE status = 'active' GROUP BY normalized_text HAVING count(DISTINCT qa_id) > 1""",
+)
+def alias_conflicts(spark, sf_dir):
+    return A.alias_conflicts(alias_table(spark, sf_dir), None)
+
+
+@query("alias_conflict_rows", ctes(TABLES) + "SELECT DISTINCT a.id, a.qa_id, a.normalized_text FROM aliases a JOIN aliases b USING (normalized_text) WHERE a.qa_id <> b.qa_id AND a.status = 'active' AND b.status = 'active'")
+def alias_conflict_rows(spark, sf_dir):
+    return A.conflict_rows(alias_table(spark, sf_dir)).select("id", "qa_id", "normalized_text")
+
+
+@query("status_counts", ctes(TABLES) + "SELECT alias_type, status, count(*) AS count FROM aliases GROUP BY ALL")
+def status_counts(spark, sf_dir):
+    return L.status_counts(alias_table(spark, sf_dir), "alias_type", "status")
+
+
+@query(
+    "qa_health",
+    ctes(TABLES)
+    + """, has AS (SELECT qa_id AS id, bool_or(alias_type = 'original') AS o, bool_or(alias_type = 'llm_paraphrase') AS g FROM aliases WHERE status = 'active' GROUP BY qa_id)
+    SELECT count(*) AS approved_qa, count_if(corpus_version = 'v1')::BIGINT AS current_version_qa, count_if(corpus_version <> 'v1')::BIGINT AS version_excluded_qa,
+    count_if(NOT has_evidence)::BIGINT AS evidence_missing_qa, count_if(NOT coalesce(o, false))::BIGINT AS original_missing_qa, count_if(NOT coalesce(g, false))::BIGINT AS llm_missing_qa
+    FROM qa LEFT JOIN has USING (id) WHERE status = 'approved'""",
+)
+def qa_health(spark, sf_dir):
+    return A.qa_health(qa_table(spark, sf_dir), alias_table(spark, sf_dir), RULES)
+
+
+@query("cache_simple", ctes(TABLES) + """, q AS (SELECT qa.id, e FROM qa JOIN aliases a ON a.id = qa.id * 4 WHERE qa.status = 'approved' AND corpus_version = 'v1'),
+    s AS (SELECT query_id, q.id AS qa_id, round(list_inner_product(asked.e, q.e) / sqrt(list_inner_product(asked.e, asked.e) * list_inner_product(q.e, q.e)), 9) AS similarity FROM asked, q)
+    SELECT query_id, arg_max(qa_id, similarity) AS qa_id, round(max(similarity), 6) AS similarity FROM s GROUP BY query_id HAVING max(similarity) >= 0.88""")
+def cache_simple(spark, sf_dir):
+    return A.simple_lookup(asked(spark, sf_dir), qa_table(spark, sf_dir), 0.88, RULES).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("exact_match", ctes(TABLES, SNAP, EXACT) + "SELECT query_id, qa_count, qa_id, alias_id, decision, miss_reason FROM exact")
+def exact_match(spark, sf_dir):
+    return A.exact_matches(asked(spark, sf_dir), snapshot(spark, sf_dir)).drop("normalized_text")
+
+
+@query("match_margin", ctes(TABLES, SNAP, CANDIDATES, EXACT, DECIDED) + "SELECT query_id, qa_id, round(similarity, 6) AS similarity, round(margin, 6) AS margin FROM decided")
+def match_margin(spark, sf_dir):
+    rows = R.match_margin(A.semantic_candidates(asked(spark, sf_dir), snapshot(spark, sf_dir)).drop("rank"))
+    return rows.select("query_id", "qa_id", F.round("similarity", 6).alias("similarity"), F.round("margin", 6).alias("margin"))
+
+
+_MATCH = "query_id, qa_id, alias_id, round(similarity, 6) AS similarity, round(margin, 6) AS margin, decision, miss_reason, match_method"
+
+
+@query("match_decision", ctes(TABLES, SNAP, CANDIDATES, EXACT, DECIDED) + f"SELECT {_MATCH} FROM matched")
+def match_decision(spark, sf_dir):
+    rows = A.match_questions(asked(spark, sf_dir), qa_table(spark, sf_dir), alias_table(spark, sf_dir), RULES)
+    return rows.withColumn("similarity", F.round("similarity", 6)).withColumn("margin", F.round("margin", 6))
+
+
+@query("similar_approved", ctes(TABLES, SNAP, CANDIDATES) + "SELECT query_id, qa_id, alias_id, rank, round(similarity, 6) AS similarity FROM cand WHERE similarity >= 0.3 AND rank <= 5")
+def similar_approved(spark, sf_dir):
+    rows = A.similar_approved(A.semantic_candidates(asked(spark, sf_dir), snapshot(spark, sf_dir)), 0.3, 5)
+    return rows.select("query_id", "qa_id", "alias_id", "rank", F.round("similarity", 6).alias("similarity"))
+
+
+@query(
+    "ask_routing",
+    ctes(TABLES, SNAP, CANDIDATES, EXACT, DECIDED)
+    + """, ctx AS (SELECT conv_id AS query_id, count(*) AS n FROM conversations GROUP BY conv_id)
+    SELECT a.query_id, CASE WHEN decision = 'hit' THEN 'approved_qa_cache' WHEN coalesce(n, 0) > 0 THEN 'rag' ELSE 'no_context' END AS answer_source, CASE WHEN decision = 'hit' THEN answer END AS answer,
+    CASE WHEN decision = 'hit' THEN qa_id END AS qa_id, CASE WHEN decision = 'hit' THEN 0 ELSE coalesce(n, 0) END::BIGINT AS context_count
+    FROM asked a LEFT JOIN matched USING (query_id) LEFT JOIN qa ON qa.id = qa_id LEFT JOIN ctx USING (query_id)""",
+)
+def ask_routing(spark, sf_dir):
+    q, qa = asked(spark, sf_dir), qa_table(spark, sf_dir)
+    matches = A.match_questions(q, qa, alias_table(spark, sf_dir), RULES)
+    return A.route_questions(q.select("query_id"), matches, qa, load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id")))
+
+
+@query("normalize_question", """SELECT item_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(lower('No. ' || item_id || '  ' || text), 'ß', 'ss'), '\\bno\\s*\\.?\\s*([0-9]+)', 'no\\1', 'g'), '[ \\t\\r\\n]+', ' ', 'g'),
+    '\\s*([。、,.!?！？:：;；/／()（）［］\\[\\]{}<>＜＞])\\s*', '\\1', 'g'), '\\s+$', '')) AS normalized FROM benchmark""")
+def normalize(spark, sf_dir):
+    b = load(spark, sf_dir, "benchmark")
+    return b.select("item_id", normalize_question(F.concat(F.lit("No. "), F.col("item_id").cast("string"), F.lit("  "), F.col("text"))).alias("normalized"))
+
+
+# ---------------------------------------------------------------- changes
+
+
+@query("alias_backfill", ctes(TABLES) + """, m AS (SELECT id AS qa_id, question FROM qa WHERE NOT EXISTS (SELECT 1 FROM aliases a WHERE a.qa_id = qa.id AND alias_type = 'original' AND a.status = 'active'))
+    SELECT (SELECT max(id) FROM aliases) + row_number() OVER (ORDER BY qa_id) AS id, qa_id, question AS alias_text, lower(question) AS normalized_text, 'original' AS alias_type, 'active' AS status FROM m""")
+def alias_backfill(spark, sf_dir):
+    rows = A.backfill_original_aliases(qa_table(spark, sf_dir), alias_table(spark, sf_dir), NOW)
+    return rows.select("id", "qa_id", "alias_text", "normalized_text", "alias_type", "status")
+
+
+def changes(spark, sf_dir) -> DataFrame:
+    qa = qa_table(spark, sf_dir).filter("id % 3 = 0")
+    return qa.select("id", F.when(F.col("id") % 2 == 0, F.concat("question", F.lit(" (new)"))).otherwise(F.col("question")).alias("question"), "answer", "evidence", "embedding", "status", F.lit("edited").alias("memo"))
+
+
+@query(
+    "apply_qa_changes",
+    ctes(TABLES)
+    + """SELECT a.id, a.qa_id, a.alias_type, CASE WHEN qa_id % 6 = 0 AND alias_type = 'llm_paraphrase' AND a.status = 'active' THEN 'disabled' ELSE a.status END AS status,
+    CASE WHEN qa_id % 3 = 0 AND alias_type = 'original' AND a.status = 'active' THEN question || CASE WHEN qa_id % 6 = 0 THEN ' (new)' ELSE '' END ELSE alias_text END AS alias_text,
+    CASE WHEN qa_id % 3 = 0 AND alias_type = 'original' AND a.status = 'active' THEN lower(question) || CASE WHEN qa_id % 6 = 0 THEN '(new)' ELSE '' END ELSE normalized_text END AS normalized_text,
+    CASE WHEN qa_id % 6 = 0 AND alias_type = 'llm_paraphrase' AND a.status = 'active' THEN 'disabled because parent QA content changed' ELSE '' END AS memo FROM aliases a JOIN qa ON qa.id = qa_id""",
+)
+def apply_qa_changes(spark, sf_dir):
+    _, aliases = A.apply_qa_changes(qa_table(spark, sf_dir), alias_table(spark, sf_dir), changes(spark, sf_dir), NOW)
+    return aliases.select("id", "qa_id", "alias_type", "status", "alias_text", "normalized_text", "memo")
+
+
+@query("apply_qa_changes_qa", ctes(TABLES) + """SELECT id, question || CASE WHEN id % 6 = 0 THEN ' (new)' ELSE '' END AS question, id % 6 = 0 AS needs_alias_review, CASE WHEN id % 3 = 0 THEN 'edited' ELSE '' END AS memo FROM qa""")
+def apply_qa_changes_qa(spark, sf_dir):
+    qa, _ = A.apply_qa_changes(qa_table(spark, sf_dir), alias_table(spark, sf_dir), changes(spark, sf_dir), NOW)
+    return qa.select("id", "question", "needs_alias_review", "memo")
+
+
+@query("upsert_latest", """SELECT session, question, value FROM (SELECT 'u' || user_id AS session, event_type AS question, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1""")
+def upsert_latest(spark, sf_dir):
+    e = load(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session"), F.col("event_type").alias("question"), "value", "ts", "event_id")
+    return R.latest(e, ["session", "question"], [F.col("ts").desc(), F.col("event_id").desc()]).select("session", "question", "value")
+
+
+@query(
+    "filter_aliases",
+    ctes(TABLES)
+    + """, c AS (SELECT item_id % 25 AS qa_id, item_id AS position, trim(CASE WHEN item_id % 4 = 0 THEN 'Question ' || item_id % 25 WHEN item_id % 4 = 1 THEN 'Alias ' || item_id % 25 * 4 ELSE substr(text, 1, 60 + item_id % 90) END) AS alias_text FROM benchmark),
+    n AS (SELECT *, trim(regexp_replace(regexp_replace(replace(lower(alias_text), 'ß', 'ss'), '[ \\t\\r\\n]+', ' ', 'g'), '\\s*([。、,.!?！？:：;；/／()（）［］\\[\\]{}<>＜＞])\\s*', '\\1', 'g')) AS normalized_text FROM c WHERE alias_text <> '' AND length(alias_text) <= 120),
+    f AS (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM aliases a WHERE a.qa_id = n.qa_id AND a.normalized_text = n.normalized_text) AND NOT EXISTS (SELECT 1 FROM qa WHERE qa.id = n.qa_id AND lower(qa.question) = n.normalized_text)),
+    d AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY qa_id, normalized_text ORDER BY position) = 1)
+    SELECT qa_id, position, alias_text, normalized_text FROM d QUALIFY row_number() OVER (PARTITION BY qa_id ORDER BY position) <= 3""",
+)
+def filter_aliases(spark, sf_dir):
+    b, i = load(spark, sf_dir, "benchmark"), F.col("item_id")
+    text = (
+        F.when(i % 4 == 0, F.concat(F.lit("Question "), (i % 25).cast("string"))).when(i % 4 == 1, F.concat(F.lit("Alias "), (i % 25 * 4).cast("string")))
+        .otherwise(F.substr("text", F.lit(1), (i % 90 + 60).cast("int")))
+    )
+    c = b.select((i % 25).alias("qa_id"), i.alias("position"), text.alias("alias_text"))
+    return A.filter_alias_candidates(c, qa_table(spark, sf_dir), alias_table(spark, sf_dir), 3)
+
+
+@query(
+    "not_registered",
+    ctes(TABLES) + """, s AS (SELECT doc_id, 'Question ' || doc_id AS question, CASE WHEN doc_id % 2 = 0 THEN 'v1' ELSE 'v0' END AS corpus_version, 'i1' AS index_version FROM documents)
+    SELECT doc_id, question FROM s WHERE NOT EXISTS (SELECT 1 FROM qa WHERE qa.status = 'approved' AND qa.question = s.question AND qa.corpus_version = s.corpus_version AND qa.index_version = s.index_version)""",
+)
+def not_registered(spark, sf_dir):
+    d = load(spark, sf_dir, "documents")
+    seeds = d.select("doc_id", F.concat(F.lit("Question "), F.col("doc_id").cast("string")).alias("question"), F.when(F.col("doc_id") % 2 == 0, "v1").otherwise("v0").alias("corpus_version"), F.lit("i1").alias("index_version"))
+    return A.not_registered(seeds, qa_table(spark, sf_dir)).select("doc_id", "question")
+
+
+@query("report_summary", "SELECT CASE WHEN toxic = 1 THEN 'open' WHEN quality = 1 THEN 'resolved' ELSE 'ignored' END AS status, count(*) AS count FROM labels GROUP BY 1")
+def report_summary(spark, sf_dir):
+    rep = load(spark, sf_dir, "labels").select(F.when(F.col("toxic") == 1, "open").when(F.col("quality") == 1, "resolved").otherwise("ignored").alias("status"))
+    return L.status_counts(rep, "status")

@@ -1 +1,210 @@
-"""Queries."""
+"""Evaluation, review batches and the improvement queue.
+
+Predictions: every event is one; the expected source of a question is the opening of its
+benchmark passage, looked for in whole documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpusloom.operators import answers as A
+from corpusloom.operators import evals as E
+from corpusloom.operators import logs as L
+from corpusloom.operators import ranking as R
+from corpusloom.operators.matching import contained_terms
+from corpusloom.plans.answers import TABLES, alias_table, qa_table
+from corpusloom.plans.catalog import ctes, load, query
+from corpusloom.plans.logs import LOGS, METRICS, ask_logs
+from corpusloom.plans.retrieval import _TERMS
+
+PREDICTIONS = """pred AS (SELECT event_id, 'q' || user_id AS question_id, CASE event_type WHEN 'click' THEN 'vector' WHEN 'view' THEN 'hybrid' WHEN 'error' THEN '' ELSE 'hybrid_reranker' END AS retrieval_mode,
+    CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN 'error' ELSE 'ok' END AS status, event_id % 3 = 0 AS expected_source_hit, event_id % 5 = 0 AS cache_hit, round(value / 10, 3) AS elapsed_sec,
+    event_id % 4 AS source_count, 'answer ' || event_type || CASE WHEN event_id % 6 = 0 THEN ' 確認できません' ELSE '' END AS actual_answer FROM events)"""
+
+
+def predictions(spark, sf_dir) -> DataFrame:
+    e = load(spark, sf_dir, "events")
+    n, kind = F.col("event_id"), F.col("event_type")
+    mode = F.when(kind == "click", "vector").when(kind == "view", "hybrid").when(kind == "error", "").otherwise("hybrid_reranker")
+    return e.select(
+        "event_id", F.concat(F.lit("q"), F.col("user_id").cast("string")).alias("question_id"), mode.alias("retrieval_mode"),
+        F.when((kind == "error") & (n % 2 == 0), "error").otherwise("ok").alias("status"), (n % 3 == 0).alias("expected_source_hit"), (n % 5 == 0).alias("cache_hit"),
+        F.round(F.col("value") / 10, 3).alias("elapsed_sec"), (n % 4).alias("source_count"),
+        F.concat(F.lit("answer "), kind, F.when(n % 6 == 0, " 確認できません").otherwise("")).alias("actual_answer"),
+    )
+
+
+_SUM = """count(*) AS total, count_if(status = 'ok')::BIGINT AS ok, count_if(status <> 'ok')::BIGINT AS errors, coalesce(round(count_if(status = 'ok' AND expected_source_hit)::DOUBLE / nullif(count_if(status = 'ok'), 0), 4), 0) AS expected_source_hit_rate,
+    coalesce(round(count_if(status = 'ok' AND cache_hit)::DOUBLE / nullif(count_if(status = 'ok'), 0), 4), 0) AS cache_hit_rate, round(coalesce(avg(CASE WHEN status = 'ok' THEN elapsed_sec END), 0), 6) AS avg_elapsed_sec FROM pred"""
+
+
+@query("prediction_summary", ctes(PREDICTIONS) + f"SELECT 'ALL' AS retrieval_mode, {_SUM} UNION ALL SELECT coalesce(nullif(retrieval_mode, ''), 'unknown'), {_SUM} GROUP BY retrieval_mode")
+def prediction_summary(spark, sf_dir):
+    return E.prediction_summary(predictions(spark, sf_dir))
+
+
+_RULE = """rules AS (SELECT event_id, retrieval_mode, expected_source_hit, event_id % 7 = 0 AS is_no_answer, CASE WHEN contains(actual_answer, 'answer') THEN 1 ELSE 0 END + CASE WHEN contains(actual_answer, 'click') THEN 1 ELSE 0 END AS hits,
+    CASE WHEN contains(actual_answer, 'view') THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS forbidden_score, CASE WHEN event_id % 7 = 0 AND NOT contains(actual_answer, '確認できません') THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS no_answer_score FROM pred),
+scored AS (SELECT *, hits / 2.0::DOUBLE AS include_score, (hits / 2.0::DOUBLE + forbidden_score + no_answer_score) / 3 AS rule_score FROM rules)"""
+
+
+def scored(spark, sf_dir) -> DataFrame:
+    p = predictions(spark, sf_dir).withColumn("must_include", F.array(F.lit("answer"), F.lit("click"))).withColumn("must_not_include", F.array(F.lit("view")))
+    return E.rule_scores(p.withColumn("is_no_answer", F.col("event_id") % 7 == 0))
+
+
+@query("rule_scores", ctes(PREDICTIONS, _RULE) + "SELECT event_id, round(include_score, 6) AS include_score, forbidden_score, no_answer_score, round(rule_score, 6) AS rule_score FROM scored")
+def rule_scores(spark, sf_dir):
+    return scored(spark, sf_dir).select("event_id", F.round("include_score", 6).alias("include_score"), "forbidden_score", "no_answer_score", F.round("rule_score", 6).alias("rule_score"))
+
+
+_RS = "count(*) AS count, round(avg(rule_score), 6) AS avg_rule_score, round(count_if(expected_source_hit)::DOUBLE / count(*), 4) AS expected_source_hit_rate, count_if(is_no_answer)::BIGINT AS no_answer_count FROM scored"
+
+
+@query("rule_summary", ctes(PREDICTIONS, _RULE) + f"SELECT 'ALL' AS retrieval_mode, {_RS} UNION ALL SELECT coalesce(nullif(retrieval_mode, ''), 'unknown'), {_RS} GROUP BY retrieval_mode")
+def rule_summary(spark, sf_dir):
+    return E.rule_summary(scored(spark, sf_dir))
+
+
+@query("metric_means", ctes(PREDICTIONS, _RULE) + """SELECT 'include_score' AS metric, round(avg(include_score), 6) AS mean, count(include_score) AS n FROM scored UNION ALL SELECT 'rule_score', round(avg(rule_score), 6), count(*) FROM scored
+    UNION ALL SELECT 'positive', round(avg(nullif(hits, 0)), 6), count(nullif(hits, 0)) FROM scored""")
+def metric_means(spark, sf_dir):
+    rows = scored(spark, sf_dir).withColumn("positive", F.nullif(F.col("must_include_hit_count"), F.lit(0)))
+    return E.metric_means(rows, ["include_score", "rule_score", "positive"])
+
+
+@query("manual_summary", "SELECT count(*) AS rows, count(DISTINCT doc_id) AS questions, count(DISTINCT toxic) AS reviewers, round(avg(quality), 6) AS avg_quality FROM labels")
+def manual_summary(spark, sf_dir):
+    lab = load(spark, sf_dir, "labels").select(F.col("doc_id").alias("question_id"), F.col("toxic").alias("reviewer"), "quality")
+    return E.manual_summary(lab, ["quality"])
+
+
+@query("eval_failures", ctes(PREDICTIONS) + "SELECT event_id, status, source_count FROM pred WHERE status <> 'ok' OR source_count = 0")
+def eval_failures(spark, sf_dir):
+    return E.eval_failures(predictions(spark, sf_dir)).select("event_id", "status", "source_count")
+
+
+@query("pending_rows", ctes(PREDICTIONS) + """, done AS (SELECT question_id FROM pred WHERE status = 'ok' AND retrieval_mode IN ('vector', 'hybrid', 'hybrid_reranker') AND event_id % 5 = 1 GROUP BY question_id HAVING count(DISTINCT retrieval_mode) = 3)
+    SELECT DISTINCT question_id FROM pred WHERE question_id NOT IN (SELECT question_id FROM done)""")
+def pending_rows(spark, sf_dir):
+    p = predictions(spark, sf_dir)
+    return E.pending_questions(p.select("question_id").distinct(), p.filter("event_id % 5 = 1"))
+
+
+@query("eval_batches", ctes(PREDICTIONS) + """, n AS (SELECT event_id, row_number() OVER (ORDER BY question_id || '::' || event_id) - 1 AS r FROM pred WHERE status = 'ok')
+    SELECT event_id, r // 10 + 1 AS batch_no, r % 10 + 1 AS batch_pos FROM n""")
+def eval_batches(spark, sf_dir):
+    p = predictions(spark, sf_dir).filter("status = 'ok'").select("event_id", F.concat("question_id", F.lit("::"), F.col("event_id").cast("string")).alias("prediction_id"))
+    return R.batches(p, 10, "prediction_id").select("event_id", "batch_no", "batch_pos")
+
+
+@query("source_hit", "WITH x AS (SELECT item_id, trim(substr(replace(replace(replace(text, ',', ' '), ';', ' '), '|', ' '), 1, 40)) AS expected FROM benchmark) SELECT item_id, doc_id FROM x, documents WHERE contains(replace(replace(replace(text, ',', ' '), ';', ' '), '|', ' '), expected)")
+def source_hit(spark, sf_dir):
+    def clear(c):
+        return F.translate(c, ",;|", "   ")
+
+    wanted = load(spark, sf_dir, "benchmark").select("item_id", F.trim(F.substring(clear("text"), 1, 40)).alias("term"))
+    docs = load(spark, sf_dir, "documents").select("doc_id", clear("text").alias("text"))
+    return contained_terms(docs, "doc_id", "text", wanted).join(wanted, "term").select("item_id", "doc_id")
+
+
+@query(
+    "evidence_score",
+    ctes(_TERMS)
+    + """, d AS (SELECT doc_id::VARCHAR AS child_id, lower(trim(regexp_replace(split_part(text, chr(10), 1), '\\s+', ' ', 'g'))) AS title, lower(lang || ' ' || source) AS heading,
+        lower(trim(regexp_replace(split_part(text, chr(10), 1) || chr(10) || lang || ' ' || source || chr(10) || text, '\\s+', ' ', 'g'))) AS body FROM documents),
+    v AS (SELECT DISTINCT term FROM terms),
+    h AS (SELECT child_id, term, CASE WHEN contains(title, term) THEN 6 WHEN contains(heading, term) THEN 3 ELSE 1 END AS points FROM d, v WHERE contains(body, term)),
+    s AS (SELECT item_id AS question_id, child_id, sum(points)::DOUBLE AS score FROM terms JOIN h USING (term) GROUP BY ALL)
+    SELECT question_id, child_id, score FROM s QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, child_id) = 1""",
+)
+def evidence_score(spark, sf_dir):
+    kids = load(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("child_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.concat_ws(" ", "lang", "source").alias("heading_path"), "text"
+    )
+    q = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    return E.best_evidence(E.evidence_scores(q, kids))
+
+
+@query("retrieval_query", """WITH t AS (SELECT conv_id, turn, role, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM conversations WHERE role IN ('user', 'assistant')),
+    l AS (SELECT * FROM t WHERE t <> '' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4),
+    h AS (SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'ユーザー' ELSE 'アシスタント' END || ': ' || t, chr(10) ORDER BY turn) AS h FROM l GROUP BY conv_id),
+    q AS (SELECT DISTINCT conv_id, 'What about ' || conv_id || '?' AS question FROM conversations)
+    SELECT conv_id, CASE WHEN h IS NULL THEN question ELSE h || chr(10) || 'ユーザー: ' || question END AS retrieval_query FROM q LEFT JOIN h USING (conv_id)""")
+def retrieval_query(spark, sf_dir):
+    c = load(spark, sf_dir, "conversations")
+    q = c.select("conv_id").distinct().withColumn("question", F.concat(F.lit("What about "), F.col("conv_id").cast("string"), F.lit("?")))
+    return E.retrieval_query(c, q).select("conv_id", "retrieval_query")
+
+
+# ---------------------------------------------------------------- citations
+
+SOURCES = """ans AS (SELECT event_id AS answer_id, [struct_pack(title := 'Guide number ' || user_id, file := 'files/guide_' || event_id % 50 || '.md'), struct_pack(title := 'Guide number ' || (user_id + event_id % 2), file := 'files/other_' || user_id % 9 || '.md')] AS sources FROM events),
+tm AS (SELECT answer_id, i AS source_no, unnest([sources[i].title, regexp_extract(sources[i].file, '([^/]*)$', 1), regexp_replace(regexp_extract(sources[i].file, '([^/]*)$', 1), '\\.[^.]*$', '')]) AS term FROM ans, (SELECT unnest([1, 2]) AS i)),
+nm AS (SELECT answer_id, source_no, term, regexp_replace(lower(term), '[\\s\\-_/#:：,，、。．.・･「」『』【】\\[\\]()（）<>＜＞"''`*]+', '', 'g') AS norm FROM tm)"""
+
+
+def cited_answers(spark, sf_dir) -> DataFrame:
+    e = load(spark, sf_dir, "events")
+
+    def source(title, file):
+        none = F.lit(None).cast("string")
+        return F.struct(
+            none.alias("corpus_id"), F.concat(F.lit("Guide number "), title.cast("string")).alias("title"), none.alias("heading_path"), none.alias("document_id"),
+            none.alias("taxanswer_no"), F.concat(F.lit("files/"), file, F.lit(".md")).alias("source_file"), none.alias("source_url"),
+        )
+
+    u, n = F.col("user_id"), F.col("event_id")
+    sources = F.array(
+        source(u, F.concat(F.lit("guide_"), (n % 50).cast("string"))), source(u + n % 2, F.concat(F.lit("other_"), (u % 9).cast("string")))
+    )
+    answer = F.concat(F.lit("See [根拠"), (n % 4).cast("string"), F.lit("] and Guide number "), u.cast("string"))
+    return e.select(n.alias("answer_id"), answer.alias("answer"), sources.alias("sources"))
+
+
+@query(
+    "unique_terms",
+    ctes(SOURCES) + """SELECT answer_id, norm, min(source_no)::BIGINT AS source_no FROM nm WHERE length(norm) >= 5 OR regexp_matches(norm, '^\\d{4,}$') GROUP BY answer_id, norm HAVING count(DISTINCT source_no) = 1""",
+)
+def unique_terms(spark, sf_dir):
+    return E.unique_terms(cited_answers(spark, sf_dir)).select("answer_id", "norm", "source_no")
+
+
+@query("citation_coverage")
+def citation_coverage(spark, sf_dir):
+    return E.citation_coverage(cited_answers(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- improvement queue
+
+TASKS = """tasks AS (SELECT 'high' AS priority, 'hallucination_report' AS task_type, 'Document ' || doc_id AS question, 1::BIGINT AS count, '2024-01-01'::VARCHAR AS last_seen_at FROM labels WHERE toxic = 1
+    UNION ALL SELECT 'medium', 'frequent_question', question, count(*), NULL FROM logs GROUP BY question HAVING count(*) >= 2
+    UNION ALL SELECT 'high', 'eval_failed', '', count(*), NULL FROM pred WHERE status <> 'ok' OR source_count = 0
+    UNION ALL SELECT 'high', 'qa_alias_missing', '', count(*), NULL FROM qa WHERE status = 'approved' AND NOT EXISTS (SELECT 1 FROM aliases a WHERE a.qa_id = qa.id AND alias_type = 'original' AND a.status = 'active') HAVING count(*) > 0
+    UNION ALL SELECT 'low', 'qa_alias_missing', '', count(*), NULL FROM qa WHERE status = 'approved' AND NOT EXISTS (SELECT 1 FROM aliases a WHERE a.qa_id = qa.id AND alias_type = 'llm_paraphrase' AND a.status = 'active') HAVING count(*) > 0)"""
+
+
+def tasks(spark, sf_dir) -> DataFrame:
+    logs = ask_logs(spark, sf_dir)
+    none = logs.filter("false")
+    reports = load(spark, sf_dir, "labels").filter("toxic = 1").select(F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("question"), F.lit("2024-01-01").alias("created_at"))
+    qa, aliases = qa_table(spark, sf_dir), alias_table(spark, sf_dir)
+    metrics = L.log_metrics(none)
+    warnings = load(spark, sf_dir, "labels").filter("false").select(F.lit("c").alias("corpus_id"), F.lit("w").alias("warnings"))
+    index = load(spark, sf_dir, "labels").filter("false").select(F.lit(True).alias("vector_mismatch"))
+    return E.improvement_tasks(
+        reports, metrics, metrics, metrics, logs.groupBy("question").agg(F.count("*").alias("hits")), warnings, index, E.eval_failures(predictions(spark, sf_dir)),
+        A.missing_alias(qa, aliases, "original"), A.missing_alias(qa, aliases, "llm_paraphrase"),
+    )
+
+
+@query("improvement_tasks", ctes(LOGS, PREDICTIONS, TABLES, TASKS) + "SELECT priority, task_type, question, count, last_seen_at FROM tasks")
+def improvement_tasks(spark, sf_dir):
+    return tasks(spark, sf_dir).select("priority", "task_type", "question", "count", "last_seen_at")
+
+
+@query("task_order", ctes(LOGS, PREDICTIONS, TABLES, TASKS) + """SELECT priority, task_type, question, count FROM tasks ORDER BY CASE priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, count DESC, coalesce(last_seen_at, ''), task_type, question LIMIT 40""")
+def task_order(spark, sf_dir):
+    return R.priority_order(tasks(spark, sf_dir), 40).select("priority", "task_type", "question", "count")
