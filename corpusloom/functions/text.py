@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.unicode import html_unescape, html_unescape_items, nfkc, nfkc_casefold
 
 # The white space set (Unicode White_Space plus the four ASCII separators).
-SPACE = r"[\s\x1c-\x1f]"
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 WHITESPACE_CHARS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -31,12 +31,12 @@ def text_or_empty(value) -> Column:
 
 def strip(value) -> Column:
     """Remove leading and trailing white space of any kind."""
-    return F.regexp_replace(col(value), rf"(?U)^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(col(value), F.lit(WHITESPACE_CHARS))
 
 
 def squeeze(value) -> Column:
     """Collapse white space runs to one space and strip."""
-    return strip(F.regexp_replace(col(value), rf"(?U){SPACE}+", " "))
+    return strip(F.regexp_replace(col(value), rf"{SPACE}+", " "))
 
 
 def blank_to_null(value) -> Column:

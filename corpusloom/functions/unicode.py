@@ -1,7 +1,7 @@
 """The Unicode steps Spark has no built-in for, as Arrow UDFs.
 
-Each wrapper sends only the values that need the step to Python: the others are
-passed as NULL and restored afterwards, so pure-ASCII corpora stay in the JVM.
+Normalisation sends only non-ASCII values to Python: the others are passed as NULL and
+restored afterwards, so pure-ASCII keys stay in the JVM.
 """
 
 from __future__ import annotations
@@ -22,15 +22,21 @@ def _each(values: pa.Array, fn) -> pa.Array:
     return pa.array([None if v is None else fn(v) for v in values.to_pylist()], pa.string())
 
 
+def _decode(text: str) -> str:
+    return html.unescape(text) if "&" in text else text
+
+
 def _unescape_lines(text: str) -> str:
     # text-level pass, then one pass per line: a newline born in the second
     # pass must not split the line
+    if "&" not in text:
+        return text
     return "\n".join(html.unescape(line).replace("\n", " ") for line in html.unescape(text).split("\n"))
 
 
 @F.arrow_udf(_STRING)
 def _unescape(values: pa.Array) -> pa.Array:
-    return _each(values, html.unescape)
+    return _each(values, _decode)
 
 
 @F.arrow_udf(_STRING)
@@ -40,7 +46,7 @@ def _unescape_twice(values: pa.Array) -> pa.Array:
 
 @F.arrow_udf(_STRINGS)
 def _unescape_items(values: pa.Array) -> pa.Array:
-    decoded = [None if v is None else [html.unescape(x) for x in v] for v in values.to_pylist()]
+    decoded = [None if v is None else [_decode(x) for x in v] for v in values.to_pylist()]
     return pa.array(decoded, pa.list_(pa.string()))
 
 
@@ -64,19 +70,22 @@ def _not_ascii(text: Column) -> Column:
 
 
 def html_unescape(text: Column) -> Column:
-    """Decode HTML character references."""
-    return F.coalesce(_unescape(F.when(F.contains(text, F.lit("&")), text)), text)
+    """Decode HTML character references.
+
+    The text goes to Python unconditionally: guarding the call would make the JVM
+    evaluate the cleaning chain in front of it more than once.
+    """
+    return _unescape(text)
 
 
 def html_unescape_lines(text: Column) -> Column:
     """Decode HTML character references in the text, then again inside each line."""
-    return F.coalesce(_unescape_twice(F.when(F.contains(text, F.lit("&")), text)), text)
+    return _unescape_twice(text)
 
 
 def html_unescape_items(texts: Column) -> Column:
     """Decode HTML character references in every element of an array."""
-    needed = F.exists(texts, lambda t: F.contains(t, F.lit("&")))
-    return F.coalesce(_unescape_items(F.when(needed, texts)), texts)
+    return _unescape_items(texts)
 
 
 def nfkc(text: Column) -> Column:

@@ -210,7 +210,7 @@ def source_hits(logs: DataFrame) -> DataFrame:
 def chunk_hits(logs: DataFrame, top_n: int = 20, samples: int = 5) -> DataFrame:
     """Most used chunks: hits, average and best score, last hit, newest sample log ids.
 
-    Aggregated map-side first; log ids are looked up only for the ranked chunks, so a
+    Aggregated map-side first; details and log ids are looked up only for the ranked chunks, so a
     chunk that appears in a third of all logs never gathers its ids in one task.
     """
     hits = source_hits(logs)
@@ -220,15 +220,14 @@ def chunk_hits(logs: DataFrame, top_n: int = 20, samples: int = 5) -> DataFrame:
         F.round(F.avg(score), 6).alias("avg_score"),
         F.round(F.greatest(F.max(score), F.lit(0.0)), 6).alias("max_score"),
         F.max("created_at").alias("last_hit_at"),
-        F.max_by(F.struct("s.corpus_id", "s.parent_id", "s.child_id", "s.title", "s.heading_path", "s.source_file"), "id").alias("_d"),
     )
     ranked = stats.orderBy(F.col("hits").desc(), "source_key").limit(max(1, min(top_n, 100)))
     ranked = ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.col("hits").desc(), "source_key")))  # at most 100 rows
     newest = Window.partitionBy("source_key").orderBy(F.col("id").desc())
     picked = (
-        hits.select("source_key", "id").join(F.broadcast(ranked.select("source_key")), "source_key", "left_semi")
+        hits.select("source_key", "id", F.struct("s.corpus_id", "s.parent_id", "s.child_id", "s.title", "s.heading_path", "s.source_file").alias("_d")).join(F.broadcast(ranked.select("source_key")), "source_key", "left_semi")
         .withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= samples)
-        .groupBy("source_key").agg(F.sort_array(F.collect_list("id"), False).alias("sample_log_ids"))
+        .groupBy("source_key").agg(F.sort_array(F.collect_list("id"), False).alias("sample_log_ids"), F.max_by("_d", "id").alias("_d"))
     )
     return ranked.join(picked, "source_key").select("rank", "source_key", "hits", "avg_score", "max_score", "last_hit_at", "_d.*", "sample_log_ids")
 
@@ -249,10 +248,14 @@ def top_questions(logs: DataFrame, top_n: int = 20) -> DataFrame:
     )
 
 
+def weak_answers(logs: DataFrame, low_score: float = LOW_SCORE) -> DataFrame:
+    """Answered with sources but a low best score."""
+    return log_metrics(logs).filter((F.col("source_count") > 0) & (F.col("max_score") < low_score))
+
+
 def low_confidence(logs: DataFrame, top_n: int = 20, low_score: float = LOW_SCORE) -> DataFrame:
-    """Answered with sources but a low best score, worst first."""
-    rows = log_metrics(logs).filter((F.col("source_count") > 0) & (F.col("max_score") < low_score))
-    return rows.orderBy("max_score", F.col("id").desc()).limit(top_n)
+    """The weakest answers, worst first."""
+    return weak_answers(logs, low_score).orderBy("max_score", F.col("id").desc()).limit(top_n)
 
 
 def no_hits(logs: DataFrame, top_n: int = 20) -> DataFrame:

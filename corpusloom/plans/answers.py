@@ -37,7 +37,7 @@ matched AS (SELECT query_id, qa_id, alias_id, 1.0::DOUBLE AS similarity, 1.0::DO
 
 def qa_table(spark, sf_dir) -> DataFrame:
     n = F.col("id")
-    e = load(spark, sf_dir, "embeddings").filter("vec_id % 4 = 0").select(F.floor(F.col("vec_id") / 4).cast("bigint").alias("id"), "embedding")
+    e = load(spark, sf_dir, "embeddings").groupBy(F.floor(F.col("vec_id") / 4).cast("bigint").alias("id")).agg(F.min_by("embedding", "vec_id").alias("embedding"))
     none = F.array().cast("array<struct<corpus_id:string,title:string>>")
     evidence = F.when(n % 5 == 0, none).otherwise(F.array(F.struct(F.concat(F.lit("c"), (n % 3).cast("string")).alias("corpus_id"), F.lit("t").alias("title"))))
     return e.select(

@@ -231,7 +231,8 @@ def chunked_pages(spark, sf_dir) -> DataFrame:
         levels.alias("parent_split_levels"), *[F.lit(v).alias(k) for k, v in RULES.items()],
         F.lit(False).alias("force_heading_split"), F.lit(False).alias("auto_descend"), F.lit("auto").alias("chunking_mode"),
     )
-    return C.chunk_documents(df.withColumn("chunking", rules))
+    # converted pages hold no comments, so there are no markers to look for
+    return C.chunk_documents(df.withColumn("chunking", rules), markers=False)
 
 
 _SIZE = RULES["max_parent_chars"]

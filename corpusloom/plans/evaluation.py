@@ -86,11 +86,11 @@ def eval_failures(spark, sf_dir):
     return E.eval_failures(predictions(spark, sf_dir)).select("event_id", "status", "source_count")
 
 
-@query("pending_rows", ctes(PREDICTIONS) + """, done AS (SELECT question_id FROM pred WHERE status = 'ok' AND retrieval_mode IN ('vector', 'hybrid', 'hybrid_reranker') AND event_id % 5 = 1 GROUP BY question_id HAVING count(DISTINCT retrieval_mode) = 3)
+@query("pending_rows", ctes(PREDICTIONS) + """, done AS (SELECT question_id FROM pred WHERE status = 'ok' AND retrieval_mode IN ('vector', 'hybrid', 'hybrid_reranker') AND cache_hit GROUP BY question_id HAVING count(DISTINCT retrieval_mode) = 3)
     SELECT DISTINCT question_id FROM pred WHERE question_id NOT IN (SELECT question_id FROM done)""")
 def pending_rows(spark, sf_dir):
     p = predictions(spark, sf_dir)
-    return E.pending_questions(p.select("question_id").distinct(), p.filter("event_id % 5 = 1"))
+    return E.pending_questions(p.select("question_id").distinct(), p.filter("cache_hit"))
 
 
 @query("eval_batches", ctes(PREDICTIONS) + """, n AS (SELECT event_id, row_number() OVER (ORDER BY question_id || '::' || event_id) - 1 AS r FROM pred WHERE status = 'ok')

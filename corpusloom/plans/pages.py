@@ -173,13 +173,12 @@ def planned_names(spark, sf_dir):
     "remap_keys",
     ctes(_PATH_SQL, _PLAN_SQL)
     + """SELECT l.doc_id, l.quality::BIGINT AS quality, coalesce(p.new_path, d.path) AS source_file, p.new_path IS NOT NULL AS changed
-         FROM labels l JOIN paths d USING (doc_id) LEFT JOIN planned p ON p.path = d.path AND p.new_path <> p.path AND p.doc_id % 2 = 0""",
+         FROM labels l JOIN paths d USING (doc_id) LEFT JOIN planned p ON p.path = d.path AND p.new_path <> p.path""",
 )
 def remap_keys(spark, sf_dir):
     docs = paths(spark, sf_dir)
     rows = load(spark, sf_dir, "labels").join(docs, "doc_id").select("doc_id", "quality", F.col("path").alias("source_file"))
-    plan = P.planned_names(docs, "corpus").join(docs.select("doc_id", "path"), "path")
-    mapping = plan.filter((F.col("new_path") != F.col("path")) & (F.col("doc_id") % 2 == 0)).select(F.col("path").alias("old"), F.col("new_path").alias("new"))
+    mapping = P.planned_names(docs, "corpus").filter(F.col("new_path") != F.col("path")).select(F.col("path").alias("old"), F.col("new_path").alias("new"))
     return P.remap_keys(rows, mapping)
 
 
@@ -237,7 +236,7 @@ def scoped_links(spark, sf_dir):
 
 # a page graph: each page leads to the pages whose number its own number generates
 EDGES = """nodes AS (SELECT page_id, (SELECT count(*) FROM pages) AS n FROM pages),
-edges AS (SELECT page_id AS src, unnest([(page_id * 2) % n, (page_id * 3 + 1) % n]) AS dst FROM nodes WHERE page_id % 10 <> 7)"""
+edges AS (SELECT page_id AS src, unnest([(page_id * 2) % n, (page_id * 3 + 1) % n]) AS dst FROM nodes)"""
 
 
 @query(
@@ -248,7 +247,7 @@ edges AS (SELECT page_id AS src, unnest([(page_id * 2) % n, (page_id * 3 + 1) %
 def reachable_pages(spark, sf_dir):
     pages = load(spark, sf_dir, "pages")
     n = pages.agg(F.count("*").alias("n")).select("n").scalar()
-    pairs = pages.filter("page_id % 10 <> 7").withColumn("n", n).select(
+    pairs = pages.withColumn("n", n).select(
         F.col("page_id").cast("string").alias("src"), F.array((F.col("page_id") * 2) % F.col("n"), (F.col("page_id") * 3 + 1) % F.col("n")).cast("array<string>").alias("_to")
     )
     e = pairs.select("src", F.explode("_to").alias("dst"))

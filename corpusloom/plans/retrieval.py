@@ -383,11 +383,11 @@ def corpus_filter(spark, sf_dir):
 
 @query(
     "child_parent",
-    "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, coalesce(o_orderpriority, '') AS parent_text FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 10 <> 3) ON l_orderkey = o_orderkey",
+    "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, coalesce(o_orderpriority, '') AS parent_text FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'F') ON l_orderkey = o_orderkey",
 )
 def child_parent(spark, sf_dir):
     kids = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("parent_id"), "l_orderkey", "l_linenumber")
-    parents = load(spark, sf_dir, "orders").filter("o_orderkey % 10 <> 3").select(F.col("o_orderkey").alias("parent_id"), F.col("o_orderpriority").alias("text"))
+    parents = load(spark, sf_dir, "orders").filter("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("parent_id"), F.col("o_orderpriority").alias("text"))
     return S.attach_parent_text(kids, parents).select("l_orderkey", "l_linenumber", "parent_text")
 
 
@@ -397,8 +397,8 @@ def form_match(spark, sf_dir):
     return S.match_forms(load(spark, sf_dir, "documents"), forms, "doc_id", "text")
 
 
-_MEET = """ev AS (SELECT event_id, 'm' || user_id % 60 AS meeting_id, event_type AS source_type, 'a' || user_id % 4 AS agenda, 't' || regexp_extract(props, '(\\d+)', 1)::BIGINT % 6 AS topic FROM events),
-seeds AS (SELECT event_id % 20 AS query_id, e.* FROM ev e WHERE event_id < 100),
+_MEET = """ev AS (SELECT event_id, user_id, 'm' || user_id % 60 AS meeting_id, event_type AS source_type, 'a' || user_id % 4 AS agenda, 't' || regexp_extract(props, '(\\d+)', 1)::BIGINT % 6 AS topic FROM events),
+seeds AS (SELECT user_id AS query_id, e.* EXCLUDE (user_id) FROM ev e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 3),
 sets AS (SELECT query_id, list(DISTINCT agenda) AS ag, list(DISTINCT topic) AS tp, list(DISTINCT source_type) AS ty, list(DISTINCT event_id) AS seen FROM seeds GROUP BY query_id),
 qm AS (SELECT DISTINCT query_id, meeting_id FROM seeds),
 cand AS (SELECT query_id, e.event_id AS child_id, 0.10::DOUBLE + CASE WHEN list_contains(ag, e.agenda) THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN list_contains(tp, e.topic) THEN 0.25::DOUBLE ELSE 0 END
@@ -411,12 +411,13 @@ cand AS (SELECT query_id, e.event_id AS child_id, 0.10::DOUBLE + CASE WHEN list_
 def related_rows(spark, sf_dir):
     e = load(spark, sf_dir, "events")
     ev = e.select(
-        F.col("event_id").alias("child_id"), F.concat(F.lit("m"), (F.col("user_id") % 60).cast("string")).alias("meeting_id"), F.col("event_type").alias("source_type"),
+        F.col("event_id").alias("child_id"), "user_id", F.concat(F.lit("m"), (F.col("user_id") % 60).cast("string")).alias("meeting_id"), F.col("event_type").alias("source_type"),
         F.concat(F.lit("a"), (F.col("user_id") % 4).cast("string")).alias("agenda"), F.concat(F.lit("t"), (F.get_json_object("props", "$.k").cast("int") % 6).cast("string")).alias("topic"),
     )
-    # the seeds are the final rows of twenty searches
-    seeds = ev.filter("child_id < 100").withColumn("query_id", F.col("child_id") % 20)
-    rows = S.related_chunks(seeds, ev)
+    # every user asks once and their three newest events are the final rows
+    newest = Window.partitionBy("user_id").orderBy(F.col("child_id").desc())
+    seeds = ev.withColumn("_n", F.row_number().over(newest)).filter("_n <= 3").drop("_n").withColumnRenamed("user_id", "query_id")
+    rows = S.related_chunks(seeds, ev.drop("user_id"))
     return rows.select("query_id", "child_id", F.round("score", 6).alias("score"), "auxiliary_reason", "rank")
 
 

@@ -81,7 +81,7 @@ _WEAK = "weak AS (SELECT DISTINCT c AS child_id FROM (SELECT unnest(list_transfo
     WHERE w.child_id IS NOT NULL OR len(tags) <= 2 ORDER BY candidate_reason DESC, child_id LIMIT 150""",
 )
 def tag_candidates(spark, sf_dir):
-    weak = L.low_confidence(ask_logs(spark, sf_dir), 1_000_000_000)
+    weak = L.weak_answers(ask_logs(spark, sf_dir))
     kids = tagged(spark, sf_dir).withColumn("child_id", F.concat(F.lit("c"), "child_id"))
     return T.tag_candidates(kids, weak, 150).select("child_id", "candidate_reason")
 
