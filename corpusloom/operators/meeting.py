@@ -119,9 +119,9 @@ def _key_value(line: Column) -> Column:
 
 def h2_sections(text) -> Column:
     """(key, value) per H2 section, keys in lower snake case."""
-    parts = F.slice(F.split(F.concat(F.lit("\n"), text_or_empty(text)), r"(?U)\n(?=##[^\S\n]+\S)", -1), F.lit(2), F.lit(2147483647))
+    pieces = F.split(F.concat(F.lit("\n"), text_or_empty(text)), r"(?U)\n(?=##[^\S\n]+\S)", -1)
     return F.transform(
-        parts,
+        F.filter(pieces, lambda p: p.startswith("##")),
         lambda p: F.struct(
             F.btrim(F.regexp_replace(F.lower(strip(F.regexp_extract(p, r"(?U)^##[^\S\n]+([^\n]+)", 1))), "[^a-z0-9_]+", "_"), F.lit("_")).alias("key"),
             strip(F.regexp_replace(p, r"^[^\n]*", "")).alias("value"),

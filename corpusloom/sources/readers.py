@@ -52,7 +52,7 @@ def read_markdown(spark: SparkSession, root: str, corpora: DataFrame) -> DataFra
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
     files = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").option("wholetext", True).text(root)
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
         .select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("_path"))
     )
     plain = F.regexp_replace(F.col("_path"), "^file:/+", "file:/")
