@@ -25,6 +25,11 @@ def col(value) -> Column:
     return value if isinstance(value, Column) else F.col(value)
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body`` (a let-expression)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def text_or_empty(value) -> Column:
     return F.coalesce(col(value).cast("string"), F.lit(""))
 
@@ -209,10 +214,14 @@ def search_text(title, heading, body, tags=None, extra: list | None = None) -> C
 
 
 def unquote(value, quotes: str = "\"'") -> Column:
-    t = strip(text_or_empty(value))
-    first, last = F.substring(t, 1, 1), F.substring(t, -1, 1)
-    quoted = (F.length(t) >= 2) & (first == last) & first.isin(*list(quotes))
-    return strip(F.when(quoted, F.substr(t, F.lit(2), F.length(t) - 2)).otherwise(t))
+    """Strip, remove one pair of equal quotes, strip again."""
+
+    def bare(t: Column) -> Column:
+        first = F.substring(t, 1, 1)
+        quoted = (F.length(t) >= 2) & (first == F.substring(t, -1, 1)) & first.isin(*list(quotes))
+        return F.when(quoted, strip(F.substr(t, F.lit(2), F.length(t) - 2))).otherwise(t)
+
+    return bind(strip(text_or_empty(value)), bare)
 
 
 # ---------------------------------------------------------------- headings

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import col, strip, text_or_empty, unquote
+from corpusloom.functions.text import bind, col, strip, text_or_empty, unquote
 from corpusloom.functions.unicode import nfkc
 
 # Words that mean "nothing recorded".
@@ -15,11 +15,6 @@ BLANK_WORDS = ["", '""', "''", "なし", "無し", "不明", "明記なし", "
 TRUE_WORDS = ["1", "true", "yes", "on"]
 
 
-def bind(value: Column, body) -> Column:
-    """Evaluate ``value`` once and hand it to ``body`` (a let-expression)."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def each(df: DataFrame, items, *keep, item: str = "_s", pos: str = "_pos") -> DataFrame:
     """One row per array element with its 0-based position.
 
@@ -97,8 +92,7 @@ def ratio(numerator, denominator, digits: int = 4) -> Column:
 
 def null_if_blank(value) -> Column:
     """NULL for blank words, otherwise the unquoted value."""
-    t = unquote(value)
-    return F.when(~t.isin(BLANK_WORDS), t)
+    return bind(unquote(value), lambda t: F.when(~t.isin(BLANK_WORDS), t))
 
 
 def is_blank(value) -> Column:
