@@ -50,7 +50,7 @@ def compare(spark, con, fn, sql: str, sf_dir: str) -> str:
     if types != {n: sql_types[n] for n in names}:
         return f"types { {n: (types[n], sql_types[n]) for n in names if types[n] != sql_types[n]} }"
     a, b = sorted(tuple(map(cell, r)) for r in got), sorted(tuple(map(cell, r)) for r in want)
-    if not a:
+    if not a and not b:
         return "no rows"
     if len(a) != len(b):
         extra = sorted(set(a) - set(b))[:1], sorted(set(b) - set(a))[:1]
