@@ -4,12 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import best_fit, bpe_concat
+from corpusloom.llm import best_fit, bpe_concat, collision_counting, threshold_topk
 from corpusloom.llm.common import table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
+ORACLES["op7_threshold_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT * FROM v WHERE vec_id % 50 = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(v.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score FROM s
+QUALIFY "rank" <= 5
+"""
+
 
 def query(fn):
     QUERIES[fn.__name__] = fn
@@ -21,6 +31,16 @@ def op1_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision_counting.search(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op7_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold_topk.search(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op8_bpe_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_concat.digests(table(spark, sf_dir, "documents"))
