@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import best_fit, bpe_concat, collision_counting, threshold_topk
+from corpusloom.llm import best_fit, bpe_concat, collision_counting, pii_votes, threshold_topk
 from corpusloom.llm.common import table
 
 QUERIES: dict = {}
@@ -44,3 +44,8 @@ def op7_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_bpe_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_concat.digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_pii_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_votes.digests(table(spark, sf_dir, "documents"))
