@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import best_fit, bpe_concat, collision_counting, nb_toxicity, pii_votes, threshold_topk
+from corpusloom.llm import best_fit, bpe_concat, collision_counting, nb_toxicity, pii_votes, secret_forest, threshold_topk
 from corpusloom.llm.common import table
 
 QUERIES: dict = {}
@@ -36,6 +36,11 @@ def op3_nb_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nb_toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op4_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_forest.digests(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collision_counting.search(table(spark, sf_dir, "embeddings"))
