@@ -32,11 +32,11 @@ from corpusloom.llm.common import batch_of, documents
 
 LEAF_CHARS = 16_384
 #: Words kept per worker; the later half goes when it is full (frequent words come early).
-KEPT_WORDS = 400_000
+KEPT_WORDS = 1_000_000
 #: Characters for which lower-casing a text equals what the tokenizer does character by character.
 _RARE = re.compile("[^\x00-į]")
 #: Separators for str.split() that are no white space for the tokenizer.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+_ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
 def default_path() -> str:
@@ -60,7 +60,8 @@ class WordBpe:
         )
         vocab = self.whole.get_vocab(with_added_tokens=True)
         size = max(vocab.values()) + 1
-        self.special = [a["content"] for a in spec["added_tokens"]]
+        # texts with one of these are encoded as a whole
+        self.apart = (*_ODD_SPACE, *(a["content"] for a in spec["added_tokens"]))
         self.tokens = np.empty(size, object)
         self.ends = np.zeros(size, bool)
         self.lengths = np.zeros(size, np.int64)
@@ -83,11 +84,11 @@ class WordBpe:
         get = self.words.get
         missing: set[str] = set()
         for text in texts:
-            if _ODD_SPACE.search(text) or any(s in text for s in self.special):
+            if any(s in text for s in self.apart):
                 cut.append(None)
                 got.append(np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
                 continue
-            words = (text.split if _RARE.search(text) else text.lower().split)()
+            words = (text.lower() if text.isascii() or not _RARE.search(text) else text).split()
             ids = list(map(get, words))
             cut.append(words)
             got.append(ids)
@@ -112,8 +113,8 @@ class WordBpe:
             else:
                 parts = [w.lower()] if w.isalpha() else self.pattern.findall(w.lower())
                 plain.append((w, parts))
-                cores.update(dict.fromkeys(parts))
-        order = list(cores)
+                cores.update((p, self.words.get(p)) for p in parts)
+        order = [c for c, ids in cores.items() if ids is None]
         for at in range(0, len(order), 2000):
             some = order[at : at + 2000]
             text = " ".join(c.encode().decode("latin-1").translate(self.bytes) for c in some)
