@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import best_fit, bpe_concat, collision_counting, nb_toxicity, pii_votes, secret_forest, threshold_topk
+from corpusloom.llm import best_fit, bpe_concat, collision_counting, line_alignment, nb_toxicity, pii_votes, secret_forest, threshold_topk
 from corpusloom.llm.common import table
 
 QUERIES: dict = {}
@@ -46,6 +46,11 @@ def op5_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collision_counting.search(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op6_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_alignment.digests(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threshold_topk.search(table(spark, sf_dir, "embeddings"))
