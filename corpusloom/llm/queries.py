@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import best_fit, bpe_concat, collision_counting, line_alignment, nb_toxicity, pii_votes, secret_forest, threshold_topk
+from corpusloom.llm import best_fit, bpe_concat, collision_counting, jaccard_voronoi, line_alignment, nb_toxicity, pii_votes, secret_forest, threshold_topk
 from corpusloom.llm.common import table
 
 QUERIES: dict = {}
@@ -64,3 +64,8 @@ def op8_bpe_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_pii_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_votes.digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_jaccard_voronoi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_voronoi.classes(table(spark, sf_dir, "documents"))
