@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import best_fit, bpe_concat, collision_counting, jaccard_voronoi, line_alignment, nb_toxicity, pii_votes, secret_forest, threshold_topk
+from corpusloom.llm import best_fit, bpe_concat, collision_counting, jaccard_voronoi, line_alignment, nb_toxicity, pii_votes, run_index, secret_forest, threshold_topk
 from corpusloom.llm.common import table
 
 QUERIES: dict = {}
@@ -31,6 +31,11 @@ def op1_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_index.digests(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_nb_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nb_toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
