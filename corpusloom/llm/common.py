@@ -104,3 +104,27 @@ def in_batches(schema: T.StructType, columns: dict, rows: int = 20000) -> Iterat
     n = len(next(iter(columns.values())))
     for i in range(0, n, rows):
         yield batch_of(schema, {k: v[i : i + rows] for k, v in columns.items()})
+
+
+def rewritten(docs: DataFrame, change, extra: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` without the columns ``extra``, its texts passed through ``change``.
+
+    ``change`` gets the texts (null as the empty text) and the rows, and returns a text for each, or None
+    to drop the row.  A null text that comes back empty stays null.  ``n_chars`` follows the text.
+    """
+    schema = docs.drop(*extra).schema
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in groups(batches, 1 << 22):
+            texts = part.column("text").to_pylist()
+            new = change([t or "" for t in texts], part)
+            kept = [i for i, t in enumerate(new) if t is not None]
+            new = [None if texts[i] is None and not new[i] else new[i] for i in kept]
+            part = part.take(pa.array(kept, pa.int64())).select(schema.names)
+            for name, values in (("text", new), ("n_chars", [None if t is None else len(t) for t in new])):
+                if name in schema.names:
+                    at = schema.names.index(name)
+                    part = part.set_column(at, part.schema.field(at), pa.array(values, part.schema.field(at).type))
+            yield from part.combine_chunks().to_batches()
+
+    return docs.mapInArrow(apply, schema)

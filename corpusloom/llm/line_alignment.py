@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import batch_of, documents, groups
+from corpusloom.llm.common import batch_of, documents, groups, rewritten
 
 RARE_DF = 1000
 MIN_CHARS = 20
@@ -196,3 +196,19 @@ def _map(docs: DataFrame, rare_df: int, min_chars: int, ddl: str, shown) -> Data
             yield batch_of(schema, dict(zip(schema.names, values)))
 
     return joined.mapInArrow(apply, schema)
+
+
+def without_repeats(docs: DataFrame, rare_df: int = RARE_DF, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``docs`` with all columns, less the lines that earlier documents have; documents left blank go."""
+    gone = deletions(docs, rare_df, min_chars).select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), F.col("gone").alias("_gone"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    joined = docs.join(gone, (F.col("doc_id").cast("long") == F.col("_doc")) & (F.xxhash64(text) == F.col("_row")), "left")
+
+    def change(texts: list[str], part: pa.Table) -> list[str | None]:
+        out: list[str | None] = []
+        for text, units_ in zip(texts, part.column("_gone").to_pylist()):
+            kept = remaining(text, units_, min_chars)[0] if units_ else text
+            out.append(None if units_ and not kept.strip() else kept)
+        return out
+
+    return rewritten(joined, change, ("_doc", "_row", "_gone"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import batch_of, documents, groups
+from corpusloom.llm.common import batch_of, documents, groups, rewritten
 
 BITS = 21
 NGRAMS = ((4, 0x9E3779B97F4A7C15), (5, 0xC2B2AE3D27D4EB4F))
@@ -187,3 +187,16 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             yield batch_of(schema, {"doc_id": part.column("doc_id").to_pylist(), "text": texts, "score": model.scores(texts, table)})
 
     return rows.mapInArrow(apply, schema)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all columns, that score below ``threshold``."""
+    model = fit(docs, labels)
+    tables: list[np.ndarray] = []
+
+    def change(texts: list[str], _) -> list[str | None]:
+        if not tables:
+            tables.append(model.table())
+        return [None if s >= threshold else t for t, s in zip(texts, model.scores(texts, tables[0]))]
+
+    return rewritten(docs, change)

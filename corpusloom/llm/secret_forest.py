@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import batch_of, documents, groups, written
+from corpusloom.llm.common import batch_of, documents, groups, rewritten, written
 
 SAMPLE = 20_000
 TREES = 24
@@ -335,3 +335,13 @@ def _map(docs, corpus, forest, threshold, ddl, make) -> DataFrame:
             yield batch_of(schema, {n: [r[n] for r in out] for n in schema.names})
 
     return rows.mapInArrow(apply, schema)
+
+
+def without_secrets(docs: DataFrame, findings: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
+    """``docs`` with all columns and every secret masked."""
+    corpus, forest = train(docs, findings)
+
+    def change(texts: list[str], _) -> list[str]:
+        return [masked(t, [c[:2] for c in decide(t, corpus, forest) if c[2] >= threshold]) for t in texts]
+
+    return rewritten(docs, change)
