@@ -74,3 +74,18 @@ def op9_pii_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_jaccard_voronoi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_voronoi.classes(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op10_jaccard_voronoi"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS sh FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+r(node, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.node, l.y FROM r JOIN l ON l.x = r.other)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(other) FROM r WHERE r.node = d.doc_id) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id
+"""
