@@ -18,7 +18,6 @@ WORK_LABELS = "親チャンク候補|子チャンク候補"
 LOG_CUT_MARK = "...[省略]"
 TOKEN_PATTERN = "([a-zA-Z0-9_]+|[\u3040-\u30ff\u3400-\u9fff])"
 TERM_PATTERN = "([a-zA-Z0-9]+|[\u3040-\u30ff\u3400-\u9fff]{2,})"
-MAX_BIGRAMS = 1000
 
 
 def col(value) -> Column:
@@ -94,8 +93,8 @@ def char_bigrams(value) -> Column:
     return F.zip_with(F.slice(chars, F.lit(1), count), F.slice(chars, F.lit(2), count), lambda a, b: F.concat(a, b))
 
 
-def retrieval_tokens(value, max_bigrams: int = MAX_BIGRAMS) -> Column:
-    """Words and single kana/kanji, then the first character bigrams that are not all space."""
+def retrieval_tokens(value, max_bigrams: int | None = None) -> Column:
+    """Words and single kana/kanji, then the character bigrams (or the first few) that are not all space."""
     low = F.lower(text_or_empty(value))
     pairs = char_bigrams(low)
     kept = F.when(
@@ -103,7 +102,7 @@ def retrieval_tokens(value, max_bigrams: int = MAX_BIGRAMS) -> Column:
         F.filter(pairs, lambda p: F.length(F.btrim(p, F.lit(WHITESPACE_CHARS))) > 0),
     ).otherwise(pairs)
     words = F.regexp_extract_all(low, F.lit(TOKEN_PATTERN), F.lit(0))
-    return F.concat(words, F.slice(kept, 1, max_bigrams))
+    return F.concat(words, kept if max_bigrams is None else F.slice(kept, 1, max_bigrams))
 
 
 def query_terms(*values) -> Column:
@@ -187,11 +186,15 @@ def split_multi(value, separators: str = "[|;,]") -> Column:
     return F.filter(parts, lambda p: p != "")
 
 
-def natural_sort_key(value, width: int = 20) -> Column:
-    """Digit runs padded so that string order equals numeric order."""
+def natural_sort_key(value) -> Column:
+    """Digit runs of any length led by their number of digits, so that string order equals numeric order."""
     runs = F.regexp_extract_all(text_or_empty(value), F.lit(r"(\d+|\D+)"), F.lit(0))
-    padded = F.transform(runs, lambda r: F.when(F.rlike(r, F.lit(r"^\d")), F.lpad(r, width, "0")).otherwise(r))
-    return F.array_join(padded, "")
+
+    def sized(r: Column) -> Column:
+        digits = F.regexp_replace(r, "^0+", "")
+        return F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+
+    return F.array_join(F.transform(runs, lambda r: F.when(F.rlike(r, F.lit(r"^\d")), sized(r)).otherwise(r)), "")
 
 
 def table_cell(value) -> Column:

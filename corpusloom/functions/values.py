@@ -124,3 +124,10 @@ def fenced_json(value) -> Column:
     t = strip(text_or_empty(value))
     t = F.regexp_replace(F.regexp_replace(t, r"(?U)^```(?:json)?\s*", ""), r"(?U)\s*```$", "")
     return strip(t)
+
+
+def positive(n: int) -> int:
+    """``n``, which must be 1 or more: callers' numbers are obeyed or refused, never changed."""
+    if n < 1:
+        raise ValueError(f"{n} is less than 1")
+    return n

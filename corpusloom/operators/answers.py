@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import blank_to_null, clean_markup, col, normalize_question, number_references, strip, text_or_empty
-from corpusloom.functions.values import fenced_json, json_strings
+from corpusloom.functions.values import fenced_json, json_strings, positive
 from corpusloom.operators.dense import alias_index, vector_topk, vector_topk_groups
 from corpusloom.operators.ranking import match_margin, ordinal
 
@@ -161,8 +161,8 @@ def candidate_rows(candidates: DataFrame, snapshot: DataFrame, rules: Matching =
 
 
 def similar_approved(candidates: DataFrame, threshold: float = 0.0, top_n: int = 5) -> DataFrame:
-    """Ranked candidates at or above the threshold, at most 20."""
-    return candidates.filter((F.col("similarity") >= max(0.0, threshold)) & (F.col("rank") <= max(1, min(top_n, 20))))
+    """Ranked candidates at or above the threshold, the first ``top_n``."""
+    return candidates.filter((F.col("similarity") >= max(0.0, threshold)) & (F.col("rank") <= positive(top_n)))
 
 
 def simple_lookup(questions: DataFrame, qa: DataFrame, threshold: float = 0.88, rules: Matching = Matching()) -> DataFrame:
@@ -266,7 +266,7 @@ def alias_conflicts(aliases: DataFrame, limit: int | None = 100) -> DataFrame:
         F.array_join(F.transform(F.sort_array(F.collect_set("qa_id")), lambda i: i.cast("string")), ",").alias("qa_ids"),
         F.array_join(F.sort_array(F.collect_set("alias_text")), " | ").alias("alias_texts"),
     )
-    return listed if limit is None else listed.orderBy(F.col("qa_count").desc(), "normalized_text").limit(max(1, min(limit, 500)))
+    return listed if limit is None else listed.orderBy(F.col("qa_count").desc(), "normalized_text").limit(positive(limit))
 
 
 def conflict_rows(aliases: DataFrame) -> DataFrame:
@@ -297,18 +297,28 @@ def risk_flags(question, alias_text, evidence_text=None) -> Column:
     return F.array_compact(F.array(*[F.when(test, F.lit(name)) for test, name in flags]))
 
 
-def filter_alias_candidates(candidates: DataFrame, qa: DataFrame, aliases: DataFrame, max_aliases: int = 8, max_length: int = 120) -> DataFrame:
-    """Usable new wordings per QA: short, not the question, not known, distinct, first few.
+def _evidence_numbers(qa: DataFrame) -> Column:
+    """The evidence texts in which article numbers count: number and title."""
+    held = qa.schema["evidence"].dataType.elementType.names
+    fields = [f for f in ("taxanswer_no", "title") if f in held]
+    return F.array_join(F.transform("evidence", lambda e: F.concat_ws("\n", *[e[f] for f in fields])), "\n")
+
+
+def filter_alias_candidates(candidates: DataFrame, qa: DataFrame, aliases: DataFrame, max_aliases: int | None = None, max_length: int | None = None) -> DataFrame:
+    """Usable new wordings per QA: not the question, not known, distinct; if wanted only short ones and the first few.
 
     ``candidates`` has (qa_id, position, alias_text).
     """
     text = strip(text_or_empty("alias_text"))
-    rows = candidates.withColumn("alias_text", text).filter((F.col("alias_text") != "") & (F.length("alias_text") <= max_length))
+    rows = candidates.withColumn("alias_text", text).filter("alias_text <> ''")
+    rows = rows if max_length is None else rows.filter(F.length("alias_text") <= max_length)
     rows = rows.withColumn("normalized_text", normalize_question("alias_text")).filter("normalized_text <> ''")
     own = qa.select(F.col("id").alias("qa_id"), normalize_question("question").alias("normalized_text"))
     known = aliases.select("qa_id", "normalized_text").unionByName(own)
     fresh = rows.join(known, ["qa_id", "normalized_text"], "left_anti")
     first = fresh.withColumn("_n", F.row_number().over(Window.partitionBy("qa_id", "normalized_text").orderBy("position"))).filter("_n = 1").drop("_n")
+    if max_aliases is None:
+        return first
     return first.withColumn("_r", F.row_number().over(Window.partitionBy("qa_id").orderBy("position"))).filter(F.col("_r") <= max_aliases).drop("_r")
 
 
@@ -316,8 +326,11 @@ def parse_alias_reply(reply) -> Column:
     """Alias texts of a model reply: the ``aliases`` list of its JSON object, else its lines."""
     raw = strip(text_or_empty(reply))
     inner = F.coalesce(blank_to_null(F.regexp_extract(raw, r"(?is)```(?:json)?\s*(.*?)```", 1)), raw)
-    body = F.regexp_extract(fenced_json(inner), r"(?s)(\{.*\})", 1)
-    listed = F.get_json_object(body, "$.aliases")
+    text = fenced_json(inner)
+    # from each brace on: the first that begins a readable object counts
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substring(text, i, F.lit(1)) == "{")
+    found = F.filter(F.transform(starts, lambda i: F.get_json_object(F.substring(text, i, F.length(text)), "$")), lambda o: o.startswith("{"))
+    listed = F.get_json_object(F.get(found, F.lit(0)), "$.aliases")
     bullet = r"(?U)^\s*[-*・\d.)）]+\s*"
     lines_ = F.transform(F.split(raw, "\r?\n", -1), lambda l: F.btrim(F.btrim(strip(F.regexp_replace(l, bullet, "")), F.lit('"')), F.lit("'")))
     return F.when(listed.isNotNull() & listed.startswith("["), json_strings(listed)).otherwise(F.filter(lines_, lambda l: l != ""))
@@ -468,7 +481,7 @@ def add_aliases(qa: DataFrame, aliases: DataFrame, new: DataFrame, now: str, def
     rows = new.withColumn("alias_type", kind).withColumn("alias_text", strip(text_or_empty("alias_text")))
     wanted = F.coalesce(blank_to_null("status"), F.when(F.col("alias_type") == GENERATED, F.lit(generated_status)).otherwise(F.lit(default_status)))
     rows = rows.withColumn("status", wanted).withColumn("normalized_text", normalize_question("alias_text"))
-    rows = rows.join(qa.select(F.col("id").alias("qa_id"), F.col("question").alias("_question"), F.to_json("evidence").alias("_evidence")), "qa_id", "left")
+    rows = rows.join(qa.select(F.col("id").alias("qa_id"), F.col("question").alias("_question"), _evidence_numbers(qa).alias("_evidence")), "qa_id", "left")
     error = (
         F.when(F.col("_question").isNull(), "approved QA not found")
         .when(~F.col("alias_type").isin(ALIAS_TYPES), "invalid alias_type")
@@ -504,7 +517,7 @@ def add_aliases(qa: DataFrame, aliases: DataFrame, new: DataFrame, now: str, def
 def replace_generated_aliases(qa: DataFrame, aliases: DataFrame, new: DataFrame, now: str, memo: str = "replace generated aliases", generated_status: str = "active") -> DataFrame:
     """Next alias snapshot: a QA's generated aliases are replaced if it has any valid new row."""
     rows = new.withColumn("alias_text", strip(text_or_empty("alias_text"))).filter((F.col("alias_text") != "") & F.col("embedding").isNotNull())
-    rows = rows.join(qa.select(F.col("id").alias("qa_id"), F.col("question").alias("_question"), F.to_json("evidence").alias("_evidence")), "qa_id")
+    rows = rows.join(qa.select(F.col("id").alias("qa_id"), F.col("question").alias("_question"), _evidence_numbers(qa).alias("_evidence")), "qa_id")
     rows = rows.withColumn("normalized_text", normalize_question("alias_text"))
     rows = _conflicting(rows, aliases)
     flags = F.array_union(risk_flags("_question", "alias_text", "_evidence"), F.when(F.col("_conflict"), F.array(F.lit(CONFLICT_FLAG))).otherwise(F.array().cast("array<string>")))
@@ -523,7 +536,7 @@ def update_aliases(qa: DataFrame, aliases: DataFrame, changes: DataFrame, now: s
     A changed text needs a new vector; such rows without one are left as they are.
     """
     c = changes.select("id", F.lit(True).alias("_hit"), *[F.col(n).alias(f"_n_{n}") for n in ("alias_text", "status", "embedding", "memo")])
-    joined = aliases.join(c, "id", "left").join(qa.select(F.col("id").alias("qa_id"), F.col("question").alias("_question"), F.to_json("evidence").alias("_evidence")), "qa_id", "left")
+    joined = aliases.join(c, "id", "left").join(qa.select(F.col("id").alias("qa_id"), F.col("question").alias("_question"), _evidence_numbers(qa).alias("_evidence")), "qa_id", "left")
     text = strip(F.coalesce("_n_alias_text", "alias_text"))
     moved = joined.withColumn("_text", text).withColumn("_text_changed", F.col("_text") != F.col("alias_text"))
     ok = F.coalesce("_hit", F.lit(False)) & (F.col("_text") != "") & (~F.col("_text_changed") | F.col("_n_embedding").isNotNull())

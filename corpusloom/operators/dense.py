@@ -140,11 +140,12 @@ def _partial_topk(index: DataFrame, queries: DataFrame, k: int, metric: str, max
     ddl = f"query_id {dict(queries.dtypes)['query_id']}, child_id {types['child_id']}"
     ddl += f", group_id {types['group_id']}" if "group_id" in keep else ""
     ddl += ", score double"
-    size = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).first()
+    names = F.coalesce(F.sum(F.size("corpus_ids")), F.lit(0)) if "corpus_ids" in queries.columns else F.lit(0)
+    size = queries.agg(F.count("*").alias("n"), (F.coalesce(F.sum(F.size("embedding")), F.lit(0)) + names).alias("values")).first()
     if not size["n"]:
         return index.sparkSession.createDataFrame([], ddl)
-    if size["n"] * size["width"] <= max_values:
-        return _broadcast_topk(index.select(*keep), queries.select(*wanted), k, metric, size["width"], ddl)
+    if size["values"] <= max_values:
+        return _broadcast_topk(index.select(*keep), queries.select(*wanted), k, metric, ddl)
     return _blocked_topk(index.select(*keep), queries.select(*wanted), k, metric, size["n"], ddl, block_rows)
 
 
@@ -155,8 +156,8 @@ def vector_topk(
 
     ``index`` has (child_id, embedding[, corpus_id]), ``queries`` has (query_id,
     embedding[, corpus_ids]).  ``l2`` scores are ``1 / (1 + squared distance)``.
-    Vectors of another length than the query batch are skipped.  Runs one small job
-    to learn the batch size.
+    A query meets the index rows of its own vector length.  Runs one small job to learn
+    the batch size.
     """
     return topk(_partial_topk(index.drop("group_id"), queries, k, metric, max_values, block_rows), k)
 
@@ -174,21 +175,31 @@ def vector_topk_groups(
     return topk(best, k, "query_id", "score", "group_id")
 
 
-def _broadcast_topk(index: DataFrame, queries: DataFrame, k: int, metric: str, width: int, ddl: str) -> DataFrame:
+def _by_width(batch: pa.Table) -> list[tuple[pa.Array, np.ndarray, list | None]]:
+    """(ids, vectors, permitted corpora) of the queries of each vector length."""
+    lengths = pc.list_value_length(_column(batch, "embedding"))
+    out = []
+    for width in sorted(w for w in pc.unique(lengths).to_pylist() if w):
+        part = batch.filter(pc.fill_null(pc.equal(lengths, width), False))
+        allowed = part.column("corpus_ids").to_pylist() if "corpus_ids" in part.schema.names else None
+        out.append((_column(part, "query_id"), matrix_of(_column(part, "embedding"), width), allowed))
+    return out
+
+
+def _broadcast_topk(index: DataFrame, queries: DataFrame, k: int, metric: str, ddl: str) -> DataFrame:
     # bounded by the check in _partial_topk
-    batch = queries.filter(F.size("embedding") == width).toArrow()
-    ids = _column(batch, "query_id")
-    vectors = matrix_of(_column(batch, "embedding"), width)
-    allowed = batch.column("corpus_ids").to_pylist() if "corpus_ids" in batch.schema.names else None
+    parts = _by_width(queries.toArrow())
     schema = _schema(ddl)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = RunningTop(len(ids), k)
+        tops = [RunningTop(len(ids), k) for ids, _, _ in parts]
         for rows in batches:
-            _block_top(rows, vectors, allowed, metric, k, top)
-        out = _result(top, ids, schema)
-        if out is not None:
-            yield out
+            for top, (_, vectors, allowed) in zip(tops, parts):
+                _block_top(rows, vectors, allowed, metric, k, top)
+        for top, (ids, _, _) in zip(tops, parts):
+            out = _result(top, ids, schema)
+            if out is not None:
+                yield out
 
     return index.mapInArrow(score, ddl)
 
@@ -205,16 +216,14 @@ def _blocked_topk(index: DataFrame, queries: DataFrame, k: int, metric: str, n_q
     right = queries.withColumn("_j", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn("_i", grid(i_blocks))
 
     def score(a: pa.Table, b: pa.Table) -> pa.Table:
-        empty = schema.empty_table()
         if a.num_rows == 0 or b.num_rows == 0:
-            return empty
-        width = int(pc.max(pc.list_value_length(_column(b, "embedding"))).as_py())
-        b = b.filter(pc.equal(pc.list_value_length(_column(b, "embedding")), width))
-        allowed = b.column("corpus_ids").to_pylist() if "corpus_ids" in b.schema.names else None
-        top = RunningTop(b.num_rows, k)
-        _block_top(a.combine_chunks(), matrix_of(_column(b, "embedding"), width), allowed, metric, k, top)
-        out = _result(top, _column(b, "query_id"), schema)
-        return empty if out is None else pa.Table.from_batches([out])
+            return schema.empty_table()
+        found, rows = [], a.combine_chunks()
+        for ids, vectors, allowed in _by_width(b):
+            top = RunningTop(len(ids), k)
+            _block_top(rows, vectors, allowed, metric, k, top)
+            found.append(_result(top, ids, schema))
+        return pa.Table.from_batches([f for f in found if f is not None], schema=schema)
 
     return left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInArrow(score, ddl)
 

@@ -80,9 +80,8 @@ def query_terms(queries: DataFrame, query: str = "query_id", text: str = "questi
     return words.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def _block_scorer(terms: list[str], query_ids: pa.Array, weights: np.ndarray, avgdl: float, okapi: Okapi, k: int, schema: pa.Schema):
+def _block_scorer(terms: list[str], query_ids: pa.Array, weights: np.ndarray, asked: np.ndarray, avgdl: float, okapi: Okapi, k: int, schema: pa.Schema):
     vocabulary = pa.array(terms, pa.string())
-    known = (weights != 0).astype(np.float64)
     rows_per_block = max(64, BLOCK_CELLS // max(len(terms), 1))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +99,8 @@ def _block_scorer(terms: list[str], query_ids: pa.Array, weights: np.ndarray, av
                 length = np.asarray(part.column("dl"), dtype=np.float64)[:, None]
                 gain = tf * (okapi.k1 + 1) / (tf + okapi.k1 * (1 - okapi.b + okapi.b * length / avgdl))
                 scores = gain @ weights
-                present = (np.minimum(tf, 1) @ known) > 0
+                # a term of weight 0 still makes a match
+                present = (np.minimum(tf, 1) @ asked) > 0
                 row, query = best_rows(scores, present, k)
                 top.add(part.column("child_id").take(pa.array(row)), query, scores[row, query])
         if top.ids is not None and len(top.ids):
@@ -143,9 +143,11 @@ def _bm25_broadcast(tokenized: DataFrame, batch: DataFrame, stats: DataFrame, ok
     if rows.num_rows == 0 or measured is None:
         return spark.createDataFrame([], ddl)
     weights = np.zeros((len(words), len(query_ids)))
-    weights[np.asarray(pc.index_in(rows.column("term"), value_set=words)), np.asarray(pc.index_in(rows.column("query_id"), value_set=query_ids))] = np.asarray(rows.column("w"))
+    asked = np.zeros(weights.shape)
+    cell = np.asarray(pc.index_in(rows.column("term"), value_set=words)), np.asarray(pc.index_in(rows.column("query_id"), value_set=query_ids))
+    weights[cell], asked[cell] = np.asarray(rows.column("w")), 1
     avgdl = float(measured["avgdl"])
-    scorer = _block_scorer(words.to_pylist(), query_ids, weights, avgdl, okapi, k, schema)
+    scorer = _block_scorer(words.to_pylist(), query_ids, weights, asked, avgdl, okapi, k, schema)
     return tokenized.select("child_id", "tokens", "dl").mapInArrow(scorer, ddl)
 
 

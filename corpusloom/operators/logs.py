@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import blank_to_null, col, preview, strip, text_or_empty
 from corpusloom.functions.unicode import casefold
-from corpusloom.functions.values import ratio
+from corpusloom.functions.values import positive, ratio
 
 # Miss reasons that count as near misses; source fields kept in the log.
 NEAR_MISS = ["below_accept_threshold", "margin_too_small", "llm_judge_rejected"]
@@ -97,7 +97,7 @@ def search_logs(
     session_id: str | None = None, log_id: int | None = None, min_score: float | None = None, max_score: float | None = None,
 ) -> DataFrame:
     """Newest matching logs.  Every filter applies before the limit."""
-    rows = log_metrics(logs.filter(_at() >= cutoff(as_of, 24 * max(1, min(days, 365)))))
+    rows = log_metrics(logs.filter(_at() >= cutoff(as_of, 24 * positive(days))))
     tests: list[Column] = []
     if log_id is not None:
         tests.append(F.col("id") == log_id)
@@ -129,7 +129,7 @@ def search_logs(
         .withColumn("question_preview", preview("question", 180))
         .withColumn("answer_preview", preview("answer", 260))
         .orderBy(F.col("id").desc())
-        .limit(max(1, min(limit, 500)))
+        .limit(positive(limit))
     )
 
 
@@ -221,11 +221,11 @@ def chunk_hits(logs: DataFrame, top_n: int = 20, samples: int = 5) -> DataFrame:
         F.round(F.greatest(F.max(score), F.lit(0.0)), 6).alias("max_score"),
         F.max("created_at").alias("last_hit_at"),
     )
-    ranked = stats.orderBy(F.col("hits").desc(), "source_key").limit(max(1, min(top_n, 100)))
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.col("hits").desc(), "source_key")))  # at most 100 rows
+    ranked = stats.orderBy(F.col("hits").desc(), "source_key").limit(positive(top_n))
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.col("hits").desc(), "source_key")))  # top_n rows
     newest = Window.partitionBy("source_key").orderBy(F.col("id").desc())
     picked = (
-        hits.select("source_key", "id", F.struct("s.corpus_id", "s.parent_id", "s.child_id", "s.title", "s.heading_path", "s.source_file").alias("_d")).join(F.broadcast(ranked.select("source_key")), "source_key", "left_semi")
+        hits.select("source_key", "id", F.struct("s.corpus_id", "s.parent_id", "s.child_id", "s.title", "s.heading_path", "s.source_file").alias("_d")).join(ranked.select("source_key"), "source_key", "left_semi")
         .withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= samples)
         .groupBy("source_key").agg(F.sort_array(F.collect_list("id"), False).alias("sample_log_ids"), F.max_by("_d", "id").alias("_d"))
     )
@@ -236,15 +236,15 @@ def file_hits(logs: DataFrame, top_n: int = 20) -> DataFrame:
     s = F.col("s")
     key = F.coalesce(blank_to_null(s["source_file"]), *([blank_to_null(s["source_url"])] if "source_url" in logs.schema["sources"].dataType.elementType.names else []), blank_to_null(s["corpus_id"]), F.lit("unknown"))
     stats = source_hits(logs).groupBy(key.alias("file_key")).agg(F.count("*").alias("hits"), F.max("created_at").alias("last_hit_at"))
-    ranked = stats.orderBy(F.col("hits").desc(), "file_key").limit(max(1, min(top_n, 100)))
-    return ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.col("hits").desc(), "file_key")))  # at most 100 rows
+    ranked = stats.orderBy(F.col("hits").desc(), "file_key").limit(positive(top_n))
+    return ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.col("hits").desc(), "file_key")))  # top_n rows
 
 
 def top_questions(logs: DataFrame, top_n: int = 20) -> DataFrame:
     q = strip(text_or_empty("question"))
     return (
         logs.select(q.alias("question")).filter("question <> ''").groupBy("question").agg(F.count("*").alias("hits"))
-        .orderBy(F.col("hits").desc(), "question").limit(max(1, min(top_n, 100)))
+        .orderBy(F.col("hits").desc(), "question").limit(positive(top_n))
     )
 
 

@@ -62,7 +62,6 @@ MINUTES_LISTS = [
     ("rejected_items", "rejection", ["rejected_item", "rejection", "summary", "event_summary"]),
 ]
 SLIDE_SUMMARY = ["summary", "event_summary", "proposal", "report", "text"]
-TIMELINE_LIMIT = 120
 META = ["meeting_id", "meeting_name", "meeting_date", "source_file"]
 ITEM = "array<struct<key:string,value:string>>"
 
@@ -299,7 +298,6 @@ def minutes_events(minutes_rows: DataFrame) -> DataFrame:
     talk = base.filter("discussion is not null").withColumn("item", F.array().cast(ITEM))
     short = F.regexp_replace("discussion", rf"(?U){SPACE}+", " ")
     short = strip(short)
-    short = F.when(F.length(short) > 400, F.concat(F.substring(short, 1, 400), F.lit("..."))).otherwise(short)
     discussed = _event(talk, F.lit("discussion"), shared, short, refs(F.lit("discussion")), F.concat(F.col("section_title"), F.lit(":discussion")))
     return listed.unionByName(discussed)
 
@@ -499,10 +497,11 @@ def timeline_intent(question) -> tuple[Column, Column, Column]:
     return any_of(TIMELINE_WORDS), kind, F.when(F.length(rest) >= 2, rest)
 
 
-def resolve_timelines(questions: DataFrame, seeds: DataFrame, events: DataFrame, limit: int = TIMELINE_LIMIT) -> DataFrame:
+def resolve_timelines(questions: DataFrame, seeds: DataFrame, events: DataFrame, limit: int) -> DataFrame:
     """Events per timeline question: those of its seed meetings, else by topic, else by type alone.
 
-    ``questions`` has (query_id, question), ``seeds`` (query_id, meeting_id).
+    ``questions`` has (query_id, question), ``seeds`` (query_id, meeting_id).  Each question
+    gets its first ``limit`` events.
     """
     asked, kind, topic = timeline_intent("question")
     q = questions.select("query_id", asked.alias("_asked"), kind.alias("_kind"), topic.alias("_topic")).filter("_asked").drop("_asked")

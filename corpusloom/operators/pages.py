@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,9 @@ BLOCK_ENDS = "p|div|section|article|main|tr|table|ul|ol|dl|dt|dd"
 def html_to_markdown(html, skip_lines: list[str] = SKIP_LINES) -> Column:
     """HTML text to Markdown lines: headings, list items, table cells and image captions kept."""
     t = F.regexp_replace(text_or_empty(html), rf"(?is)<({DROPPED_ELEMENTS})\b[^>]*>.*?</\1>", "\n")
+    # white space within an image tag first: a caption is one line
+    broken = F.regexp_extract_all(t, F.lit(r"(?is)(<img\b[^>]*[\r\n][^>]*>)"), F.lit(1))
+    t = F.aggregate(F.array_distinct(broken), t, lambda s, tag: F.replace(s, tag, F.regexp_replace(tag, r"\s+", " ")))
     t = F.regexp_replace(t, r"""(?is)<img\b[^>]*\balt=["']([^"']+)["'][^>]*>""", "\n[画像: $1]\n")
     for level in range(1, 7):
         t = F.regexp_replace(t, rf"(?i)<h{level}\b[^>]*>", "\n" + "#" * level + " ")
@@ -148,11 +153,15 @@ def assemble_pages(pages: DataFrame, doc: str, page_no: str, text: str, run: int
     )
 
 
-def infer_document_title(first_page, metadata_title, default) -> Column:
-    """Metadata title unless it is a file name or document number, else the first lines of page one."""
+def infer_document_title(first_page, metadata_title, default, head_lines: int | None = None, max_meta: int | None = None, max_read: int | None = None) -> Column:
+    """Metadata title unless it is a file name or document number, else the first lines of page one.
+
+    The limits (lines read, characters kept) are the caller's; without them nothing is cut.
+    """
     meta = strip(F.get(F.split(normalize_page_text(metadata_title), "\n"), F.lit(0)))
     usable = (meta != "") & ~F.lower(meta).endswith(".pdf") & ~F.rlike(meta, F.lit(r"^[0-9]{6,}-[0-9]+$"))
-    head = F.slice(F.split(normalize_page_text(first_page), "\n", -1), 1, 20)
+    head = F.split(normalize_page_text(first_page), "\n", -1)
+    head = head if head_lines is None else F.slice(head, 1, head_lines)
     first = F.struct(F.lit("").alias("title"), F.lit(False).alias("done"))
 
     def step(s: Column, line: Column) -> Column:
@@ -170,8 +179,8 @@ def infer_document_title(first_page, metadata_title, default) -> Column:
 
     read = F.aggregate(head, first, step, lambda s: s["title"])
     return (
-        F.when(usable, F.substring(meta, 1, 120))
-        .when(read != "", F.substring(read, 1, 160))
+        F.when(usable, meta if max_meta is None else F.substring(meta, 1, max_meta))
+        .when(read != "", read if max_read is None else F.substring(read, 1, max_read))
         .otherwise(text_or_empty(default))
     )
 
@@ -196,14 +205,27 @@ def resolve_url(base, href) -> Column:
         .otherwise(F.concat(folder, h))
     )
     full = F.regexp_replace(full, r"#.*$", "")
-    full = F.regexp_replace(full, r"(?<!:)/(?:\./)+", "/")
-    for _ in range(4):
-        full = F.regexp_replace(full, r"(?<=[^/:])/(?!\.\./)[^/?#]+/\.\./", "/")
-    return full
+    return F.when(F.rlike(full, F.lit(r"/\.\.?(?:[/?]|$)")), bind(full, _folded)).otherwise(full)
+
+
+def _folded(url: Column) -> Column:
+    """``.`` and ``..`` segments of the path taken away."""
+    shape = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)/([^?#]*)(.*)$"
+    parts = F.split(F.regexp_extract(url, shape, 2), "/", -1)
+    none = F.array().cast("array<string>")
+
+    def step(s: Column, p: Column) -> Column:
+        up = F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0)))
+        return F.when(p == "..", up).when(p == ".", s).otherwise(F.concat(s, F.array(p)))
+
+    kept = F.aggregate(parts, none, step)
+    kept = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    whole = F.concat(F.regexp_extract(url, shape, 1), F.lit("/"), F.array_join(kept, "/"), F.regexp_extract(url, shape, 3))
+    return F.when(F.rlike(url, F.lit(shape)), whole).otherwise(url)
 
 
 def page_links(pages: DataFrame, order: str = "page_id") -> DataFrame:
-    """Anchors of each page in document order with the last H2/H3 seen before them."""
+    """Anchors of each page in document order with the last H2/H3 closed before them."""
     parts = F.regexp_extract_all(
         text_or_empty("html"), F.lit(r"(?is)(<h[23]\b[^>]*>.*?</h[23]>|<a\b[^>]*>.*?</a>)"), F.lit(1)
     )
@@ -217,20 +239,25 @@ def page_links(pages: DataFrame, order: str = "page_id") -> DataFrame:
 
     def step(s: Column, p: Column) -> Column:
         is_h2, is_h3 = F.rlike(p, F.lit("(?i)^<h2")), F.rlike(p, F.lit("(?i)^<h3"))
-        href = F.regexp_extract(p, r"""(?is)^<a\b[^>]*\bhref\s*=\s*["']?([^"'>\s]*)""", 1)
-        link = F.struct(href.alias("href"), plain(p).alias("text"), s["h2"].alias("h2"), s["h3"].alias("h3"))
-        keep = ~is_h2 & ~is_h3 & (href != "") & (plain(p) != "")
+
+        def link(a: Column) -> Column:
+            href = F.regexp_extract(a, r"""(?is)^<a\b[^>]*\bhref\s*=\s*["']?([^"'>\s]*)""", 1)
+            return F.struct(href.alias("href"), plain(a).alias("text"), s["h2"].alias("h2"), s["h3"].alias("h3"))
+
+        # an anchor may stand within a heading, which counts from its end on
+        anchors = F.regexp_extract_all(p, F.lit(r"(?is)(<a\b[^>]*>.*?</a>)"), F.lit(1))
+        links = F.filter(F.transform(anchors, link), lambda l: (l["href"] != "") & (l["text"] != ""))
         return F.struct(
             F.when(is_h2, plain(p)).otherwise(s["h2"]).alias("h2"),
             F.when(is_h2, F.lit("")).when(is_h3, plain(p)).otherwise(s["h3"]).alias("h3"),
-            F.when(keep, F.concat(s["out"], F.array(link))).otherwise(s["out"]).alias("out"),
+            F.concat(s["out"], links).alias("out"),
         )
 
     found = each(pages, F.aggregate(parts, first, step, lambda s: s["out"]), order, F.col("url").alias("source_url"), item="_l", pos="position")
     decoded = found.withColumn("_text", squeeze(html_unescape(F.col("_l.text"))))
     return decoded.select(
         order, "source_url", "position", resolve_url("source_url", html_unescape(F.col("_l.href"))).alias("url"),
-        F.col("_text").alias("text"), F.col("_l.h2").alias("h2"), F.col("_l.h3").alias("h3"),
+        F.col("_text").alias("text"), squeeze(html_unescape(F.col("_l.h2"))).alias("h2"), squeeze(html_unescape(F.col("_l.h3"))).alias("h3"),
     )
 
 
@@ -263,19 +290,22 @@ def link_manifest(links: DataFrame, category, status) -> DataFrame:
     return links.select(F.inline(pairs)).groupBy("kind", "value").agg(F.count("*").alias("n"))
 
 
-def reachable_pages(edges: DataFrame, starts: DataFrame, max_pages: int = 0, max_rounds: int = 1000) -> DataFrame:
+def reachable_pages(edges: DataFrame, starts: DataFrame, max_pages: int = 0, max_rounds: int | None = None) -> DataFrame:
     """Pages reachable from the start pages, with their distance (runs one job per round).
 
     ``edges`` has (src, dst), ``starts`` has (url).  Each round expands the frontier
     only, and its result is checkpointed so that lost executors do not replay the walk.
-    ``max_pages`` is the crawl limit: the walk stops once it is reached.
+    ``max_pages`` is the crawl limit: the walk stops once it is reached.  A walk that is
+    not done after ``max_rounds`` rounds is an error.
     """
     links = edges.select("src", "dst").distinct()
     frontier = cut_lineage(starts.select("url").distinct().withColumn("depth", F.lit(0)))
     seen = frontier
-    for depth in range(1, max_rounds + 1):
+    for depth in count(1):
         if max_pages and seen.count() >= max_pages:
             break
+        if max_rounds is not None and depth > max_rounds:
+            raise ValueError(f"pages are left after {max_rounds} rounds")
         step = frontier.join(links, frontier["url"] == links["src"]).select(F.col("dst").alias("url")).distinct()
         frontier = cut_lineage(step.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():

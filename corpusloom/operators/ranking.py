@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import col
+from corpusloom.functions.values import positive
 from corpusloom.session import cut_lineage
 
 CUT_MARK = "\n...[省略]"
@@ -119,9 +120,9 @@ def latest(rows: DataFrame, keys: list[str], version: list[Column]) -> DataFrame
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def recent(rows: DataFrame, order: str = "id", limit: int = 50, low: int = 1, high: int = 500) -> DataFrame:
-    """Newest rows first; the limit is clamped."""
-    return rows.orderBy(F.col(order).desc()).limit(max(low, min(limit, high)))
+def recent(rows: DataFrame, order: str = "id", limit: int = 50) -> DataFrame:
+    """Newest rows first."""
+    return rows.orderBy(F.col(order).desc()).limit(positive(limit))
 
 
 def ordinal(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
@@ -157,8 +158,8 @@ def batch_manifest(batched: DataFrame) -> DataFrame:
 
 
 def priority_order(rows: DataFrame, limit: int, priority: str = "priority", count: str = "count", seen: str = "last_seen_at") -> DataFrame:
-    """High before medium before low, larger counts first, then oldest; cut to ``max(limit, 10)``."""
+    """High before medium before low, larger counts first, then oldest; cut to ``limit``."""
     rank = F.when(col(priority) == "high", 0).when(col(priority) == "medium", 1).when(col(priority) == "low", 2).otherwise(3)
     order = [rank, F.col(count).desc(), F.coalesce(F.col(seen).cast("string"), F.lit(""))]
     rest = [F.col(c) for c in ("task_type", "question") if c in rows.columns]
-    return rows.orderBy(*order, *rest).limit(max(limit, 10))
+    return rows.orderBy(*order, *rest).limit(positive(limit))

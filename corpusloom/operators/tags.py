@@ -10,8 +10,7 @@ from corpusloom.functions.unicode import casefold
 from corpusloom.functions.values import fenced_json, json_strings
 from corpusloom.operators.matching import contained_terms
 
-MAX_TAGS = 40
-MAX_EDITED_TAGS = 100
+# Metadata fields whose values are tags.
 META_TAG_KEYS = ["document_type", "document_id", "tsutatsu_name", "tax_type", "asset_tax_category", "category"]
 
 # Dictionary of domain terms in their tag order.
@@ -77,7 +76,7 @@ def category_tags(source_file, corpus_id, categories: dict[str, list[str]] = CAT
     return F.array_distinct(F.concat(*groups)) if groups else _empty()
 
 
-def rule_tags(children: DataFrame, terms: list[str] | None = None, categories: dict[str, list[str]] | None = None, meta_keys: list[str] = META_TAG_KEYS, limit: int = MAX_TAGS) -> DataFrame:
+def rule_tags(children: DataFrame, terms: list[str] | None = None, categories: dict[str, list[str]] | None = None, meta_keys: list[str] = META_TAG_KEYS, limit: int | None = None) -> DataFrame:
     """Add ``search_tags``: category, metadata, code, title and dictionary tags in that order.
 
     The dictionary is part of the expression, so tagging is one projection without a
@@ -89,7 +88,7 @@ def rule_tags(children: DataFrame, terms: list[str] | None = None, categories: d
     meta = F.array_compact(F.array(*[F.col(k).cast("string") for k in meta_keys if k in children.columns])) if any(k in children.columns for k in meta_keys) else _empty()
     found = F.filter(F.array(*[F.lit(t) for t in dict.fromkeys(terms)]), lambda t: F.contains(F.col("_hay"), t)) if terms else _empty()
     tags = F.concat(category_tags("source_file", "corpus_id", categories), usable_tags(meta), usable_tags(code_tags("_hay")), title_phrases("title"), found)
-    return children.withColumn("_hay", hay).withColumn("search_tags", F.slice(F.array_distinct(tags), 1, limit)).drop("_hay")
+    return children.withColumn("_hay", hay).withColumn("search_tags", _first(F.array_distinct(tags), limit)).drop("_hay")
 
 
 def dictionary_tags(children: DataFrame, terms: DataFrame, key: str = "child_id", text: str = "text") -> DataFrame:
@@ -99,16 +98,20 @@ def dictionary_tags(children: DataFrame, terms: DataFrame, key: str = "child_id"
     return hits.groupBy(key).agg(F.sort_array(F.collect_set("term")).alias("tags"))
 
 
-def normalize_tags(values, limit: int = MAX_TAGS) -> Column:
-    """Squeezed distinct tags, cut."""
+def _first(values: Column, limit: int | None) -> Column:
+    return values if limit is None else F.slice(values, 1, limit)
+
+
+def normalize_tags(values, limit: int | None = None) -> Column:
+    """Squeezed distinct tags, cut to ``limit`` if there is one."""
     clean = F.filter(F.transform(col(values), squeeze), lambda t: t != "")
-    return F.slice(F.array_distinct(clean), 1, limit)
+    return _first(F.array_distinct(clean), limit)
 
 
-def edited_tags(values, limit: int = MAX_EDITED_TAGS) -> Column:
-    """Tags typed by an editor: split on commas and line breaks, distinct, cut."""
+def edited_tags(values, limit: int | None = None) -> Column:
+    """Tags typed by an editor: split on commas and line breaks, distinct, cut to ``limit`` if there is one."""
     parts = F.flatten(F.transform(col(values), lambda v: F.split(v, "[,、，\r\n]", -1)))
-    return F.slice(F.array_distinct(F.filter(F.transform(parts, strip), lambda t: t != "")), 1, limit)
+    return _first(F.array_distinct(F.filter(F.transform(parts, strip), lambda t: t != "")), limit)
 
 
 def with_tags(children: DataFrame, tags: Column) -> DataFrame:
@@ -126,7 +129,7 @@ def apply_tag_edits(children: DataFrame, edits: DataFrame) -> DataFrame:
     return joined.withColumn("search_text", text).withColumn("search_tags", tags).drop("_new").select(*children.columns, *([] if "search_text" in children.columns else ["search_text"]))
 
 
-def parse_model_tags(reply, limit: int = MAX_TAGS) -> Column:
+def parse_model_tags(reply, limit: int | None = None) -> Column:
     """Tags from a model reply: JSON array, possibly fenced; unreadable replies give none."""
     return normalize_tags(json_strings(fenced_json(reply)), limit)
 
@@ -166,11 +169,12 @@ def search_tags(children: DataFrame, query: str | None = None, corpus_id: str |
     return rows.withColumn("tag_count", F.size("search_tags")).withColumn("text_preview", cut)
 
 
-def tag_candidates(children: DataFrame, weak_logs: DataFrame, top_n: int = 20, few: int = 2) -> DataFrame:
-    """Children used by low-confidence answers, then children with few tags; cut to ``top_n``."""
+def tag_candidates(children: DataFrame, weak_logs: DataFrame, top_n: int | None = None, few: int = 2) -> DataFrame:
+    """Children used by low-confidence answers, then children with few tags; cut to ``top_n`` if given."""
     failed = weak_logs.select(F.explode("sources").alias("s")).select(F.col("s.child_id").alias("child_id")).filter("child_id <> ''").distinct()
     marked = children.join(failed.withColumn("_failed", F.lit(True)), "child_id", "left")
     reason = F.when(F.col("_failed"), "used_by_low_confidence_answer").when(F.size(F.coalesce("search_tags", _empty())) <= few, "few_tags")
-    return marked.withColumn("candidate_reason", reason).drop("_failed").filter("candidate_reason is not null").orderBy(F.col("candidate_reason").desc(), "child_id").limit(top_n)
+    ordered = marked.withColumn("candidate_reason", reason).drop("_failed").filter("candidate_reason is not null").orderBy(F.col("candidate_reason").desc(), "child_id")
+    return ordered if top_n is None else ordered.limit(top_n)
 
 

@@ -141,7 +141,7 @@ def retrieval_query(spark, sf_dir):
 
 # ---------------------------------------------------------------- citations
 
-SOURCES = """ans AS (SELECT event_id AS answer_id, [struct_pack(title := 'Guide number ' || user_id, file := 'files/guide_' || event_id % 50 || '.md'), struct_pack(title := 'Guide number ' || (user_id + event_id % 2), file := 'files/other_' || user_id % 9 || '.md')] AS sources FROM events),
+SOURCES = """ans AS (SELECT event_id AS answer_id, [struct_pack(title := 'Guide number ' || user_id, file := 'files/guide_' || event_id % 50 || '.md'), struct_pack(title := 'Guide number ' || CASE WHEN event_id % 3 = 0 THEN user_id // 10 ELSE user_id + event_id % 2 END, file := 'files/other_' || user_id % 9 || '.md')] AS sources FROM events),
 tm AS (SELECT answer_id, i AS source_no, unnest([sources[i].title, regexp_extract(sources[i].file, '([^/]*)$', 1), regexp_replace(regexp_extract(sources[i].file, '([^/]*)$', 1), '\\.[^.]*$', '')]) AS term FROM ans, (SELECT unnest([1, 2]) AS i)),
 nm AS (SELECT answer_id, source_no, term, regexp_replace(lower(term), '[\\s\\-_/#:：,，、。．.・･「」『』【】\\[\\]()（）<>＜＞"''`*]+', '', 'g') AS norm FROM tm)"""
 
@@ -158,7 +158,7 @@ def cited_answers(spark, sf_dir) -> DataFrame:
 
     u, n = F.col("user_id"), F.col("event_id")
     sources = F.array(
-        source(u, F.concat(F.lit("guide_"), (n % 50).cast("string"))), source(u + n % 2, F.concat(F.lit("other_"), (u % 9).cast("string")))
+        source(u, F.concat(F.lit("guide_"), (n % 50).cast("string"))), source(F.when(n % 3 == 0, F.floor(u / 10)).otherwise(u + n % 2), F.concat(F.lit("other_"), (u % 9).cast("string")))
     )
     answer = F.concat(F.lit("See [根拠"), (n % 4).cast("string"), F.lit("] and Guide number "), u.cast("string"))
     return e.select(n.alias("answer_id"), answer.alias("answer"), sources.alias("sources"))
@@ -172,7 +172,29 @@ def unique_terms(spark, sf_dir):
     return E.unique_terms(cited_answers(spark, sf_dir)).select("answer_id", "norm", "source_no")
 
 
-@query("citation_coverage")
+# the longer of two titles of which one holds the other takes the place of both
+CITED = """ua AS (SELECT answer_id, norm, min(source_no)::BIGINT AS source_no, any_value(term) AS term FROM nm WHERE length(norm) >= 5 OR regexp_matches(norm, '^\\d{4,}$') GROUP BY answer_id, norm HAVING count(DISTINCT source_no) = 1),
+tx AS (SELECT event_id AS answer_id, 'See [根拠' || event_id % 4 || '] and Guide number ' || user_id AS answer FROM events),
+hit AS (SELECT ua.* FROM ua JOIN tx USING (answer_id) WHERE contains(answer, term)),
+direct AS (SELECT answer_id, source_no FROM hit h WHERE NOT EXISTS (SELECT 1 FROM hit l WHERE l.answer_id = h.answer_id AND length(l.term) > length(h.term) AND contains(l.term, h.term))),
+numbered AS (SELECT event_id AS answer_id, event_id % 4 AS source_no FROM events WHERE event_id % 4 BETWEEN 1 AND 2)"""
+
+
+@query("numbered_references", "SELECT event_id AS answer_id, event_id % 4 AS source_no FROM events WHERE event_id % 4 BETWEEN 1 AND 2")
+def numbered_references(spark, sf_dir):
+    return E.numbered_references(cited_answers(spark, sf_dir))
+
+
+@query("direct_references", ctes(SOURCES, CITED) + "SELECT answer_id, source_no FROM direct")
+def direct_references(spark, sf_dir):
+    return E.direct_references(cited_answers(spark, sf_dir))
+
+
+@query(
+    "citation_coverage",
+    ctes(SOURCES, CITED) + """SELECT answer_id, 2::BIGINT AS source_count, count(source_no) AS cited, count(source_no) / 2 AS coverage
+    FROM (SELECT event_id AS answer_id FROM events) LEFT JOIN (SELECT * FROM direct UNION SELECT * FROM numbered) USING (answer_id) GROUP BY answer_id""",
+)
 def citation_coverage(spark, sf_dir):
     return E.citation_coverage(cited_answers(spark, sf_dir))
 

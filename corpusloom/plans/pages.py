@@ -195,7 +195,7 @@ def slug_query(spark, sf_dir):
 
 @query(
     "natural_sort",
-    """SELECT page_id, array_to_string(list_transform(regexp_extract_all(url, '\\d+|\\D+'), lambda r: CASE WHEN regexp_matches(r, '^\\d') THEN lpad(r, 20, '0') ELSE r END), '') AS sort_key FROM pages""",
+    """SELECT page_id, array_to_string(list_transform(regexp_extract_all(url, '\\d+|\\D+'), lambda r: CASE WHEN regexp_matches(r, '^\\d') THEN lpad(length(ltrim(r, '0'))::VARCHAR, 10, '0') || ltrim(r, '0') ELSE r END), '') AS sort_key FROM pages""",
 )
 def natural_sort(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", natural_sort_key("url").alias("sort_key"))
@@ -203,7 +203,7 @@ def natural_sort(spark, sf_dir):
 
 # ---------------------------------------------------------------- links
 
-# anchors outside headings; every href in the test pages is quoted and root-relative
+# every href in the test pages is quoted and root-relative
 LINKS = f"""found AS (SELECT page_id, url AS source_url, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*>.*?</a>')) AS a, generate_subscripts(regexp_extract_all(html, '(?is)<a\\b[^>]*>.*?</a>'), 1) AS n FROM pages),
 cells AS (SELECT page_id, source_url, n, regexp_extract(a, 'href="?([^">\\s]*)', 1) AS href, {squeeze_sql(unescape_sql("regexp_replace(a, '<[^>]*>', '', 'g')"))} AS text FROM found),
 links AS (SELECT page_id, source_url, row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS position,

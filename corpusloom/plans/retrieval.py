@@ -74,7 +74,7 @@ def tokens_sql(low: str, chars: str) -> str:
     """Tokens of a lower-cased text column and the list of its characters."""
     return (
         f"regexp_extract_all({low}, '[a-zA-Z0-9_]+|[\\x{{3040}}-\\x{{30ff}}\\x{{3400}}-\\x{{9fff}}]') || "
-        f"list_filter(list_transform(list_zip({chars}[:-2], {chars}[2:]), lambda z: z[1] || z[2]), lambda tp: trim(tp, ' ' || chr(10) || chr(9)) <> '')[1:1000]"
+        f"list_filter(list_transform(list_zip({chars}[:-2], {chars}[2:]), lambda z: z[1] || z[2]), lambda tp: trim(tp, ' ' || chr(10) || chr(9)) <> '')"
     )
 
 

@@ -25,7 +25,7 @@ phrases AS (SELECT doc_id, list_filter(list_transform(raw, lambda v: trim(regexp
 _FIRST = "list_filter({x}, lambda v, i: list_position({x}, v) = i)"
 TAGGED = f"""tg AS (SELECT d.doc_id, d.source, d.lang, d.text, (CASE WHEN contains('doc/' || source || '/x.md', 'src1') THEN ['one', 'first'] ELSE [] END) || (CASE WHEN contains('doc/' || source || '/x.md', 'src2') THEN ['two'] ELSE [] END)
     || [lang] || p || list_filter({WORDS!r}, lambda w: contains({TITLE} || chr(10) || text, w)) AS raw FROM documents d JOIN phrases USING (doc_id)),
-tagged AS (SELECT * EXCLUDE (raw), {_FIRST.format(x='raw')}[1:40] AS tags FROM tg)"""
+tagged AS (SELECT * EXCLUDE (raw), {_FIRST.format(x='raw')} AS tags FROM tg)"""
 
 
 def children(spark, sf_dir) -> DataFrame:
@@ -61,7 +61,7 @@ def dictionary_tags(spark, sf_dir):
 _EDITED = "list_filter(list_transform(string_split_regex(text, '[,、，\\r\\n]'), lambda v: regexp_replace(v, '^\\s+|\\s+$', '', 'g')), lambda v: v <> '')"
 
 
-@query("normalize_tags", f"WITH r AS (SELECT doc_id, {_EDITED} AS raw FROM documents) SELECT doc_id, array_to_string({_FIRST.format(x='raw')}[1:100], '|') AS tags FROM r")
+@query("normalize_tags", f"WITH r AS (SELECT doc_id, {_EDITED} AS raw FROM documents) SELECT doc_id, array_to_string({_FIRST.format(x='raw')}, '|') AS tags FROM r")
 def normalize_tags(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", F.array_join(T.edited_tags(F.array("text")), "|").alias("tags"))
 

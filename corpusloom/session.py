@@ -36,13 +36,15 @@ def local_session(app: str = "corpusloom", cores: int | str = 8, partitions: int
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` with a reliable checkpoint (runs a job).
 
-    The folder comes from ``spark.checkpoint.dir``; only a session that has none
-    (local tests) gets a temporary one.
+    The folder comes from ``spark.checkpoint.dir``.  A local master without it gets a
+    temporary one; on a cluster, where executors would not share it, that is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
 

@@ -139,7 +139,7 @@ def test_questions(spark):
     assert [(r.asked, r.kind, r.topic) for r in intent] == [(True, None, "Planの"), (True, "decision", None), (False, None, "普通の質問"), (True, None, None)]
     seeds = spark.createDataFrame([(4, "m1")], "query_id long, meeting_id string")
     got = {}
-    for r in M.resolve_timelines(q, seeds, events).collect():
+    for r in M.resolve_timelines(q, seeds, events, 120).collect():
         got.setdefault(r.query_id, []).append(r.event_type)
     assert set(got) == {1, 2, 4} and set(got[2]) == {"decision"} and len(got[4]) == events.filter("meeting_id = 'm1'").count()
     assert F.lit(1) is not None
