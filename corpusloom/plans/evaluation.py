@@ -10,14 +10,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators import answers as A
+from corpusloom.operators import chunking as C
 from corpusloom.operators import evals as E
 from corpusloom.operators import logs as L
 from corpusloom.operators import ranking as R
+from corpusloom.operators import tags as T
 from corpusloom.operators.matching import contained_terms
 from corpusloom.plans.answers import TABLES, alias_table, qa_table
 from corpusloom.plans.catalog import ctes, load, query
+from corpusloom.plans.chunks import CHILD_SQL, chunked_pages
+from corpusloom.plans.chunks import _COUNTED as COUNTED
 from corpusloom.plans.logs import LOGS, METRICS, ask_logs
 from corpusloom.plans.retrieval import _TERMS
+from corpusloom.plans.tags import _WEAK as WEAK
+from corpusloom.plans.tags import PHRASES, TAGGED, tagged
 
 PREDICTIONS = """pred AS (SELECT event_id, 'q' || user_id AS question_id, CASE event_type WHEN 'click' THEN 'vector' WHEN 'view' THEN 'hybrid' WHEN 'error' THEN '' ELSE 'hybrid_reranker' END AS retrieval_mode,
     CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN 'error' ELSE 'ok' END AS status, event_id % 3 = 0 AS expected_source_hit, event_id % 5 = 0 AS cache_hit, round(value / 10, 3) AS elapsed_sec,
@@ -205,28 +211,38 @@ TASKS = """tasks AS (SELECT 'high' AS priority, 'hallucination_report' AS task_t
     UNION ALL SELECT 'medium', 'frequent_question', question, count(*), NULL FROM logs GROUP BY question HAVING count(*) >= 2
     UNION ALL SELECT 'high', 'eval_failed', '', count(*), NULL FROM pred WHERE status <> 'ok' OR source_count = 0
     UNION ALL SELECT 'high', 'qa_alias_missing', '', count(*), NULL FROM qa WHERE status = 'approved' AND NOT EXISTS (SELECT 1 FROM aliases a WHERE a.qa_id = qa.id AND alias_type = 'original' AND a.status = 'active') HAVING count(*) > 0
-    UNION ALL SELECT 'low', 'qa_alias_missing', '', count(*), NULL FROM qa WHERE status = 'approved' AND NOT EXISTS (SELECT 1 FROM aliases a WHERE a.qa_id = qa.id AND alias_type = 'llm_paraphrase' AND a.status = 'active') HAVING count(*) > 0)"""
+    UNION ALL SELECT 'low', 'qa_alias_missing', '', count(*), NULL FROM qa WHERE status = 'approved' AND NOT EXISTS (SELECT 1 FROM aliases a WHERE a.qa_id = qa.id AND alias_type = 'llm_paraphrase' AND a.status = 'active') HAVING count(*) > 0
+    UNION ALL SELECT 'high', 'no_hit', question, 1, created_at::VARCHAR FROM (SELECT * FROM m WHERE source_count = 0 ORDER BY id DESC LIMIT 20)
+    UNION ALL SELECT 'medium', 'low_confidence', question, 1, created_at::VARCHAR FROM (SELECT * FROM m WHERE source_count > 0 AND max_score < 0.35 ORDER BY max_score, id DESC LIMIT 20)
+    UNION ALL SELECT 'medium', 'near_cache_miss', question, 1, created_at::VARCHAR FROM (SELECT * FROM m WHERE NOT cache_hit AND cache_miss_reason = 'margin_too_small' ORDER BY id DESC LIMIT 20)
+    UNION ALL SELECT 'medium', 'index_warning', '', 1, NULL FROM rep WHERE warnings <> ''
+    UNION ALL SELECT 'high', 'index_warning', '', 1, NULL WHERE (SELECT count(*) FROM documents) <> (SELECT count(*) FROM embeddings)
+    UNION ALL SELECT 'low', 'search_tag_candidate', '', n, NULL FROM cand)"""
+TASK_CANDIDATES = """cand AS (SELECT len(tags) AS n FROM tagged t LEFT JOIN weak w ON w.child_id = 'c' || t.doc_id WHERE w.child_id IS NOT NULL OR len(tags) <= 2
+    ORDER BY CASE WHEN w.child_id IS NOT NULL THEN 'used_by_low_confidence_answer' ELSE 'few_tags' END DESC, 'c' || t.doc_id LIMIT 150)"""
+QUEUE = ",\n".join([CHILD_SQL.rstrip(), COUNTED, PHRASES, TAGGED, LOGS, METRICS, WEAK, PREDICTIONS, TABLES, TASK_CANDIDATES, TASKS]) + "\n"
 
 
 def tasks(spark, sf_dir) -> DataFrame:
     logs = ask_logs(spark, sf_dir)
-    none = logs.filter("false")
     reports = load(spark, sf_dir, "labels").filter("toxic = 1").select(F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("question"), F.lit("2024-01-01").alias("created_at"))
     qa, aliases = qa_table(spark, sf_dir), alias_table(spark, sf_dir)
-    metrics = L.log_metrics(none)
-    warnings = load(spark, sf_dir, "labels").filter("false").select(F.lit("c").alias("corpus_id"), F.lit("w").alias("warnings"))
-    index = load(spark, sf_dir, "labels").filter("false").select(F.lit(True).alias("vector_mismatch"))
+    warned = C.chunk_report(chunked_pages(spark, sf_dir)).filter("warnings <> ''")
+    kids = tagged(spark, sf_dir).withColumn("child_id", F.concat(F.lit("c"), "child_id"))
+    candidates = T.tag_candidates(kids, L.weak_answers(logs), 150).withColumn("tag_count", F.size("search_tags"))
+    rows = [load(spark, sf_dir, t).agg(F.count("*").alias("n")).select("n").scalar() for t in ("documents", "embeddings")]
+    index = spark.range(1).select((rows[0] != rows[1]).alias("vector_mismatch"))
     return E.improvement_tasks(
-        reports, metrics, metrics, metrics, logs.groupBy("question").agg(F.count("*").alias("hits")), warnings, index, E.eval_failures(predictions(spark, sf_dir)),
-        A.missing_alias(qa, aliases, "original"), A.missing_alias(qa, aliases, "llm_paraphrase"),
+        reports, L.no_hits(logs), L.low_confidence(logs), L.near_misses(logs), logs.groupBy("question").agg(F.count("*").alias("hits")), warned, index,
+        E.eval_failures(predictions(spark, sf_dir)), A.missing_alias(qa, aliases, "original"), A.missing_alias(qa, aliases, "llm_paraphrase"), candidates,
     )
 
 
-@query("improvement_tasks", ctes(LOGS, PREDICTIONS, TABLES, TASKS) + "SELECT priority, task_type, question, count, last_seen_at FROM tasks")
+@query("improvement_tasks", QUEUE + "SELECT priority, task_type, question, count, last_seen_at FROM tasks")
 def improvement_tasks(spark, sf_dir):
     return tasks(spark, sf_dir).select("priority", "task_type", "question", "count", "last_seen_at")
 
 
-@query("task_order", ctes(LOGS, PREDICTIONS, TABLES, TASKS) + """SELECT priority, task_type, question, count FROM tasks ORDER BY CASE priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, count DESC, coalesce(last_seen_at, ''), task_type, question LIMIT 40""")
+@query("task_order", QUEUE + """SELECT priority, task_type, question, count FROM tasks ORDER BY CASE priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, count DESC, coalesce(last_seen_at, ''), task_type, question LIMIT 40""")
 def task_order(spark, sf_dir):
     return R.priority_order(tasks(spark, sf_dir), 40).select("priority", "task_type", "question", "count")
