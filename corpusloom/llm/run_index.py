@@ -39,15 +39,24 @@ from corpusloom.llm.shingles import mix
 from corpusloom.llm.windows import _grams, pieces
 
 LENGTH = 50
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 21
 #: Text per group of keys.
-GROUP_BYTES = 1 << 23
+GROUP_BYTES = 1 << 22
 HOT = 20_000
 
 
 # ------------------------------------------------------------------ the index
 
 
+def _dense(values: np.ndarray) -> np.ndarray:
+    """Places of the values among the distinct ones."""
+    order = np.argsort(values)
+    sorted_ = values[order]
+    rank = np.empty(len(values), np.uint64)
+    rank[order] = np.cumsum(np.concatenate([[0], sorted_[1:] != sorted_[:-1]]))
+    return rank
+
+
 class RunIndex:
     """Run-length compressed BWT of some strings, each ended by its own end mark."""
 
@@ -87,14 +96,14 @@ class RunIndex:
             part = np.zeros(n, np.uint64)
             part[: n - k] = text[k:]
             key = key << np.uint64(9) | np.where(left >= k, part, np.uint64(0))
-        rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
+        rank = _dense(key)
         # the first symbols stand in the high bits
         short = key >> np.uint64(9 * (size - length)) if length <= size else None
 
         def pair(rank, step):
             then = np.zeros(n, np.uint64)
             then[: n - step] = rank[step:] + np.uint64(1)
-            return np.unique(rank * np.uint64(n + 2) + np.where(left >= step, then, np.uint64(0)), return_inverse=True)[1].astype(np.uint64)
+            return _dense(rank * np.uint64(n + 2) + np.where(left >= step, then, np.uint64(0)))
 
         while size < longest or short is None:
             if short is None and size < length <= 2 * size:
