@@ -6,6 +6,8 @@ holds its distinct 5-word shingles; with one to four words, the whole sequence i
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 WORDS = 5
@@ -15,12 +17,14 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+_GAP = re.compile(rb"[\x20\x09-\x0d]+")
 _powers: dict = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
 def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     if len(_powers[name]) < n:
-        steps = np.full(n, base, np.uint64)
+        steps = np.full(max(n, 1 << 16), base, np.uint64)
         steps[0] = 1
         _powers[name] = np.multiply.accumulate(steps)
     return _powers[name][:n]
@@ -32,36 +36,53 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
-    joined = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    x = _LOWER[joined]
+def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and the places where they start."""
+    joined = np.frombuffer(data, np.uint8)
     space = _SPACE[joined]
-    edge = np.flatnonzero(np.diff(space.astype(np.int8), prepend=1))
+    edge = np.flatnonzero(np.diff(space.astype(np.int8), prepend=1, append=1))
     starts, ends = edge[0::2], edge[1::2]
-    if len(starts):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((x + np.uint64(1)) * _power("up", _BASE, len(x)), dtype=np.uint64)])
-        words = mix((total[ends] - total[starts]) * _power("down", _INVERSE, len(x))[starts] + (ends - starts).astype(np.uint64))
-    else:
-        words = np.zeros(0, np.uint64)
-    # shingles by the place of their first word
-    rolling = np.zeros(max(0, len(words) - WORDS + 1), np.uint64)
-    for k in range(WORDS):
-        rolling = rolling * np.uint64(0xD6E8FEB86659FD93) + words[k : len(words) - WORDS + 1 + k]
-    rolling = mix(rolling)
-    stops = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, np.int64)
-    first = np.searchsorted(starts, np.concatenate([[0], stops[:-1]])) if texts else []
-    last = np.searchsorted(starts, stops)
-    out = []
-    for a, b in zip(first, last):
-        if b - a >= WORDS:
-            out.append(np.unique(rolling[a : b - WORDS + 1]))
-        elif b > a:
-            h = np.uint64(b - a)
-            with np.errstate(over="ignore"):
-                for w in words[a:b]:
-                    h = h * np.uint64(0xA24BAED4963EE407) + w
-            out.append(mix(np.array([h], np.uint64)))
-        else:
-            out.append(np.zeros(0, np.uint64))
-    return out
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts
+    total = np.zeros(len(joined) + 1, np.uint64)
+    np.cumsum((_LOWER[joined] + np.uint64(1)) * _power("up", _BASE, len(joined)), dtype=np.uint64, out=total[1:])
+    words = (total[ends] - total[starts]) * _power("down", _INVERSE, len(joined))[starts]
+    return mix(words + (ends - starts).astype(np.uint64)), starts
+
+
+def _set(words: np.ndarray) -> np.ndarray:
+    """Sorted distinct shingles of a sequence of words."""
+    n = len(words) - WORDS + 1
+    if n > 0:
+        rolling = np.zeros(n, np.uint64)
+        for k in range(WORDS):
+            rolling = rolling * _STEP + words[k : n + k]
+        return np.unique(mix(rolling))
+    if not len(words):
+        return words
+    h = len(words)
+    for w in words.tolist():
+        h = (h * 0xA24BAED4963EE407 + w) & ((1 << 64) - 1)
+    return mix(np.array([h], np.uint64))
+
+
+def shingle_sets(texts: list[bytes], chunk: int = 1 << 21) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text.  Longer texts than ``chunk`` are read in parts."""
+    long = {i for i, t in enumerate(texts) if len(t) > chunk}
+    words, starts = _words(b"\n".join(b"" if i in long else t for i, t in enumerate(texts)))
+    stops = np.cumsum([1 + (0 if i in long else len(t)) for i, t in enumerate(texts)])
+    at = np.searchsorted(starts, np.concatenate([[0], stops])) if texts else [0]
+    return [_set(_long_words(t, chunk) if i in long else words[at[i] : at[i + 1]]) for i, t in enumerate(texts)]
+
+
+def _long_words(text: bytes, chunk: int) -> np.ndarray:
+    found, start = [], 0
+    while start < len(text):
+        # parts end at white space
+        m = _GAP.search(text, min(start + chunk, len(text)))
+        stop = m.start() if m else len(text)
+        found.append(_words(text[start:stop])[0])
+        start = stop
+        if m:
+            start = m.end()
+    return np.concatenate(found)
