@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import batch_of, documents, groups, rewritten
+from corpusloom.llm.common import batch_of, documents, groups, rewritten, written
 
 RARE_DF = 1000
 MIN_CHARS = 20
@@ -125,7 +125,8 @@ def deletions(docs: DataFrame, rare_df: int = RARE_DF, min_chars: int = MIN_CHAR
     names = line_names(_rows(docs), min_chars)
     packed = F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("around").cast("long"))
     holders = names.groupBy("name").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("last"), F.count("*").alias("df"), F.min_by(packed, "doc_id").alias("at"))
-    holders = holders.where("last > holder").drop("last")
+    # as a table of its own, so that the join below can split a hot name
+    holders = written(holders.where("last > holder").drop("last"), "holders")
     shared = names.join(holders, "name").where("doc_id > holder").select("doc_id", "row", "holder", "df", "place", "around", "at")
     schema = docs.sparkSession.createDataFrame([], "doc_id long, row long, gone array<int>").schema
 
