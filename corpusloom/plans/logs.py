@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import preview, split_multi
 from corpusloom.functions.values import json_strings
+from corpusloom.operators import chunking as C
 from corpusloom.operators import logs as L
 from corpusloom.operators.ranking import recent
 from corpusloom.operators.search import score_band
 from corpusloom.plans.catalog import ctes, load, query
+from corpusloom.plans.chunks import _COUNTED, CHILD_SQL, chunked_pages
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -218,24 +220,27 @@ def ops_kpis(spark, sf_dir):
 
 
 _ALERTS = """a AS (SELECT unnest(list_filter([CASE WHEN (SELECT count(*) FROM labels WHERE toxic = 1) > 0 THEN 'error:open_reports' END, CASE WHEN no_hit_rate >= 0.1 THEN 'warning:no_hit_rate' END,
-    CASE WHEN low_confidence_rate >= 0.2 THEN 'warning:low_confidence_rate' END, CASE WHEN (SELECT count(*) FROM documents) <> (SELECT count(*) FROM embeddings) THEN 'error:vector_mismatch' END], lambda x: x IS NOT NULL)) AS x FROM kpi)"""
+    CASE WHEN low_confidence_rate >= 0.2 THEN 'warning:low_confidence_rate' END, CASE WHEN (SELECT count(*) FROM rep WHERE warnings <> '') > 0 THEN 'warning:chunk_warnings' END, CASE WHEN (SELECT count(*) FROM documents) <> (SELECT count(*) FROM embeddings) THEN 'error:vector_mismatch' END], lambda x: x IS NOT NULL)) AS x FROM kpi)"""
+
+_STATE = ",\n".join([CHILD_SQL.rstrip(), _COUNTED, LOGS, METRICS, _KPI, _ALERTS]) + "\n"
 
 
 def kpis_with_state(spark, sf_dir) -> DataFrame:
     def n(name: str, test: str = "true"):
         return load(spark, sf_dir, name).agg(F.count_if(F.expr(test)).alias("n")).select("n").scalar()
 
+    warned = C.chunk_report(chunked_pages(spark, sf_dir)).agg(F.count_if(F.col("warnings") != "").alias("n")).select("n").scalar()
     return L.ops_kpis(ask_logs(spark, sf_dir), AS_OF).select(
-        "*", n("labels", "toxic = 1").alias("open_reports"), F.lit(0).alias("chunk_warnings"), (n("documents") != n("embeddings")).alias("vector_mismatch")
+        "*", n("labels", "toxic = 1").alias("open_reports"), warned.alias("chunk_warnings"), (n("documents") != n("embeddings")).alias("vector_mismatch")
     )
 
 
-@query("ops_alerts", ctes(LOGS, METRICS, _KPI, _ALERTS) + "SELECT split_part(x, ':', 1) AS level, split_part(x, ':', 2) AS alert FROM a")
+@query("ops_alerts", _STATE + "SELECT split_part(x, ':', 1) AS level, split_part(x, ':', 2) AS alert FROM a")
 def ops_alerts(spark, sf_dir):
     return L.ops_alerts(kpis_with_state(spark, sf_dir))
 
 
-@query("health_status", ctes(LOGS, METRICS, _KPI, _ALERTS) + "SELECT CASE WHEN count_if(starts_with(x, 'error')) > 0 THEN 'error' WHEN count(*) > 0 THEN 'warning' ELSE 'OK' END AS status, count(*) AS alerts FROM a")
+@query("health_status", _STATE + "SELECT CASE WHEN count_if(starts_with(x, 'error')) > 0 THEN 'error' WHEN count(*) > 0 THEN 'warning' ELSE 'OK' END AS status, count(*) AS alerts FROM a")
 def health_status(spark, sf_dir):
     return L.health_status(L.ops_alerts(kpis_with_state(spark, sf_dir)))
 
