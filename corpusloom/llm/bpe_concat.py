@@ -32,7 +32,7 @@ from corpusloom.llm.common import batch_of, documents
 
 LEAF_CHARS = 16_384
 #: Words kept per worker; the later half goes when it is full (frequent words come early).
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 600_000
 #: Characters for which lower-casing a text equals what the tokenizer does character by character.
 _RARE = re.compile("[^\x00-į]")
 #: Separators for str.split() that are no white space for the tokenizer.
