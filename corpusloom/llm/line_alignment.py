@@ -1,11 +1,11 @@
 """Line dedup by pairwise alignment.
 
-Overlapping documents are found through shared rare line hashes.  A line occurrence is named by its hash
+Overlapping documents are found through shared line hashes.  A line occurrence is named by its hash
 and by how often the document had it before, so that every name is unique within its document, as
 patience diff wants its anchors.  Each name has a holder, the earliest document (smallest doc_id) with it;
-a later document pairs with the holders of its names.  A pair is founded on a line that at most
-``rare_df`` documents have; a document without such a line pairs through its rarest shared one, so that
-large groups of copies are found as well.  The names that a founded pair shares are aligned by patience:
+a later document pairs with the holders of all its names, however frequent.  A caller may ask for pairs
+that are founded on a line that at most ``rare_df`` documents have (a document without such a line pairs
+through its rarest shared one); by default there is no bound.  The names that a pair shares are aligned by patience:
 in the order of the later document, the longest run of names whose places also rise in the holder.
 Aligned lines are deleted from the later document; neighbours in both are one block.
 
@@ -24,6 +24,7 @@ doc_ids never delete from each other; each gets its own result.
 from __future__ import annotations
 
 import hashlib
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -35,7 +36,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import batch_of, documents, groups, rewritten, written
 
-RARE_DF = 1000
+#: No bound: results do not depend on how many documents share a line.
+RARE_DF = math.inf
 MIN_CHARS = 20
 
 
@@ -67,7 +69,7 @@ def rising(places: list[int]) -> list[int]:
     return out[::-1]
 
 
-def align(shared: list[tuple[int, int, int, int, int, int]], rare_df: int) -> list[tuple[int, bool]]:
+def align(shared: list[tuple[int, int, int, int, int, int]], rare_df: float) -> list[tuple[int, bool]]:
     """(unit, whether its short lines go too) to delete, from (holder, df, own place, its place, own and its surroundings)."""
     shared = sorted(set(shared), key=lambda r: (r[0], r[2]))
     rarest = min(r[1] for r in shared)
@@ -120,7 +122,7 @@ def line_names(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").mapInArrow(emit, schema)
 
 
-def deletions(docs: DataFrame, rare_df: int = RARE_DF, min_chars: int = MIN_CHARS) -> DataFrame:
+def deletions(docs: DataFrame, rare_df: float = RARE_DF, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, row (hash of the text), gone (units to delete; negative numbers leave the short lines), one row per document."""
     names = line_names(_rows(docs), min_chars)
     packed = F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("around").cast("long"))
@@ -175,17 +177,17 @@ def remaining(text: str, gone: list[int] | None, min_chars: int) -> tuple[str, i
     return "\n".join(line for line, d in zip(lines, drop) if not d), len(lines), int(drop.sum()), blocks
 
 
-def dedup(docs: DataFrame, rare_df: int = RARE_DF, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup(docs: DataFrame, rare_df: float = RARE_DF, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, kept (text), n_lines, n_removed, n_blocks of every row."""
     return _map(docs, rare_df, min_chars, "doc_id long, kept string, n_lines long, n_removed long, n_blocks long", lambda kept: kept)
 
 
-def digests(docs: DataFrame, rare_df: int = RARE_DF, min_chars: int = MIN_CHARS) -> DataFrame:
+def digests(docs: DataFrame, rare_df: float = RARE_DF, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, kept_sha256, n_lines, n_removed, n_blocks of every row."""
     return _map(docs, rare_df, min_chars, "doc_id long, kept_sha256 string, n_lines long, n_removed long, n_blocks long", lambda kept: hashlib.sha256(kept.encode("utf-8", "replace")).hexdigest())
 
 
-def _map(docs: DataFrame, rare_df: int, min_chars: int, ddl: str, shown) -> DataFrame:
+def _map(docs: DataFrame, rare_df: float, min_chars: int, ddl: str, shown) -> DataFrame:
     rows = _rows(docs)
     joined = rows.join(deletions(docs, rare_df, min_chars), ["doc_id", "row"], "left").select("doc_id", "text", "gone")
     schema = rows.sparkSession.createDataFrame([], ddl).schema
@@ -199,7 +201,7 @@ def _map(docs: DataFrame, rare_df: int, min_chars: int, ddl: str, shown) -> Data
     return joined.mapInArrow(apply, schema)
 
 
-def without_repeats(docs: DataFrame, rare_df: int = RARE_DF, min_chars: int = MIN_CHARS) -> DataFrame:
+def without_repeats(docs: DataFrame, rare_df: float = RARE_DF, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with all columns, less the lines that earlier documents have; documents left blank go."""
     gone = deletions(docs, rare_df, min_chars).select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), F.col("gone").alias("_gone"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))

@@ -82,6 +82,15 @@ def test_copies_edits_and_odd_rows(spark):
     assert kept[4] == kept[5] == {""} and kept[6] == kept[7] == {"short\nlines"}
 
 
+def test_lines_of_any_frequency_found_pairs(spark):
+    passage = "\n".join("line %d of a passage that very many documents share" % i for i in range(3))
+    rare = "a line that only two of the documents have in common"
+    docs = [(i, f"text {i} that this document has for itself\n{passage}", "x", 1) for i in range(1100)]
+    docs += [(2000, f"another opening that nobody shares\n{rare}", "x", 1), (2001, f"{passage}\n{rare}", "x", 1)]
+    got = {r.doc_id: r.kept for r in la.dedup(spark.createDataFrame(docs, DDL)).collect()}
+    assert got[2001] == "" and all(got[i] == docs[i][1].split("\n")[0] for i in range(1, 1100))
+
+
 def test_patience_agrees_with_a_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(50):
