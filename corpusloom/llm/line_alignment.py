@@ -9,6 +9,11 @@ through its rarest shared one); by default there is no bound.  The names that a
 in the order of the later document, the longest run of names whose places also rise in the holder.
 Aligned lines are deleted from the later document; neighbours in both are one block.
 
+With ``whole`` (the registered query and the pipeline), the names that a document shares but that are not
+aligned with their holder go on: among the documents where such a name is left, the earliest is its next
+holder, and so forth until no name is left in two documents.  Later copies of a document with moved
+sections so lose all that the first such document has.
+
 A document thus meets as many others as it has shared lines at most, and a frequent line brings one
 partner, its holder, to every document: no pairs within a group are made.  What meets in one task are
 the shared lines of one document.
@@ -69,8 +74,8 @@ def rising(places: list[int]) -> list[int]:
     return out[::-1]
 
 
-def align(shared: list[tuple[int, int, int, int, int, int]], rare_df: float) -> list[tuple[int, bool]]:
-    """(unit, whether its short lines go too) to delete, from (holder, df, own place, its place, own and its surroundings)."""
+def align(shared: list[tuple[int, ...]], rare_df: float) -> list[tuple[int, bool]]:
+    """(unit, whether its short lines go too) to delete, from (holder, df, own place, its place, own and its surroundings, name)."""
     shared = sorted(set(shared), key=lambda r: (r[0], r[2]))
     rarest = min(r[1] for r in shared)
     bound = max(rare_df, rarest)
@@ -122,15 +127,14 @@ def line_names(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").mapInArrow(emit, schema)
 
 
-def deletions(docs: DataFrame, rare_df: float = RARE_DF, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, row (hash of the text), gone (units to delete; negative numbers leave the short lines), one row per document."""
-    names = line_names(_rows(docs), min_chars)
+def _aligned(names: DataFrame, rare_df: float) -> DataFrame:
+    """doc_id, row, gone (units to delete; negative numbers leave the short lines) and the shared names that are left, one row per document."""
     packed = F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("around").cast("long"))
     holders = names.groupBy("name").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("last"), F.count("*").alias("df"), F.min_by(packed, "doc_id").alias("at"))
     # as a table of its own, so that the join below can split a hot name
     holders = written(holders.where("last > holder").drop("last"), "holders")
-    shared = names.join(holders, "name").where("doc_id > holder").select("doc_id", "row", "holder", "df", "place", "around", "at")
-    schema = docs.sparkSession.createDataFrame([], "doc_id long, row long, gone array<int>").schema
+    shared = names.join(holders, "name").where("doc_id > holder").select("doc_id", "row", "holder", "df", "place", "around", "at", "name")
+    schema = names.sparkSession.createDataFrame([], "doc_id long, row long, gone array<int>, left array<struct<name:long,place:int,around:int>>").schema
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: dict = {n: [] for n in schema.names}
@@ -138,16 +142,19 @@ def deletions(docs: DataFrame, rare_df: float = RARE_DF, min_chars: int = MIN_CH
 
         def close():
             if held:
-                gone = [k + 1 if whole else -k - 1 for k, whole in align(held, rare_df)]
-                for n, v in zip(schema.names, (*key, gone)):
+                found = align(held, rare_df)
+                gone = [k + 1 if whole else -k - 1 for k, whole in found]
+                taken = {k for k, _ in found}
+                left = [{"name": r[6], "place": r[2], "around": r[4]} for r in sorted(set(held)) if r[2] not in taken]
+                for n, v in zip(schema.names, (*key, gone, left)):
                     out[n].append(v)
 
         for batch in batches:
-            for doc, row, holder, df, place, around, at in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, row, holder, df, place, around, at, name in zip(*(c.to_pylist() for c in batch.columns)):
                 if (doc, row) != key:
                     close()
                     key, held = (doc, row), []
-                held.append((holder, df, place, at >> 32, around, at & 0xFFFFFFFF))
+                held.append((holder, df, place, at >> 32, around, at & 0xFFFFFFFF, name))
             if len(out["row"]) >= 2000:
                 yield batch_of(schema, out)
                 out = {n: [] for n in schema.names}
@@ -158,6 +165,26 @@ def deletions(docs: DataFrame, rare_df: float = RARE_DF, min_chars: int = MIN_CH
     return shared.repartition("doc_id", "row").sortWithinPartitions("doc_id", "row").mapInArrow(each, schema)
 
 
+def deletions(docs: DataFrame, rare_df: float = RARE_DF, min_chars: int = MIN_CHARS, whole: bool = False) -> DataFrame:
+    """doc_id, row (hash of the text), gone (units to delete; negative numbers leave the short lines), one row per document."""
+    found = _aligned(line_names(_rows(docs), min_chars), rare_df)
+    if not whole:
+        return found.drop("left")
+    parts = []
+    while True:
+        found = written(found, "aligned")
+        parts.append(found.select("doc_id", "row", "gone"))
+        left = found.where("size(left) > 0")
+        if left.isEmpty():
+            break
+        # the first document where a name is left keeps it, so every round settles one document of each name at least
+        found = _aligned(left.select("doc_id", "row", F.explode("left").alias("l")).select("doc_id", "row", "l.*"), rare_df)
+    gone = parts[0]
+    for p in parts[1:]:
+        gone = gone.unionByName(p)
+    return gone.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("gone")).alias("gone")) if len(parts) > 1 else gone
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     return documents(docs).withColumn("row", F.xxhash64("text"))
 
@@ -177,19 +204,19 @@ def remaining(text: str, gone: list[int] | None, min_chars: int) -> tuple[str, i
     return "\n".join(line for line, d in zip(lines, drop) if not d), len(lines), int(drop.sum()), blocks
 
 
-def dedup(docs: DataFrame, rare_df: float = RARE_DF, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup(docs: DataFrame, rare_df: float = RARE_DF, min_chars: int = MIN_CHARS, whole: bool = False) -> DataFrame:
     """doc_id, kept (text), n_lines, n_removed, n_blocks of every row."""
-    return _map(docs, rare_df, min_chars, "doc_id long, kept string, n_lines long, n_removed long, n_blocks long", lambda kept: kept)
+    return _map(docs, rare_df, min_chars, whole, "doc_id long, kept string, n_lines long, n_removed long, n_blocks long", lambda kept: kept)
 
 
-def digests(docs: DataFrame, rare_df: float = RARE_DF, min_chars: int = MIN_CHARS) -> DataFrame:
+def digests(docs: DataFrame, rare_df: float = RARE_DF, min_chars: int = MIN_CHARS, whole: bool = True) -> DataFrame:
     """doc_id, kept_sha256, n_lines, n_removed, n_blocks of every row."""
-    return _map(docs, rare_df, min_chars, "doc_id long, kept_sha256 string, n_lines long, n_removed long, n_blocks long", lambda kept: hashlib.sha256(kept.encode("utf-8", "replace")).hexdigest())
+    return _map(docs, rare_df, min_chars, whole, "doc_id long, kept_sha256 string, n_lines long, n_removed long, n_blocks long", lambda kept: hashlib.sha256(kept.encode("utf-8", "replace")).hexdigest())
 
 
-def _map(docs: DataFrame, rare_df: float, min_chars: int, ddl: str, shown) -> DataFrame:
+def _map(docs: DataFrame, rare_df: float, min_chars: int, whole: bool, ddl: str, shown) -> DataFrame:
     rows = _rows(docs)
-    joined = rows.join(deletions(docs, rare_df, min_chars), ["doc_id", "row"], "left").select("doc_id", "text", "gone")
+    joined = rows.join(deletions(docs, rare_df, min_chars, whole), ["doc_id", "row"], "left").select("doc_id", "text", "gone")
     schema = rows.sparkSession.createDataFrame([], ddl).schema
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,9 +228,9 @@ def _map(docs: DataFrame, rare_df: float, min_chars: int, ddl: str, shown) -> Da
     return joined.mapInArrow(apply, schema)
 
 
-def without_repeats(docs: DataFrame, rare_df: float = RARE_DF, min_chars: int = MIN_CHARS) -> DataFrame:
+def without_repeats(docs: DataFrame, rare_df: float = RARE_DF, min_chars: int = MIN_CHARS, whole: bool = True) -> DataFrame:
     """``docs`` with all columns, less the lines that earlier documents have; documents left blank go."""
-    gone = deletions(docs, rare_df, min_chars).select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), F.col("gone").alias("_gone"))
+    gone = deletions(docs, rare_df, min_chars, whole).select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), F.col("gone").alias("_gone"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     joined = docs.join(gone, (F.col("doc_id").cast("long") == F.col("_doc")) & (F.xxhash64(text) == F.col("_row")), "left")
 

@@ -91,6 +91,16 @@ def test_lines_of_any_frequency_found_pairs(spark):
     assert got[2001] == "" and all(got[i] == docs[i][1].split("\n")[0] for i in range(1, 1100))
 
 
+def test_copies_of_documents_with_moved_sections(spark):
+    x, y, z = (["line %d of section %s in all versions" % (i, s) for i in range(n)] for s, n in (("x", 4), ("y", 3), ("z", 2)))
+    versions = [x + y + z, y + x + z, z + y + x]
+    docs = [(10 * v + k, "\n".join(lines), "x", 1) for v, lines in enumerate(versions) for k in range(3)]
+    for shown in (la.dedup(spark.createDataFrame(docs, DDL), whole=True), la.without_repeats(spark.createDataFrame(docs, DDL)).withColumnRenamed("text", "kept")):
+        got = {r.doc_id: r.kept for r in shown.collect()}
+        assert got[0] == docs[0][1] and not any(got.get(10 * v + k) for v in range(3) for k in (1, 2))
+    assert got[10] == "\n".join(y)
+
+
 def test_patience_agrees_with_a_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(50):
