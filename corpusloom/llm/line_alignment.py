@@ -20,7 +20,9 @@ the shared lines of one document.
 
 Lines are compared without outer white space.  Lines of fewer than ``min_chars`` characters are no
 anchors; they go with the anchor before them (at the start, with the first one) if the lines around it
-agree as well.  Holders are judged on the input, not on what is left of it.
+agree as well.  With ``whole``, short lines between two anchors that hold ``min_chars`` characters together
+are named themselves: from each of them and up to each of them, the shortest run with so many characters
+is an anchor, so that any passage with so many characters is found wherever it stands.  Holders are judged on the input, not on what is left of it.
 
 Null and empty texts have no lines to delete.  Rows with a null doc_id stay as they are.  Rows with equal
 doc_ids never delete from each other; each gets its own result.
@@ -54,6 +56,53 @@ def units(text: str, min_chars: int) -> tuple[list[str], list[tuple[int, int, in
     return lines, [(0 if k == 0 else a, e, a) for k, (a, e) in enumerate(zip(anchors, ends))]
 
 
+def runs(text: str, min_chars: int) -> tuple[list[str], list[tuple[int, int, int, int]]]:
+    """Lines, and (first line, end line, anchor from, anchor to) of each anchor, runs of short lines among them."""
+    lines = text.split("\n")
+    chars = [len(line.strip()) for line in lines]
+    edges = [-1, *(i for i, c in enumerate(chars) if c >= min_chars), len(lines)]
+    out, first = [], 0
+    for a, b in zip(edges, edges[1:]):
+        full = [i for i in range(a + 1, b) if chars[i]]
+        named = sum(chars[i] for i in full) >= min_chars
+        if a >= 0:
+            out.append((first, full[0] if named else b, a, a + 1))
+        if named:
+            for k, j in _shortest([chars[i] for i in full], min_chars):
+                out.append((0 if a < 0 and k == 0 else full[k], full[j] if j < len(full) else b, full[k], full[j - 1] + 1))
+        first = 0 if a < 0 and not named else b
+    return lines, out
+
+
+def _shortest(chars: list[int], least: int) -> list[tuple[int, int]]:
+    """(from, to) of the shortest runs that start or end at each number and come to ``least``."""
+    spans, total, j = set(), 0, 0
+    for k, c in enumerate(chars):
+        while j < len(chars) and total < least:
+            total += chars[j]
+            j += 1
+        if total < least:
+            break
+        spans.add((k, j))
+        total -= c
+    total = k = 0
+    for j, c in enumerate(chars):
+        total += c
+        while total - chars[k] >= least:
+            total -= chars[k]
+            k += 1
+        if total >= least:
+            spans.add((k, j + 1))
+    return sorted(spans)
+
+
+def _units(text: str, min_chars: int, whole: bool) -> tuple[list[str], list[tuple[int, int, int, int]]]:
+    if whole:
+        return runs(text, min_chars)
+    lines, found = units(text, min_chars)
+    return lines, [(first, end, at, at + 1) for first, end, at in found]
+
+
 def rising(places: list[int]) -> list[int]:
     """Numbers of a longest strictly rising run of ``places`` (patience sorting)."""
     tops: list[int] = []
@@ -94,7 +143,7 @@ def _hash(s: str) -> int:
     return xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass"))
 
 
-def line_names(docs: DataFrame, min_chars: int) -> DataFrame:
+def line_names(docs: DataFrame, min_chars: int, whole: bool = False) -> DataFrame:
     """name, doc_id, row, place, around: every anchor of every document that has an id."""
     schema = docs.sparkSession.createDataFrame([], "name long, doc_id long, row long, place int, around int").schema
 
@@ -102,16 +151,16 @@ def line_names(docs: DataFrame, min_chars: int) -> DataFrame:
         for part in groups(batches, 1 << 21):
             name, nth, count, place, around = [], [], [], [], []
             for text in part.column("text").to_pylist():
-                lines, found = units(text, min_chars)
+                lines, found = _units(text, min_chars, whole)
                 seen: dict[int, int] = {}
-                for k, (first, end, at) in enumerate(found):
-                    h = _hash(lines[at].strip())
+                for k, (first, end, at, to) in enumerate(found):
+                    h = _hash("\n".join(line.strip() for line in lines[at:to]))
                     n = seen.get(h, 0)
                     seen[h] = n + 1
                     name.append(h)
                     nth.append(n)
                     place.append(k)
-                    around.append(_hash("\n".join(lines[first:at]) + "\r" + "\n".join(lines[at + 1 : end])) >> 33 if end - first > 1 else 0)
+                    around.append(_hash("\n".join(lines[first:at]) + "\r" + "\n".join(lines[to:end])) >> 33 if end - first > to - at else 0)
                 count.append(len(found))
             names = np.array(name, np.uint64) + np.array(nth, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             columns = {
@@ -167,7 +216,7 @@ def _aligned(names: DataFrame, rare_df: float) -> DataFrame:
 
 def deletions(docs: DataFrame, rare_df: float = RARE_DF, min_chars: int = MIN_CHARS, whole: bool = False) -> DataFrame:
     """doc_id, row (hash of the text), gone (units to delete; negative numbers leave the short lines), one row per document."""
-    found = _aligned(line_names(_rows(docs), min_chars), rare_df)
+    found = _aligned(line_names(_rows(docs), min_chars, whole), rare_df)
     if not whole:
         return found.drop("left")
     parts = []
@@ -189,15 +238,15 @@ def _rows(docs: DataFrame) -> DataFrame:
     return documents(docs).withColumn("row", F.xxhash64("text"))
 
 
-def remaining(text: str, gone: list[int] | None, min_chars: int) -> tuple[str, int, int, int]:
+def remaining(text: str, gone: list[int] | None, min_chars: int, whole: bool = False) -> tuple[str, int, int, int]:
     """What is left of a text, its lines, the deleted lines and blocks."""
     if not text:
         return text, 0, 0, 0
-    lines, found = units(text, min_chars)
+    lines, found = _units(text, min_chars, whole)
     drop = np.zeros(len(lines), bool)
     for g in gone or []:
-        first, end, at = found[abs(g) - 1]
-        drop[at] = True
+        first, end, at, to = found[abs(g) - 1]
+        drop[at:to] = True
         if g > 0:
             drop[first:end] = True
     blocks = int(drop[0]) + int((drop[1:] & ~drop[:-1]).sum())
@@ -221,7 +270,7 @@ def _map(docs: DataFrame, rare_df: float, min_chars: int, whole: bool, ddl: str,
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in groups(batches, 1 << 22):
-            out = [remaining(t, g, min_chars) for t, g in zip(part.column("text").to_pylist(), part.column("gone").to_pylist())]
+            out = [remaining(t, g, min_chars, whole) for t, g in zip(part.column("text").to_pylist(), part.column("gone").to_pylist())]
             values = [part.column("doc_id").to_pylist(), [shown(o[0]) for o in out], *([o[k] for o in out] for k in (1, 2, 3))]
             yield batch_of(schema, dict(zip(schema.names, values)))
 
@@ -237,7 +286,7 @@ def without_repeats(docs: DataFrame, rare_df: float = RARE_DF, min_chars: int =
     def change(texts: list[str], part: pa.Table) -> list[str | None]:
         out: list[str | None] = []
         for text, units_ in zip(texts, part.column("_gone").to_pylist()):
-            kept = remaining(text, units_, min_chars)[0] if units_ else text
+            kept = remaining(text, units_, min_chars, whole)[0] if units_ else text
             out.append(None if units_ and not kept.strip() else kept)
         return out
 

@@ -101,6 +101,21 @@ def test_copies_of_documents_with_moved_sections(spark):
     assert got[10] == "\n".join(y)
 
 
+def test_passages_of_short_lines(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(1, 9)))
+    verse, opening = [word() for _ in range(60)], "a long line that each of the texts has around here"
+    texts = ["\n".join(verse), "\n".join(verse), "\n".join(["own", "words", *verse, "and", "an end"]), "\n".join([opening, "else", *verse[5:50], "other"]), "\n".join(["", *verse[:9], "", *verse[9:], ""]), "吾輩は猫である。\n名前はまだ無い。\nどこで生れたか\nとんと見当がつかぬ。", "前\n吾輩は猫である。\n名前はまだ無い。\nどこで生れたか\nとんと見当がつかぬ。"]
+    for i in range(40):
+        lines, found = la.runs("\n".join(rng.choices(["", "a", "abcdefgh", " long enough to be an anchor of its own "], k=i)), 20)
+        assert all(first <= at < to <= end and len("".join(x.strip() for x in lines[at:to])) >= 20 for first, end, at, to in found)
+    rows = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], DDL)
+    got = {r.doc_id: r.kept for r in la.dedup(rows, whole=True).collect()}
+    assert [got[0], got[1], got[2], got[3], got[5], got[6]] == [texts[0], "", "own\nwords\nand\nan end", f"{opening}\nelse\nother", texts[5], "前"]
+    assert len(got[4].split()) < 9
+    assert {r.doc_id for r in la.without_repeats(rows).collect()} == {0, 2, 3, 4, 5, 6} - ({4} if not got[4].strip() else set())
+
+
 def test_patience_agrees_with_a_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(50):
