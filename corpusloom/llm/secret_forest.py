@@ -28,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import batch_of, documents, groups, rewritten, written
+from corpusloom.llm.common import batch_of, documents, groups, in_batches, rewritten, written
 
 SAMPLE = 20_000
 TREES = 24
 DEPTH = 6
 DICTIONARY = 20_000
+#: Words a task counts before it passes the sums on; any number gives the same result.
+TABLE = 400_000
 MASK = "[SECRET]"
 
 _TOKEN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
@@ -166,11 +168,16 @@ def rule(text: str, start: int, end: int, name: str, corpus: Corpus) -> int | No
 def corpus_of(docs: DataFrame, size: int = DICTIONARY) -> Corpus:
     """Letter transitions of all documents and their most frequent words of 4 to 12 letters.
 
-    A task passes on the words it saw three times at least; rarer ones are no dictionary words.
+    Tasks pass on every word with its count (sums so far when their table is full); those that all documents
+    together have less than three times are no dictionary words.
     """
     rows = documents(docs)
     schema = rows.sparkSession.createDataFrame([], "word string, a int, b int, n long").schema
 
+    def sums(words: Counter) -> Iterator[pa.RecordBatch]:
+        n = len(words)
+        yield from in_batches(schema, {"word": list(words), "a": [None] * n, "b": [None] * n, "n": list(words.values())})
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = np.full(256, 27, np.uint8)
         for c, i in _CLASSES.items():
@@ -178,21 +185,20 @@ def corpus_of(docs: DataFrame, size: int = DICTIONARY) -> Corpus:
         classes[48:58] = 26
         pairs, words = np.zeros(28 * 28, np.int64), Counter()
         for part in groups(batches, 1 << 21):
-            text = "\n".join(part.column("text").to_pylist())
+            # every text between line ends, however the texts are grouped
+            text = "\n".join(["", *part.column("text").to_pylist(), ""])
             k = classes[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)].astype(np.int64)
             pairs += np.bincount(k[:-1] * 28 + k[1:], minlength=28 * 28)
-            words.update(w for w in text.lower().split() if 3 < len(w) < 13)
-            if len(words) > 400_000:
-                words = Counter({w: n for w, n in words.items() if n > 1})
-        kept = [(w, n) for w, n in words.items() if n > 2 and w.isalpha()]
-        for i in range(0, len(kept), 20_000):
-            some = kept[i : i + 20_000]
-            yield batch_of(schema, {"word": [w for w, _ in some], "a": [None] * len(some), "b": [None] * len(some), "n": [n for _, n in some]})
+            words.update(w for w in text.lower().split() if 3 < len(w) < 13 and w.isalpha())
+            if len(words) > TABLE:
+                yield from sums(words)
+                words = Counter()
+        yield from sums(words)
         at = np.flatnonzero(pairs)
         yield batch_of(schema, {"word": [None] * len(at), "a": at // 28, "b": at % 28, "n": pairs[at]})
 
     counted = written(rows.mapInArrow(count, schema).groupBy("word", "a", "b").agg(F.sum("n").alias("n")), "words")
-    top = counted.where("word IS NOT NULL").orderBy(F.desc("n"), "word").limit(size).collect()
+    top = counted.where("word IS NOT NULL AND n > 2").orderBy(F.desc("n"), "word").limit(size).collect()
     pairs = np.zeros((28, 28))
     for r in counted.where("word IS NULL").collect():
         pairs[r.a, r.b] = r.n

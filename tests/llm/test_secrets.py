@@ -47,6 +47,16 @@ def test_one_class_and_empty(spark):
     assert secret_forest.digests(spark.createDataFrame([], DDL)).count() == 0
 
 
+def test_dictionary_does_not_depend_on_tasks(spark, monkeypatch):
+    rows = [(i, "some words stand once in every text of ours" + " seldom" * (i < 2), "") for i in range(24)]
+    docs = spark.createDataFrame(rows, DDL)
+    one, many = secret_forest.corpus_of(docs.coalesce(1)), secret_forest.corpus_of(docs.repartition(24))
+    assert one.words == many.words == {"some", "words", "stand", "once", "every", "text", "ours"}
+    assert (one.pairs == many.pairs).all()
+    monkeypatch.setattr(secret_forest, "TABLE", 1)
+    assert secret_forest.corpus_of(docs.repartition(6)).words == one.words
+
+
 def test_long_tokens_are_linear():
     text = "a1" * 200_000 + " key=" + "b2" * 50_000
     assert len(secret_forest.candidates(text)) == 2
