@@ -1,7 +1,8 @@
 """Secret scanning with a random forest that removes false positives.
 
 Candidates are runs of 12 or more of ``A-Za-z0-9+/_-`` that hold a digit or 16 capitals, the values assigned to a name
-(``name = value``, 8 or more characters), and PEM blocks.  Each gets its features: length, how its
+(``name = value``, 8 or more characters), and PEM blocks.  A value assigned to a secret name within a longer
+value (``https://host?token=...``) is a candidate besides that one.  Each gets its features: length, how its
 character transitions compare with those of the corpus, how much of it dictionary words cover (the
 frequent words of the corpus), whether it stands in a path or address, and its neighbouring words.  A
 random forest trained on labelled findings decides which candidates are secrets.
@@ -44,6 +45,8 @@ _SEED = re.compile(r"[0-9]|[A-Z]{16}")
 _ASSIGN = re.compile(r"[=:]")
 _NAME = re.compile(r"([A-Za-z][A-Za-z0-9_.-]{1,40})[\"']?[ \t]{0,3}$")
 _VALUE = re.compile(r"[=:]?[ \t]{0,3}[\"']?([^\s\"'<>,;]{8,})")
+#: The next assignment of a query string.
+_FOLLOWING = re.compile(r"&(?=[A-Za-z][A-Za-z0-9_.-]{0,40}=)")
 _PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)", re.S)
 _ISSUED = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_-]{35}|-----BEGIN .*", re.S)
 _SECRET_NAME = re.compile(r"passw|pwd|secret|token|api[_.-]?key|access[_.-]?key|auth|credential|private", re.I)
@@ -57,10 +60,23 @@ FEATURES = 22
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, assigned name) of each candidate, without overlaps; assigned values come first."""
+    """(start, end, assigned name) of each candidate; assigned values come first.
+
+    Candidates do not overlap, but that values assigned to secret names also stand within longer values.
+    """
     out = [(m.start(), m.end(), "pem") for m in _PEM.finditer(text)] if "-----BEGIN" in text else []
     taken = list(out)
+    inner, outer, done = [], 0, 0  # where the last assigned value and the last one within it end
     for m in _ASSIGN.finditer(text):
+        # a sign that ends the value before can assign what follows it
+        if m.end() < outer and not (m.end() + 1 == outer and text[m.end()] in "=:"):
+            name = _NAME.search(text, max(done, m.start() - 48), m.start()) if m.start() >= done else None
+            if name and _SECRET_NAME.search(name.group(1)) and (value := _VALUE.match(text, m.end(), outer)):
+                following = _FOLLOWING.search(text, value.start(1), value.end(1))
+                done = following.start() if following else value.end(1)
+                if done - value.start(1) >= 8:
+                    inner.append((value.start(1), done, name.group(1)))
+            continue
         name = _NAME.search(text, max(0, m.start() - 48), m.start())
         value = _VALUE.match(text, m.end()) if name else None
         if value and not any(s < value.end(1) and value.start(1) < e for s, e, _ in taken[-2:]):
@@ -68,6 +84,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
             # words assigned to other names are prose
             if _SECRET_NAME.search(name.group(1)) or any(c.isdigit() for c in token):
                 taken.append((value.start(1), value.end(1), name.group(1)))
+                outer, done = value.end(1), value.start(1)
     spans = sorted(taken)
     starts = [s for s, _, _ in spans]
     last = 0
@@ -84,7 +101,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
             k = int(np.searchsorted(starts, e)) if starts else 0
             if not any(a < e and s < b for a, b, _ in spans[max(0, k - 2) : k + 1]):
                 out.append((s, e, ""))
-    return sorted(set(out + taken))
+    return sorted(set(out + taken + inner))
 
 
 def entropy(s: str) -> float:
@@ -101,7 +118,7 @@ class Corpus:
 
     def covered(self, s: str) -> float:
         """Share of the characters that dictionary words of four or more letters cover, longest first."""
-        s, i, n = s[:400].lower(), 0, 0
+        s, i, n = s.lower(), 0, 0
         while i < len(s):
             for j in range(min(len(s), i + 12), i + 3, -1):
                 if s[i:j] in self.words:
@@ -113,27 +130,26 @@ class Corpus:
 
     def likely(self, s: str) -> float:
         """Mean log probability of the transitions between letters, digits and other characters."""
-        kinds = [_CLASSES.get(c, 26 if c.isdigit() else 27) for c in s[:400].lower()]
+        kinds = [_CLASSES.get(c, 26 if c.isdigit() else 27) for c in s.lower()]
         return float(np.mean([self.pairs[a, b] for a, b in zip(kinds, kinds[1:])])) if len(kinds) > 1 else 0.0
 
 
 def features(text: str, start: int, end: int, name: str, corpus: Corpus) -> list[float]:
     s = text[start:end]
     n = len(s)
-    some = s[:400]
-    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in some]
+    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in s]
     before = [w.lower() for w in _WORD.findall(text[max(0, start - 60) : start])][-3:]
     after = [w.lower() for w in _WORD.findall(text[end : end + 40])][:2]
     left, right = text[max(0, start - 1) : start], text[end : end + 1]
     return [
         min(n, 200),
-        entropy(some),
+        entropy(s),
         *(kinds.count(k) / len(kinds) for k in "dulo"),
         sum(a != b for a, b in zip(kinds, kinds[1:])) / len(kinds),
-        corpus.likely(some),
-        corpus.covered(some),
-        len(set(some)) / len(some),
-        float(all(c in "0123456789abcdefABCDEF" for c in some)),
+        corpus.likely(s),
+        corpus.covered(s),
+        len(set(s)) / n,
+        float(all(c in "0123456789abcdefABCDEF" for c in s)),
         float("/" in s or left in ("/", "\\")),
         float("://" in text[max(0, start - 80) : start].rpartition(" ")[2] or "://" in s),
         float(left in ("'", '"')),
@@ -156,7 +172,7 @@ def rule(text: str, start: int, end: int, name: str, corpus: Corpus) -> int | No
     before = [w.lower() for w in _WORD.findall(text[max(0, start - 60) : start])][-3:]
     mixed = any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
     if name and _SECRET_NAME.search(name):
-        return 1 if mixed and len(s) >= 12 and entropy(s[:400]) >= 2.8 else None
+        return 1 if mixed and len(s) >= 12 and entropy(s) >= 2.8 else None
     if not any(c.isalpha() for c in s) or _UUID.fullmatch(s) or any(w in _SUM_WORDS for w in before):
         return 0
     return 0 if corpus.covered(s) >= 0.7 else None

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from corpusloom.llm import secret_forest
 
 DDL = "doc_id long, text string, masked string"
@@ -57,6 +59,29 @@ def test_dictionary_does_not_depend_on_tasks(spark, monkeypatch):
     assert secret_forest.corpus_of(docs.repartition(6)).words == one.words
 
 
+def test_candidates_are_judged_as_a_whole():
+    known = secret_forest.Corpus({"plain", "words"}, np.zeros((28, 28)))
+    start = "plain/words/" * 40
+    ends = ["plain/words/" * 5, "9fK2x7Qz1LmP4vT8bN3wRc6YdH5sJ0gAeUiOoXqZkVtBnMwLrPyC"]
+    a, b = (secret_forest.features(start + e, 0, len(start + e), "", known) for e in ends)
+    assert all(a[k] != b[k] for k in (1, 2, 3, 4, 6, 7, 8, 9))
+    assert secret_forest.features("a" * 400 + "x", 0, 401, "", known)[10] == 0
+
+
+def test_assignments_within_longer_values():
+    found = lambda text: [(text[s:e], name) for s, e, name in secret_forest.candidates(text)]
+    key = "9fK2x7Qz1LmP4vT8"
+    assert found(f"see https://host/v1?token={key} there") == [(f"//host/v1?token={key}", "https"), (key, "token")]
+    assert (key, "api_key") in found(f'url = "http://h/1?user=me&api_key={key}&page=2&secret=short"')
+    assert found(f"password=ab{key}") == [(f"ab{key}", "password")]
+    assert found(f"note:12345678password: {key}") == [("12345678password:", "note"), (key, "password")]
+    text = f"get https://host/v1?x=1&token={key}&y=2 now"
+    forest = type("", (), {"score": lambda self, x: x[17]})()
+    spans = [c[:2] for c in secret_forest.decide(text, secret_forest.Corpus(set(), np.zeros((28, 28))), forest) if c[2] >= 0.5]
+    assert secret_forest.masked(text, spans) == "get https://host/v1?x=1&token=[SECRET]&y=2 now"
+    assert len(secret_forest.candidates("url=1" + "token=" * 50_000)) == 2
+
+
 def test_long_tokens_are_linear():
     text = "a1" * 200_000 + " key=" + "b2" * 50_000
     assert len(secret_forest.candidates(text)) == 2
