@@ -9,7 +9,7 @@ through its rarest shared one); by default there is no bound.  The names that a
 in the order of the later document, the longest run of names whose places also rise in the holder.
 Aligned lines are deleted from the later document; neighbours in both are one block.
 
-With ``whole`` (the registered query and the pipeline), the names that a document shares but that are not
+With ``whole`` (the registered query), the names that a document shares but that are not
 aligned with their holder go on: among the documents where such a name is left, the earliest is its next
 holder, and so forth until no name is left in two documents.  Later copies of a document with moved
 sections so lose all that the first such document has.
