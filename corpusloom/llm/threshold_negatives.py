@@ -121,7 +121,7 @@ class Lists:
             met |= fresh
             more = np.flatnonzero(fresh & kept)
             places.append(more)
-            scores.append(self.rows[more] @ q)
+            scores.append((self.rows[more] @ q).astype(np.int64))
             if depth == n or met.all():
                 break
             threshold = (self.values[down, n - depth] * q[down]).sum() + (self.values[up, depth - 1] * q[up]).sum()
@@ -130,7 +130,7 @@ class Lists:
                 break
             read, depth = depth, min(2 * depth, n)
         if not places:
-            return np.array([], np.int64), np.array([]), 0
+            return np.array([], np.int64), np.array([], np.int64), 0
         return np.concatenate(places), np.concatenate(scores), int(met.sum())
 
 
