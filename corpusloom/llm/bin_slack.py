@@ -19,7 +19,6 @@ whole.  Other columns are not read.
 from __future__ import annotations
 
 import json
-import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,7 +26,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,11 +39,9 @@ POOL = 4096
 LEFT = 64
 #: Pieces that meet in one group of the second round.
 GROUP = 512
-#: Bytes of words and ids that a worker keeps.
-KEPT_BYTES = 24_000_000
 
-# The word pattern of this kind of tokenizer, and the characters for whose classes the
-# regex module and the tokenizers library agree.
+# The word pattern of this kind of tokenizer, and the characters on whose classes both
+# libraries agree.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BEYOND = re.compile("[^\x00-\u0557\u2000-\u208e\u3000-\u9fff]")
 
@@ -59,55 +55,47 @@ def default_path() -> str:
 
 
 class ByteBpe:
-    """The tokenizer of one file; words are encoded once and kept in a table of bounded size."""
+    """The tokenizer of one file.
+
+    tiktoken encodes what it encodes alike: where ids follow the order of the merges and the last merge of
+    every token by rank is the listed one (tests/llm hold this for the default file), merging by rank equals
+    merging by list.  Texts with added tokens or rare characters go through the library itself, and so
+    does everything for files of another kind.
+    """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.library = Tokenizer.from_str(json.dumps(spec | {"truncation": None, "padding": None}))
         self.apart = tuple(a["content"] for a in spec["added_tokens"])
-        self.pattern = regex.compile(WORDS)
-        self.words: dict[str, bytes] = {}
-        self.size = 0
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        out = []
-        for text in texts:
-            if any(s in text for s in self.apart) or _BEYOND.search(text):
-                out.append(_raw(self.library.encode(text, add_special_tokens=False).ids))
-            else:
-                out.append(self._by_words(self.pattern.findall(text)))
-        return out
-
-    def _by_words(self, words: list[str]) -> bytes:
-        ids = list(map(self.words.get, words))
-        if None in ids:
-            missing = list({w for w, x in zip(words, ids) if x is None})
-            new = {}
-            for i in range(0, len(missing), 1000):
-                some = missing[i : i + 1000]
-                new.update(zip(some, (_raw(e.ids) for e in self.library.encode_batch_fast(some, add_special_tokens=False))))
-            ids = [new[w] if x is None else x for w, x in zip(words, ids)]
-            self._keep(new)
-        return b"".join(ids)
-
-    def _keep(self, new: dict[str, bytes]) -> None:
-        for word, raw in new.items():
-            if len(word) <= 100:
-                self.words[word] = raw
-                self.size += 160 + len(word) + len(raw)
-        if self.size > KEPT_BYTES:
-            # frequent words came early
-            self.words = dict(list(self.words.items())[: len(self.words) // 2])
-            self.size //= 2
-
-
-def _raw(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+        ranks = ranks_of(spec)
+        self.fast = tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}) if ranks else None
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        if self.fast is None or any(s in text for s in self.apart) or _BEYOND.search(text):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+
+
+def ranks_of(spec: dict) -> dict[bytes, int] | None:
+    """Bytes and rank of each token of a byte-level file whose ids follow its merges; None for other files."""
+    plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    model, before = spec["model"], spec["pre_tokenizer"]
+    if spec["normalizer"] or not before or any(before.get(k) != v for k, v in plain.items()):
+        return None
+    if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    code = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+    vocab = model["vocab"]
+    merged = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    if merged != list(range(256, 256 + len(merged))) or len(vocab) != 256 + len(merged):
+        return None
+    return {bytes(code[c] for c in token): i for token, i in vocab.items()}
 
 
 @lru_cache(maxsize=1)
@@ -214,24 +202,23 @@ def pack(
     spark = docs.sparkSession
     result = spark.createDataFrame([], _PIECES).schema
     with_ids = spark.createDataFrame([], _PIECES + ", ids binary").schema
-    end = _raw([end_id])
+    end = np.array([end_id], "<u4").tobytes()
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, pool, bpe = _Rows(with_ids, 0), Pool(), worker(path)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 100):
-                for doc, raw in zip(ids[at : at + 100], bpe.encode(texts[at : at + 100])):
-                    raw += end
-                    whole, start = len(raw) // 4, 0
-                    while whole - start > capacity:
-                        out.sequence([(doc, start, raw[4 * start : 4 * (start + capacity)], whole)])
-                        start += capacity
-                    pool.add((doc, start, raw[4 * start :], whole))
-                    if pool.number >= pool_pieces:
-                        while pool.number > pool_pieces // 2 and pool.tokens >= capacity:
-                            out.sequence(pool.sequence(capacity, False) or pool.sequence(capacity, True))
-                    yield from out.batches(2000)
+            for doc, text in zip(ids, texts):
+                raw = bpe.encode(text) + end
+                whole, start = len(raw) // 4, 0
+                while whole - start > capacity:
+                    out.sequence([(doc, start, raw[4 * start : 4 * (start + capacity)], whole)])
+                    start += capacity
+                pool.add((doc, start, raw[4 * start :], whole))
+                if pool.number >= pool_pieces:
+                    while pool.number > pool_pieces // 2 and pool.tokens >= capacity:
+                        out.sequence(pool.sequence(capacity, False) or pool.sequence(capacity, True))
+                yield from out.batches(2000)
         while pool.tokens >= capacity and (full := pool.sequence(capacity, False) or pool.number > left_pieces and pool.sequence(capacity, True)):
             out.sequence(full)
             yield from out.batches(2000)

@@ -1,5 +1,6 @@
 """Minimum bin slack: the choice against all subsets, the packing against the tokenizers library."""
 
+import json
 import random
 import zlib
 from collections import Counter
@@ -38,13 +39,45 @@ def library():
     return Tokenizer.from_file(bin_slack.default_path())
 
 
-def test_encoding_equals_the_library(monkeypatch):
-    exact, texts = library(), [t or "" for t in tricky()]
-    want = [exact.encode(t, add_special_tokens=False).ids for t in texts]
-    for kept in (bin_slack.KEPT_BYTES, 5000):  # with a table that overflows too
-        monkeypatch.setattr(bin_slack, "KEPT_BYTES", kept)
-        got = bin_slack.ByteBpe(bin_slack.default_path()).encode(texts)
-        assert [list(np.frombuffer(g, "<u4")) for g in got] == want
+def test_encoding_equals_the_library():
+    exact, bpe = library(), bin_slack.ByteBpe(bin_slack.default_path())
+    for text in [t or "" for t in tricky()] + ["ab" * 40_000, " " * 50_000 + "x", "1" * 30_000]:
+        assert list(np.frombuffer(bpe.encode(text), "<u4")) == exact.encode(text, add_special_tokens=False).ids
+
+
+def test_both_libraries_see_the_same_classes_of_characters():
+    exact, bpe = library(), bin_slack.ByteBpe(bin_slack.default_path())
+    codes = [c for c in range(0xA000) if not bin_slack._BEYOND.search(chr(c))]
+    assert len(codes) > 30_000
+    texts = [f"a{chr(c)}1{chr(c)}!{chr(c)} " for c in codes]
+    for text, want in zip(texts, exact.encode_batch_fast(texts, add_special_tokens=False)):
+        assert bpe.fast.encode_ordinary(text) == want.ids
+
+
+def test_the_last_merge_of_every_token_by_rank_is_the_listed_one():
+    with open(bin_slack.default_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    ranks = bin_slack.ranks_of(spec)
+    by_id = {i: t for t, i in ranks.items()}
+    text_of = {i: t for t, i in spec["model"]["vocab"].items()}
+    listed = {tuple(m if isinstance(m, list) else m.split(" ")) for m in spec["model"]["merges"]}
+    for i, token in by_id.items():
+        parts = [token[k : k + 1] for k in range(len(token))]
+        last = None
+        while len(parts) > 1:
+            rank, k = min((ranks.get(parts[k] + parts[k + 1], 1 << 30), k) for k in range(len(parts) - 1))
+            assert rank < 1 << 30
+            last = (parts[k], parts[k + 1])
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        if last:
+            assert tuple(text_of[ranks[p]] for p in last) in listed, text_of[i]
+
+
+def test_other_files_go_through_the_library():
+    with open(bin_slack.default_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    assert bin_slack.ranks_of(spec | {"normalizer": {"type": "Lowercase"}}) is None
+    assert bin_slack.ranks_of(spec | {"model": spec["model"] | {"merges": spec["model"]["merges"][::-1]}}) is None
 
 
 def check(spark, texts, partitions, capacity, **options):
