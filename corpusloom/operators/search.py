@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import blank_to_null, clean_markup, col, search_text, strip, text_or_empty
 from corpusloom.functions.values import release_slug
 from corpusloom.operators.dense import vector_topk
+from corpusloom.operators.dense_index import VectorIndex, indexed_vectors
 from corpusloom.operators.lexical import Okapi, bm25_topk, normalize_lexical, query_terms, tokenize
+from corpusloom.operators.lexical_index import LexicalIndex, indexed_topk
 from corpusloom.operators.matching import contained_terms
 from corpusloom.operators.ranking import dedupe_first, diversify, rerank_filter, topk
 
@@ -108,17 +110,32 @@ def embedding_text(children: DataFrame) -> DataFrame:
     return children.withColumn("embedding_text", clean_markup(F.coalesce(stored, composed)))
 
 
-def dense_list(index: DataFrame, queries: DataFrame, settings: Retrieval = Retrieval(), current: DataFrame | None = None) -> DataFrame:
+def nearest(index: DataFrame | VectorIndex, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+    """The k nearest index rows of each query; a stored index answers in its own metric."""
+    return indexed_vectors(index, queries, k) if isinstance(index, VectorIndex) else vector_topk(index, queries, k, metric)
+
+
+def dense_list(index: DataFrame | VectorIndex, queries: DataFrame, settings: Retrieval = Retrieval(), current: DataFrame | None = None) -> DataFrame:
     """(query_id, child_id, dense_score): over-fetched, then restricted to current children."""
     depth = max(settings.top_k_dense * settings.dense_overfetch, settings.top_k_dense)
-    hits = vector_topk(index, queries, depth, settings.metric).select("query_id", "child_id", F.col("score").alias("dense_score"))
+    hits = nearest(index, queries, depth, settings.metric).select("query_id", "child_id", F.col("score").alias("dense_score"))
     return hits if current is None else hits.join(current.select("child_id"), "child_id", "left_semi")
 
 
-def lexical_list(children: DataFrame, queries: DataFrame, settings: Retrieval = Retrieval(), okapi: Okapi = Okapi(), keep: Column | None = None) -> DataFrame:
-    """(query_id, child_id, bm25_score): the lexical cut, normalised, then filtered."""
+def lexical_list(
+    children: DataFrame, queries: DataFrame, settings: Retrieval = Retrieval(), okapi: Okapi = Okapi(), keep: Column | None = None, index: LexicalIndex | None = None
+) -> DataFrame:
+    """(query_id, child_id, bm25_score): the lexical cut, normalised, then filtered.
+
+    ``index`` is the stored index of all ``children``; a filter before the cut needs one of its own rows.
+    """
     source = children.filter(keep) if keep is not None and settings.lexical_prefilter else children
-    found = bm25_topk(tokenize(source), query_terms(queries), settings.top_k_bm25, okapi)
+    if index is None:
+        found = bm25_topk(tokenize(source), query_terms(queries), settings.top_k_bm25, okapi)
+    elif source is children:
+        found = indexed_topk(index, query_terms(queries), settings.top_k_bm25, okapi)
+    else:
+        raise ValueError("a stored index cannot be filtered before the cut; store one of the filtered passages")
     return normalize_lexical(found, children, keep).select("query_id", "child_id", "bm25_score")
 
 
@@ -148,9 +165,9 @@ def hybrid(fused: DataFrame, k: int, diversified: bool = True) -> DataFrame:
     return diversify(ranked, k)
 
 
-def vector_only(index: DataFrame, queries: DataFrame, current: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+def vector_only(index: DataFrame | VectorIndex, queries: DataFrame, current: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """Over-fetch 3k, drop rows that are not current, keep k; rank is the position before the filter."""
-    hits = vector_topk(index, queries, max(3 * k, k), metric).withColumnRenamed("rank", "retrieval_rank")
+    hits = nearest(index, queries, max(3 * k, k), metric).withColumnRenamed("rank", "retrieval_rank")
     kept = hits.join(current.select("child_id"), "child_id", "left_semi")
     w = Window.partitionBy("query_id").orderBy("retrieval_rank")
     return kept.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).drop("_n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.session import shared_folder
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -27,6 +30,23 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[str], None]) -> str:
+    """Folder of a table or index derived from the tables of ``sf_dir``.
+
+    ``build`` writes it, once per application, to the shared folder; every query that asks
+    for it later reads what is there.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        build(folder)
+        _STORED[key] = folder
+    return _STORED[key]
+
+
 def plain(df: DataFrame) -> DataFrame:
     """Integers as bigint, floats as double, dates and times as text."""
     out = []

@@ -13,11 +13,14 @@ from corpusloom.functions.text import retrieval_tokens
 from corpusloom.functions.text import query_terms as match_terms
 from corpusloom.functions.values import content_id, each
 from corpusloom.operators import chunking as C
+from corpusloom.operators import dense_index as DI
 from corpusloom.operators import lexical as X
+from corpusloom.operators import lexical_index as LI
 from corpusloom.operators import ranking as R
 from corpusloom.operators import search as S
-from corpusloom.operators.dense import alias_index, alias_index_stats, index_stats, vector_topk
-from corpusloom.plans.catalog import ctes, id_sql, load, query, strip_sql
+from corpusloom.operators.dense import alias_index, alias_index_stats, index_stats
+from corpusloom.plans.catalog import ctes, id_sql, load, query, stored, strip_sql
+from corpusloom.session import cut_lineage
 
 AS_OF = "2024-06-30"
 
@@ -34,7 +37,7 @@ passages AS MATERIALIZED (SELECT {id_sql("'doc/' || doc_id || '.md'", "'child'",
 CURRENT = "doc_id % 10 NOT IN (3, 4, 5)"
 
 
-def passages(spark, sf_dir, spread: int = 0) -> DataFrame:
+def cut_passages(spark, sf_dir) -> DataFrame:
     d = load(spark, sf_dir, "documents").withColumn("title", F.split_part("text", F.lit("\n"), F.lit(1)))
     rows = each(d, C.windows("text", 900, 120), "doc_id", "lang", "source", "title", item="text", pos="_p").withColumn("seq", F.col("_p") + 1)
     file = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".md"))
@@ -46,7 +49,22 @@ def passages(spark, sf_dir, spread: int = 0) -> DataFrame:
         ((F.col("doc_id") * 7 + F.col("seq")) % total).alias("vec_id"),
         F.when(digit == 4, "2025-01-01").when(digit == 5, "unknown").otherwise("").alias("valid_from"), F.when(digit == 3, "2023-12-31").otherwise("").alias("valid_until"),
     )
-    return S.with_search_text(out) if spread else out.withColumn("search_text", S.search_text("title", "heading_path", "text"))
+    return out.withColumn("search_text", S.search_text("title", "heading_path", "text"))
+
+
+def passages(spark, sf_dir) -> DataFrame:
+    """The passages, cut once and stored."""
+    return spark.read.parquet(stored(spark, sf_dir, "passages", lambda folder: cut_passages(spark, sf_dir).write.parquet(folder)))
+
+
+def lexical_index(spark, sf_dir) -> LI.LexicalIndex:
+    folder = stored(spark, sf_dir, "lexical", lambda folder: LI.write_lexical_index(X.tokenize(passages(spark, sf_dir)), folder, "v1"))
+    return LI.read_lexical_index(spark, folder, "v1")
+
+
+def passage_index(spark, sf_dir) -> DI.VectorIndex:
+    folder = stored(spark, sf_dir, "vectors", lambda folder: DI.write_vector_index(passage_vectors(spark, sf_dir), folder, "v1", "l2"))
+    return DI.read_vector_index(spark, folder, "v1")
 
 
 def questions(spark, sf_dir) -> DataFrame:
@@ -147,17 +165,22 @@ SETTINGS = S.Retrieval(reranker_min_score=0.3, reranker_min_keep=2, reranker_max
 
 
 def lexical(spark, sf_dir) -> DataFrame:
-    return X.bm25_topk(X.tokenize(passages(spark, sf_dir)), X.query_terms(questions(spark, sf_dir)), 20)
+    return LI.indexed_topk(lexical_index(spark, sf_dir), X.query_terms(questions(spark, sf_dir)), 20)
 
 
 def fused(spark, sf_dir) -> DataFrame:
     p = passages(spark, sf_dir)
     now = S.is_current("valid_from", "valid_until", AS_OF)
-    dense = S.dense_list(passage_vectors(spark, sf_dir), question_vectors(spark, sf_dir), S.Retrieval(), p.filter(now))
+    dense = S.dense_list(passage_index(spark, sf_dir), question_vectors(spark, sf_dir), S.Retrieval(), p.filter(now))
     lex = X.normalize_lexical(lexical(spark, sf_dir), p, now).select("query_id", "child_id", "bm25_score")
     return S.attach_children(S.fuse(dense, lex), p, ["parent_id", "doc_id"])
 
 
+def fused_once(spark, sf_dir) -> DataFrame:
+    """The fused list, at most both cuts per query, for plans that use it more than once."""
+    return cut_lineage(fused(spark, sf_dir))
+
+
 def rerank_scores(ranked: DataFrame) -> DataFrame:
     score = ((F.col("query_id") * 31 + F.col("doc_id") * 17) % 97) / F.lit(97.0)
     return ranked.filter((F.col("rank") <= 40) & (F.col("doc_id") % 10 != 1)).select("query_id", "child_id", score.alias("rerank_score"))
@@ -243,10 +266,11 @@ def vector_topk_query(spark, sf_dir):
     e = load(spark, sf_dir, "embeddings")
     label = F.col("label").cast("string")
     index = e.select(F.col("vec_id").alias("child_id"), "embedding", label.alias("corpus_id"))
+    folder = stored(spark, sf_dir, "embeddings", lambda folder: DI.write_vector_index(index, folder, "v1", "cosine"))
     # each question may see the corpora up to its own label
     allowed = F.transform(F.sequence(F.lit(0), F.col("label")), lambda n: n.cast("string"))
     q = e.select(F.col("vec_id").alias("query_id"), "embedding", allowed.alias("corpus_ids"))
-    return vector_topk(index, q, 8, "cosine").withColumn("score", F.round("score", 6))
+    return DI.indexed_vectors(DI.read_vector_index(spark, folder, "v1"), q, 8).withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -266,7 +290,7 @@ def index_stats_query(spark, sf_dir):
     SELECT query_id, child_id, retrieval_rank, round(score, 6) AS score FROM k WHERE n <= 8""",
 )
 def vector_only(spark, sf_dir):
-    rows = S.vector_only(passage_vectors(spark, sf_dir), question_vectors(spark, sf_dir), current(spark, sf_dir), 8)
+    rows = S.vector_only(passage_index(spark, sf_dir), question_vectors(spark, sf_dir), current(spark, sf_dir), 8)
     return rows.select("query_id", "child_id", "retrieval_rank", F.round("score", 6).alias("score"))
 
 
@@ -311,7 +335,7 @@ def hybrid_search(spark, sf_dir):
 
 @query("rerank_merge", ctes(*HYBRID, RERANK_SQL, MERGED) + f"SELECT {SCORED}, round(hybrid_score, 6) AS hybrid_score FROM merged")
 def rerank_merge(spark, sf_dir):
-    ranked = R.topk(fused(spark, sf_dir), 40)
+    ranked = R.topk(fused_once(spark, sf_dir), 40)
     merged = S.rerank_merge(ranked, rerank_scores(ranked), 8)
     return merged.select("query_id", "child_id", "rank", F.round("score", 6).alias("score"), F.round("hybrid_score", 6).alias("hybrid_score"))
 
@@ -321,7 +345,7 @@ _FILTER = filtered_sql(8, SETTINGS.reranker_min_score, SETTINGS.reranker_min_kee
 
 @query("rerank_filter", ctes(*HYBRID, RERANK_SQL, MERGED, _FILTER) + f"SELECT {SCORED} FROM filtered")
 def rerank_filter(spark, sf_dir):
-    ranked = R.topk(fused(spark, sf_dir), 40)
+    ranked = R.topk(fused_once(spark, sf_dir), 40)
     merged = S.rerank_merge(ranked, rerank_scores(ranked), 8)
     kept = R.rerank_filter(merged.filter("rerank_score is not null"), 8, SETTINGS.reranker_min_score, SETTINGS.reranker_min_keep, SETTINGS.reranker_max_keep, True)
     return kept.select("query_id", "child_id", "rank", F.round("score", 6).alias("score"))
@@ -333,7 +357,7 @@ _FINAL = "searched AS (SELECT query_id, child_id, rank, score FROM filtered UNIO
 
 
 def searched(spark, sf_dir) -> DataFrame:
-    rows = fused(spark, sf_dir)
+    rows = fused_once(spark, sf_dir)
     return S.search(rows, rerank_scores(R.topk(rows, 40)), 8, SETTINGS)
 
 
@@ -350,7 +374,7 @@ def search(spark, sf_dir):
     SELECT 'vector' AS retrieval_mode, {SCORED} FROM vk WHERE n <= 8 UNION ALL SELECT 'hybrid', {SCORED} FROM final UNION ALL SELECT 'hybrid_reranker', {SCORED} FROM searched""",
 )
 def compare_modes(spark, sf_dir):
-    vector = S.vector_only(passage_vectors(spark, sf_dir), question_vectors(spark, sf_dir), current(spark, sf_dir), 8)
+    vector = S.vector_only(passage_index(spark, sf_dir), question_vectors(spark, sf_dir), current(spark, sf_dir), 8)
     rows = S.compare_modes(vector, S.hybrid(fused(spark, sf_dir), 8), searched(spark, sf_dir))
     return rows.withColumn("score", F.round("score", 6))
 

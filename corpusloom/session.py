@@ -18,6 +18,8 @@ DEFAULTS = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+_OWN: dict[str, str] = {}
+
 
 def local_session(app: str = "corpusloom", cores: int | str = 8, partitions: int = 8, memory: str = "12g") -> SparkSession:
     """A ``local[cores]`` session for tests and the bench."""
@@ -33,19 +35,28 @@ def local_session(app: str = "corpusloom", cores: int | str = 8, partitions: int
     return session
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` with a reliable checkpoint (runs a job).
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
 
-    The folder comes from ``spark.checkpoint.dir``.  A local master without it gets a
+    It comes from ``spark.checkpoint.dir``.  A local master without it gets a
     temporary one; on a cluster, where executors would not share it, that is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder.rstrip("/")
+    if not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="spark-")
+    return _OWN[context.applicationId]
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` with a reliable checkpoint in the shared folder (runs a job)."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not folder and not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from corpusloom.operators.chunking import child_rows, chunk_documents
 from corpusloom.operators.logs import LOW_SCORE, log_metrics, quality_state
-from corpusloom.sources.writers import write_release
+from corpusloom.sources.documents import replace_documents
 
 LATENESS = "1 hour"
 
@@ -44,14 +44,17 @@ def append_stream(rows: DataFrame, path: str, checkpoint: str, available_now: bo
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def ingest_documents(documents: DataFrame, prepare: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
-    """Chunk newly landed documents; each micro-batch replaces its own release partition.
+def ingest_documents(
+    documents: DataFrame, prepare: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, stream: str = "documents", newest_by: str | None = None, deleted: str | None = None
+) -> StreamingQuery:
+    """Chunk landed documents; a document that lands again replaces its own chunks.
 
-    ``prepare`` turns landed rows into (corpus_id, source_file, title, text, chunking).
-    Re-running a batch after a failure rewrites the same partition, so it stays exact.
+    ``prepare`` turns landed rows into (corpus_id, source_file, title, text, chunking).  Rows with a true
+    ``deleted`` column remove their document.  Read the result with ``sources.documents.read_documents``:
+    one snapshot of all committed batches.  A batch that runs again changes nothing.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        write_release(child_rows(chunk_documents(prepare(rows))), path, f"batch_{number}")
+        replace_documents(rows, path, lambda new: child_rows(chunk_documents(prepare(new))), stream=stream, number=number, newest_by=newest_by, deleted=deleted)
 
     return documents.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,6 +1,9 @@
 import tempfile
+import threading
+from collections import Counter
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -8,8 +11,9 @@ from corpusloom import schemas as Z
 from corpusloom.functions import clients
 from corpusloom.operators import chunking as C
 from corpusloom.operators import logs as L
+from corpusloom.operators import search as S
 from corpusloom.plans.logs import ask_logs
-from corpusloom.sources import readers, writers
+from corpusloom.sources import commits, documents, readers, writers
 from corpusloom.streaming import streams
 
 SF = "/root/testdata/sf0.001"
@@ -102,11 +106,84 @@ def test_duplicate_deliveries(spark):
     assert spark.read.parquet(base + "/out").count() == logs.count()
 
 
-def test_document_ingest(spark):
+def landing(spark, base, *files):
+    """One file of landed documents per call: (name, body, landed at, deleted)."""
+    rows = [("c", name, "T", f"# H\n\n{body}", at, gone) for name, body, at, gone in files]
+    schema = "corpus_id string, source_file string, title string, text string, at long, gone boolean"
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(base + "/in")
+    stream = spark.readStream.schema(schema).parquet(base + "/in")
+    prepare = lambda d: d.withColumn("chunking", C.chunking_rules())
+    streams.ingest_documents(stream, prepare, base + "/out", base + "/cp", newest_by="at", deleted="gone").awaitTermination(120)
+    return {r.source_file: r.text.split("\n")[-1] for r in documents.read_documents(spark, base + "/out").collect()}
+
+
+def test_changed_and_deleted_documents_are_replaced(spark):
+    base = folder()
+    assert landing(spark, base, *[(f"f{i}.md", f"body {i}", 1, False) for i in range(5)]) == {f"f{i}.md": f"body {i}" for i in range(5)}
+    got = landing(spark, base, ("f1.md", "early", 2, False), ("f1.md", "late", 3, False), ("f2.md", None, 2, True), ("f3.md", "body 3", 2, False), ("f9.md", None, 2, True))
+    want = {"f0.md": "body 0", "f1.md": "late", "f3.md": "body 3", "f4.md": "body 4"}
+    assert got == want
+    manifest = {r.doc_key: (r.deleted, r.version) for r in documents.read_manifest(spark, base + "/out").collect()}
+    assert manifest['["c","f2.md"]'] == (True, 2) and manifest['["c","f3.md"]'] == (False, 1) and len(manifest) == 5
+    # a deleted document may come back, and an older snapshot stays readable
+    assert landing(spark, base, ("f2.md", "again", 4, False)) == want | {"f2.md": "again"}
+    assert documents.read_documents(spark, base + "/out", 1).count() == 5
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark):
+    base = folder()
+    rows = lambda body: spark.createDataFrame([("c", "a.md", body), ("c", "b.md", "same")], "corpus_id string, source_file string, text string")
+    put = lambda body, number: documents.replace_documents(rows(body), base, lambda d: d, number=number)
+    assert [put("one", 0), put("one", 0), put("two", 0), put("two", 1), put("two", 2)] == [1, 1, 1, 2, 3]
+    assert sorted(r.text for r in documents.read_documents(spark, base).collect()) == ["same", "two"]
+    for i in range(3, documents.MERGE_AFTER + 4):
+        put(f"n{i}", i)
+    assert sorted(r.text for r in documents.read_documents(spark, base).collect()) == [f"n{i}", "same"]
+
+
+def test_two_writers_lose_no_transition(spark):
+    log = folder() + "/releases"
+    schema = "release_id string, corpus_version string, index_version string, collection_name string, status string, row_count long, embedding_size long, error string"
+
+    def writer(name: str) -> None:
+        for n in range(3):
+            new = spark.createDataFrame([(name, f"v{n}", "x")], "corpus_version string, index_version string, collection_name string")
+            release = f"{name}_v{n}"
+            commits.update_table(spark, log, schema, lambda t: S.begin_release(t, new))
+            commits.update_table(spark, log, schema, lambda t: S.finish_release(t, release, 1, 8))
+            commits.update_table(spark, log, schema, lambda t: S.activate_release(t, release))
+
+    threads = [threading.Thread(target=writer, args=(name,)) for name in ("a", "b")]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    states = {r.release_id: r.status for r in commits.read_state(spark, log, schema).collect()}
+    assert set(states) == {f"{w}_v{n}" for w in "ab" for n in range(3)}
+    assert sorted(states.values()) == ["active"] + ["archived"] * 5
+    assert commits.newest(spark, log)[0] == 18
+
+
+def test_put_if_absent(spark):
+    log = folder() + "/log"
+    assert commits.newest(spark, log) == (0, None)
+    assert commits.put_if_absent(spark, log, 1, {"a": "é"}) and not commits.put_if_absent(spark, log, 1, {"a": 2})
+    assert commits.newest(spark, log) == (1, {"a": "é"})
+    assert commits.update(spark, log, lambda e: None) == 1
+    with pytest.raises(commits.Lost):
+        commits.update(spark, log, lambda e: commits.put_if_absent(spark, log, commits.newest(spark, log)[0] + 1, {}) and {}, tries=2)
+
+
+def test_windowed_counts_equal_batch_with_late_rows(spark):
     base = folder()
-    docs = spark.createDataFrame([("c", f"f{i}.md", "T", f"# H\n\nbody {i}") for i in range(5)], "corpus_id string, source_file string, title string, text string")
-    docs.write.parquet(base + "/in")
-    stream = spark.readStream.schema(docs.schema).parquet(base + "/in")
-    streams.ingest_documents(stream, lambda d: d.withColumn("chunking", C.chunking_rules()), base + "/out", base + "/cp").awaitTermination(120)
-    rows = spark.read.parquet(base + "/out")
-    assert rows.count() == 5 and rows.select("child_id").distinct().count() == 5
+    schema = "created_at string, kind string"
+    rows = [(f"2024-01-01 {h:02d}:{m:02d}:00", "ab"[m % 2]) for h in range(6) for m in range(0, 60, 7)]
+    late_ok, too_late = ("2024-01-01 04:50:00", "a"), ("2024-01-01 00:10:00", "a")
+    for part in (rows, [late_ok, too_late], [("2024-01-01 09:00:00", "b")], [("2024-01-02 00:00:00", "b")]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(base + "/in")
+        stream = spark.readStream.schema(schema).parquet(base + "/in")
+        counted = streams.windowed_counts(stream, "created_at", "1 hour", "1 hour", "kind")
+        streams.append_stream(counted, base + "/out", base + "/cp").awaitTermination(120)
+    got = {(str(r.window_start), r.kind): r.questions for r in spark.read.parquet(base + "/out").collect()}
+    want = Counter((t[:13] + ":00:00", k) for t, k in [*rows, late_ok, ("2024-01-01 09:00:00", "b")])
+    assert got == want
