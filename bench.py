@@ -15,6 +15,7 @@ HEADLINE = [
     "child_chunks",
     "chunk_report_by_corpus",
     "char_windows",
+    "lexical_index",  # cuts and stores the passages and their index, which the next ones ask
     "bm25_topk",
     "vector_topk",
     "hybrid_search",

@@ -26,7 +26,7 @@ from corpusloom.operators.pruning import pruned_rows, pruned_share
 from corpusloom.operators.ranking import SCORE_DIGITS, topk
 from corpusloom.session import cut_lineage
 
-SHARD_PASSAGES = 512
+SHARD_PASSAGES = 2048
 BUCKETS = 64
 _BLOCKS = "shard long, term string, n int, max_tf int, min_dl int, places array<int>, tfs array<int>, bucket int"
 
@@ -103,14 +103,18 @@ def _search(index: LexicalIndex, terms: DataFrame, k: int, okapi: Okapi):
     id_type = index.shards.schema["child_ids"].dataType.elementType.simpleString()
     ddl = f"query_id {dict(terms.dtypes)['query_id']}, child_id {id_type}, score double"
 
+    words = batch.select("bucket", "term").distinct()
+    id_list = index.shards.schema["child_ids"].dataType
+    none = F.lit(None).cast("array<int>")
+
     def evaluate(pairs: DataFrame) -> DataFrame:
         pairs = pairs.withColumnRenamed("block", "shard")
-        asked = pairs.join(packed, "query_id")
-        wanted = pairs.join(batch, "query_id").select("bucket", "shard", "term").distinct()
-        rows = index.blocks.join(wanted, ["bucket", "shard", "term"], "left_semi").select("shard", "term", "places", "tfs", F.lit(None).cast(index.shards.schema["child_ids"].dataType).alias("child_ids"), F.lit(None).cast("array<int>").alias("dls"))
-        none = F.lit(None).cast("array<int>")
-        heads = index.shards.join(pairs.select("shard").distinct(), "shard", "left_semi")
+        needed = pairs.select("shard").distinct()
+        rows = index.blocks.join(words, ["bucket", "term"], "left_semi").join(needed, "shard", "left_semi")
+        rows = rows.select("shard", "term", "places", "tfs", F.lit(None).cast(id_list).alias("child_ids"), none.alias("dls"))
+        heads = index.shards.join(needed, "shard", "left_semi")
         heads = heads.select("shard", F.lit(None).cast("string").alias("term"), none.alias("places"), none.alias("tfs"), "child_ids", "dls")
+        asked = pairs.join(packed, "query_id")
         return rows.unionByName(heads).groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(_scorer(k, okapi, ddl, terms.sparkSession), ddl)
 
     return bounds, evaluate, k
@@ -178,22 +182,31 @@ def _scorer(k: int, okapi: Okapi, ddl: str, spark: SparkSession):
         ids = head.column("child_ids").combine_chunks().flatten()
         dl = np.asarray(head.column("dls").combine_chunks().flatten(), dtype=np.float64)
         blocks = left.filter(pc.is_valid(left.column("term"))).combine_chunks()
-        known = {t: i for i, t in enumerate(blocks.column("term").to_pylist())}
-        lists = blocks.column("places").combine_chunks() if blocks.num_rows else None
-        place = np.asarray(lists.flatten()) if known else np.array([], np.int64)
-        tf = np.asarray(blocks.column("tfs").combine_chunks().flatten(), dtype=np.float64) if known else np.array([])
-        ends = np.cumsum(np.asarray(pc.list_value_length(lists))) if known else np.array([0])
+        if not blocks.num_rows:
+            return schema.empty_table()
+        lists = blocks.column("places").combine_chunks()
+        place = np.asarray(lists.flatten())
+        tf = np.asarray(blocks.column("tfs").combine_chunks().flatten(), dtype=np.float64)
+        sizes = np.asarray(pc.list_value_length(lists)).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
         mean = right.column("avgdl")[0].as_py()
         gain = tf * (okapi.k1 + 1) / (tf + okapi.k1 * (1 - okapi.b + okapi.b * dl[place] / mean))
-        spans = list(zip(np.append(0, ends[:-1]).tolist(), ends.tolist()))
+        asked = right.column("terms").combine_chunks()
+        ends = np.cumsum(np.asarray(pc.list_value_length(asked)))
+        words = asked.flatten()
+        codes = pc.fill_null(pc.index_in(words.field("term"), value_set=blocks.column("term").combine_chunks()), -1)
+        codes, weights = np.asarray(codes).astype(np.int64), np.asarray(words.field("w"))
         queries, rows, scores = [], [], []
-        for q, terms in enumerate(right.column("terms").to_pylist()):
-            mine = [(spans[known[t["term"]]], t["w"]) for t in terms if t["term"] in known]
-            if not mine:
+        for q, (a, b) in enumerate(zip(np.append(0, ends[:-1]).tolist(), ends.tolist())):
+            known = codes[a:b] >= 0
+            code = codes[a:b][known]
+            if not len(code):
                 continue
-            where = np.concatenate([place[a:b] for (a, b), _ in mine])
-            what = np.concatenate([gain[a:b] * w for (a, b), w in mine])
-            total = np.bincount(where, what, len(ids))[:, None]
+            n = sizes[code]
+            # places of all postings of the query's terms
+            flat = np.arange(n.sum()) + np.repeat(starts[code] - (np.cumsum(n) - n), n)
+            where = place[flat]
+            total = np.bincount(where, gain[flat] * np.repeat(weights[a:b][known], n), len(ids))[:, None]
             # a term of weight 0 still makes a match
             row, _ = best_rows(total, np.bincount(where, minlength=len(ids))[:, None] > 0, k)
             queries.append(np.full(len(row), q))

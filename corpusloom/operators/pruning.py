@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators.ranking import SCORE_DIGITS, topk
 from corpusloom.session import cut_lineage
 
-SEEDS = 2
+SEEDS = 1
 #: Rounded scores and sums in another order may differ from the bound by this much.
 SLACK = 10.0**-SCORE_DIGITS
 

@@ -18,7 +18,7 @@ from corpusloom.operators import lexical as X
 from corpusloom.operators import lexical_index as LI
 from corpusloom.operators import ranking as R
 from corpusloom.operators import search as S
-from corpusloom.operators.dense import alias_index, alias_index_stats, index_stats
+from corpusloom.operators.dense import alias_index, alias_index_stats, index_stats, vector_topk
 from corpusloom.plans.catalog import ctes, id_sql, load, query, stored, strip_sql
 from corpusloom.session import cut_lineage
 
@@ -62,11 +62,6 @@ def lexical_index(spark, sf_dir) -> LI.LexicalIndex:
     return LI.read_lexical_index(spark, folder, "v1")
 
 
-def passage_index(spark, sf_dir) -> DI.VectorIndex:
-    folder = stored(spark, sf_dir, "vectors", lambda folder: DI.write_vector_index(passage_vectors(spark, sf_dir), folder, "v1", "l2"))
-    return DI.read_vector_index(spark, folder, "v1")
-
-
 def questions(spark, sf_dir) -> DataFrame:
     return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
@@ -171,7 +166,7 @@ def lexical(spark, sf_dir) -> DataFrame:
 def fused(spark, sf_dir) -> DataFrame:
     p = passages(spark, sf_dir)
     now = S.is_current("valid_from", "valid_until", AS_OF)
-    dense = S.dense_list(passage_index(spark, sf_dir), question_vectors(spark, sf_dir), S.Retrieval(), p.filter(now))
+    dense = S.dense_list(passage_vectors(spark, sf_dir), question_vectors(spark, sf_dir), S.Retrieval(), p.filter(now))
     lex = X.normalize_lexical(lexical(spark, sf_dir), p, now).select("query_id", "child_id", "bm25_score")
     return S.attach_children(S.fuse(dense, lex), p, ["parent_id", "doc_id"])
 
@@ -205,6 +200,11 @@ def query_terms(spark, sf_dir):
     return each(load(spark, sf_dir, "benchmark"), match_terms("text"), "item_id", item="term").select("item_id", "term")
 
 
+@query("lexical_index", ctes(PASSAGES, BM25) + "SELECT term, count(*) AS df FROM post GROUP BY term UNION ALL SELECT NULL, n FROM st")
+def lexical_index_terms(spark, sf_dir):
+    return lexical_index(spark, sf_dir).lexicon.select("term", "df")
+
+
 @query("bm25_topk", ctes(*LEXICAL) + "SELECT query_id, child_id, rank, round(score, 3) AS score FROM lex20")
 def bm25_topk(spark, sf_dir):
     return lexical(spark, sf_dir).withColumn("score", F.round("score", 3))
@@ -256,20 +256,28 @@ def context_budget(spark, sf_dir):
 # ---------------------------------------------------------------- dense
 
 
-@query(
-    "vector_topk",
-    """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+_VECTOR_TOPK = """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
     s AS (SELECT q.vec_id AS query_id, i.vec_id AS child_id, round(list_inner_product(q.v, i.v) / sqrt(list_inner_product(q.v, q.v) * list_inner_product(i.v, i.v)), 9) AS score FROM e q, e i WHERE i.label <= q.label)
-    SELECT query_id, child_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, child_id) AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 8""",
-)
-def vector_topk_query(spark, sf_dir):
+    SELECT query_id, child_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, child_id) AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 8"""
+
+
+def labelled_vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Index rows with their label as corpus; every row asks, and may see the corpora up to its own label."""
     e = load(spark, sf_dir, "embeddings")
-    label = F.col("label").cast("string")
-    index = e.select(F.col("vec_id").alias("child_id"), "embedding", label.alias("corpus_id"))
-    folder = stored(spark, sf_dir, "embeddings", lambda folder: DI.write_vector_index(index, folder, "v1", "cosine"))
-    # each question may see the corpora up to its own label
+    index = e.select(F.col("vec_id").alias("child_id"), "embedding", F.col("label").cast("string").alias("corpus_id"))
     allowed = F.transform(F.sequence(F.lit(0), F.col("label")), lambda n: n.cast("string"))
-    q = e.select(F.col("vec_id").alias("query_id"), "embedding", allowed.alias("corpus_ids"))
+    return index, e.select(F.col("vec_id").alias("query_id"), "embedding", allowed.alias("corpus_ids"))
+
+
+@query("vector_topk", _VECTOR_TOPK)
+def vector_topk_query(spark, sf_dir):
+    return vector_topk(*labelled_vectors(spark, sf_dir), 8, "cosine").withColumn("score", F.round("score", 6))
+
+
+@query("vector_index_topk", _VECTOR_TOPK)
+def vector_index_topk(spark, sf_dir):
+    index, q = labelled_vectors(spark, sf_dir)
+    folder = stored(spark, sf_dir, "embeddings", lambda folder: DI.write_vector_index(index, folder, "v1", "cosine"))
     return DI.indexed_vectors(DI.read_vector_index(spark, folder, "v1"), q, 8).withColumn("score", F.round("score", 6))
 
 
@@ -290,7 +298,7 @@ def index_stats_query(spark, sf_dir):
     SELECT query_id, child_id, retrieval_rank, round(score, 6) AS score FROM k WHERE n <= 8""",
 )
 def vector_only(spark, sf_dir):
-    rows = S.vector_only(passage_index(spark, sf_dir), question_vectors(spark, sf_dir), current(spark, sf_dir), 8)
+    rows = S.vector_only(passage_vectors(spark, sf_dir), question_vectors(spark, sf_dir), current(spark, sf_dir), 8)
     return rows.select("query_id", "child_id", "retrieval_rank", F.round("score", 6).alias("score"))
 
 
@@ -374,7 +382,7 @@ def search(spark, sf_dir):
     SELECT 'vector' AS retrieval_mode, {SCORED} FROM vk WHERE n <= 8 UNION ALL SELECT 'hybrid', {SCORED} FROM final UNION ALL SELECT 'hybrid_reranker', {SCORED} FROM searched""",
 )
 def compare_modes(spark, sf_dir):
-    vector = S.vector_only(passage_index(spark, sf_dir), question_vectors(spark, sf_dir), current(spark, sf_dir), 8)
+    vector = S.vector_only(passage_vectors(spark, sf_dir), question_vectors(spark, sf_dir), current(spark, sf_dir), 8)
     rows = S.compare_modes(vector, S.hybrid(fused(spark, sf_dir), 8), searched(spark, sf_dir))
     return rows.withColumn("score", F.round("score", 6))
 
