@@ -3,7 +3,7 @@
 All splitting is row-local: a document's lines, sections and passages live in
 arrays built by higher-order functions, so chunking a corpus needs no shuffle
 and a very long document only affects the row that holds it.  The sequential
-rules (greedy packing, merging) are folds over arrays of paragraphs or sections.
+rules (greedy packing, merging) are folds over arrays of paragraphs or sections, linear in their number.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ TEMPLATE_PARENT_CHARS = 20000
 TEMPLATE_CHILD_CHARS = 1200
 TEMPLATE_OVERLAP = 150
 MODES = ["auto", "heading", "html_comment"]
+# Front-matter keys that chunks inherit.
 INHERITED_KEYS = [
     "taxanswer_no",
     "document_type",
@@ -73,6 +74,32 @@ def _no_sections() -> Column:
     return F.array().cast(SECTION)
 
 
+#: Items of one inner fold.
+FOLD_RUN = 512
+
+
+def _fold(items: Column, names: list[str], first: Column, step, finish) -> Column:
+    """``F.aggregate`` for a state of ``names`` and a growing array ``out``, linear in the items.
+
+    Every step that extends an array copies it.  So the items are folded run by run, each run into an
+    array of its own, and the runs are put together once at the end.
+    """
+
+    def state(s: Column, out: Column, name: str = "out") -> Column:
+        return F.struct(*[s[n].alias(n) for n in names], out.alias(name))
+
+    def run(s: Column, part: Column) -> Column:
+        folded = F.aggregate(part, state(s, first["out"]), step)
+        return bind(folded, lambda r: state(r, F.concat(s["outs"], F.array(r["out"])), "outs"))
+
+    def over(all_items: Column) -> Column:
+        last = F.floor(F.greatest(F.size(all_items) - 1, F.lit(0)) / FOLD_RUN).cast("int")
+        runs = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(all_items, i * FOLD_RUN + 1, F.lit(FOLD_RUN)))
+        return F.aggregate(runs, state(first, F.array(first["out"]), "outs"), run, lambda s: finish(state(s, F.flatten(s["outs"]))))
+
+    return bind(items, over)
+
+
 # ---------------------------------------------------------------- heading stack
 
 
@@ -166,7 +193,7 @@ def heading_sections(text, base_path, levels) -> Column:
             rest = F.when(~s["open"] & (whole != ""), F.array(_section(base, whole))).otherwise(_no_sections())
             return F.concat(cut, rest)
 
-        return F.aggregate(heads, first, step, finish)
+        return _fold(heads, [*_TITLES, "open", "pre_from", "pre_to", "start", "path"], first, step, finish)
 
     return bind(F.split(source, "(?U)" + _NEW_HEADING, -1), from_pieces)
 
@@ -188,7 +215,7 @@ def template_sections(text, max_chars: int = TEMPLATE_PARENT_CHARS) -> Column:
         kept = F.concat(s["out"], F.array(_section(_path(titles), body)))
         return F.struct(*titles, F.when(has_content, kept).otherwise(s["out"]).alias("out"))
 
-    sections = F.aggregate(pieces, first, step, lambda s: s["out"])
+    sections = _fold(pieces, _TITLES, first, step, lambda s: s["out"])
     whole = strip(unix_newlines(text))
     none_found = F.when(whole != "", F.array(_section(F.lit(""), whole))).otherwise(_no_sections())
 
@@ -215,7 +242,7 @@ def template_sections(text, max_chars: int = TEMPLATE_PARENT_CHARS) -> Column:
             ).otherwise(section["heading_path"])
             return F.concat(s["out"], F.array(_section(label, strip(F.array_join(s["buf"], "\n\n")))))
 
-        parts = F.aggregate(F.split(section["text"], "\n{2,}", -1), start, pack, last)
+        parts = _fold(F.split(section["text"], "\n{2,}", -1), ["buf", "size", "part"], start, pack, last)
         return F.when(F.length(section["text"]) <= max_chars, F.array(section)).otherwise(parts)
 
     found = bind(sections, lambda s: F.when(F.size(s) > 0, s).otherwise(none_found))
@@ -284,9 +311,7 @@ def pack_paragraphs(text, heading_path, max_chars, overlap) -> Column:
             ),
         )
 
-    packed = F.aggregate(
-        paragraphs, first, step, lambda s: F.when(s["buf"] != "", flushed(s)).otherwise(s["out"])
-    )
+    packed = _fold(paragraphs, ["buf", "part"], first, step, lambda s: F.when(s["buf"] != "", flushed(s)).otherwise(s["out"]))
     return F.when(F.length(t) <= size, F.array(_section(path, t))).otherwise(packed)
 
 
@@ -309,7 +334,7 @@ def merge_small(sections, min_chars, max_chars) -> Column:
             .alias("out"),
         )
 
-    merged = F.aggregate(rows, first, step, lambda s: F.concat(s["out"], F.array(_section(s["path"], s["text"]))))
+    merged = _fold(rows, ["path", "text"], first, step, lambda s: F.concat(s["out"], F.array(_section(s["path"], s["text"]))))
     return F.when((low <= 0) | (F.size(rows) <= 1), rows).otherwise(merged)
 
 
@@ -328,7 +353,7 @@ def blocks(text, default_path) -> Column:
         path = F.when(_path(titles) == "", base).otherwise(_path(titles))
         return F.struct(*titles, F.concat(s["out"], F.array(_section(path, part))).alias("out"))
 
-    return F.aggregate(F.filter(parts, lambda p: p != ""), first, step, lambda s: s["out"])
+    return _fold(F.filter(parts, lambda p: p != ""), _TITLES, first, step, lambda s: s["out"])
 
 
 def child_chunks(text, heading_path, max_chars, overlap) -> Column:
@@ -351,9 +376,7 @@ def child_chunks(text, heading_path, max_chars, overlap) -> Column:
             F.when(fits, done).otherwise(F.concat(done, cut)).alias("out"),
         )
 
-    return F.aggregate(
-        blocks(text, heading_path), first, step, lambda s: F.when(s["buf"] != "", flushed(s)).otherwise(s["out"])
-    )
+    return _fold(blocks(text, heading_path), ["buf", "path"], first, step, lambda s: F.when(s["buf"] != "", flushed(s)).otherwise(s["out"]))
 
 
 def template_child_chunks(
@@ -385,9 +408,7 @@ def template_child_chunks(
             F.when(joins, s["out"]).when(fits, done).otherwise(F.concat(done, raw_windows(p))).alias("out"),
         )
 
-    return F.aggregate(
-        parts, first, step, lambda s: F.when(s["buf"] != "", F.concat(s["out"], F.array(s["buf"]))).otherwise(s["out"])
-    )
+    return _fold(parts, ["buf"], first, step, lambda s: F.when(s["buf"] != "", F.concat(s["out"], F.array(s["buf"]))).otherwise(s["out"]))
 
 
 # ---------------------------------------------------------------- parents

@@ -24,7 +24,7 @@ from corpusloom.operators.blocks import RunningTop, matrix_of
 from corpusloom.operators.dense import METRICS, _block_top, _by_width, _result, _schema
 from corpusloom.operators.pruning import pruned_rows, pruned_share
 from corpusloom.operators.ranking import topk
-from corpusloom.session import cut_lineage
+from corpusloom.session import materialized
 
 #: Vectors of which the centres are made; also bounds what reaches the driver.
 SAMPLE = 20_000
@@ -100,9 +100,9 @@ def write_vector_index(
     placed = rows.mapInArrow(_place(known, metric), ", ".join([*columns, "width int", "cell int", "distance double"]))
     # rings: neighbours by distance stand together; a cell of any size is spread by range
     tie = F.col("child_id")
-    ranged = cut_lineage(placed).repartitionByRange("width", "cell", "distance", tie).sortWithinPartitions("width", "cell", "distance", tie)
+    ranged = materialized(placed).repartitionByRange("width", "cell", "distance", tie).sortWithinPartitions("width", "cell", "distance", tie)
     cut = ranged.mapInArrow(_rings(block_rows), ", ".join([*columns, "width int", "cell int", "distance double", "block long"]))
-    stored = cut_lineage(cut).withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(buckets)).cast("int"))
+    stored = materialized(cut).withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(buckets)).cast("int"))
     stored.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{home}/vectors")
     rings = stored.groupBy("width", "cell", "block", "bucket").agg(F.min("distance").alias("near"), F.max("distance").alias("far"), F.count("*").alias("n"))
     rings.write.mode("overwrite").parquet(f"{home}/rings")

@@ -24,7 +24,7 @@ from corpusloom.operators.blocks import best_rows
 from corpusloom.operators.lexical import Okapi, corpus_stats, inverse_frequencies
 from corpusloom.operators.pruning import pruned_rows, pruned_share
 from corpusloom.operators.ranking import SCORE_DIGITS, topk
-from corpusloom.session import cut_lineage
+from corpusloom.session import materialized
 
 SHARD_PASSAGES = 2048
 BUCKETS = 64
@@ -57,8 +57,8 @@ def write_lexical_index(tokenized: DataFrame, folder: str, release: str, shard_p
     spark, home = tokenized.sparkSession, _home(folder, release)
     id_type = dict(tokenized.dtypes)["child_id"]
     ddl = f"shard long, term string, n int, max_tf int, min_dl int, places array<int>, tfs array<int>, child_ids array<{id_type}>, dls array<int>"
-    # one map-only job decides the shards; both tables come from its checkpoint
-    staged = cut_lineage(tokenized.select("child_id", "tokens", F.col("dl").cast("int").alias("dl")).mapInArrow(_sharder(shard_passages, id_type), ddl))
+    # one map-only job decides the shards; both tables come from what it wrote
+    staged = materialized(tokenized.select("child_id", "tokens", F.col("dl").cast("int").alias("dl")).mapInArrow(_sharder(shard_passages, id_type), ddl))
     blocks = staged.filter("term is not null").select("shard", "term", "n", "max_tf", "min_dl", "places", "tfs", _bucket("term", F.lit(buckets)).alias("bucket"))
     placed = blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "shard")
     placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{home}/blocks")
@@ -90,7 +90,7 @@ def _search(index: LexicalIndex, terms: DataFrame, k: int, okapi: Okapi):
     avgdl = corpus_stats(index.lexicon).select("avgdl").scalar()
     buckets = index.lexicon.filter("term is null").select("buckets").scalar()
     weights = terms.join(inverse_frequencies(index.lexicon, okapi).select("term", "idf"), "term")
-    batch = cut_lineage(weights.select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"), avgdl.alias("avgdl"), _bucket("term", buckets).alias("bucket")))
+    batch = materialized(weights.select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"), avgdl.alias("avgdl"), _bucket("term", buckets).alias("bucket")))
 
     def gain(tf: Column, dl: Column, mean: Column) -> Column:
         return tf * (okapi.k1 + 1) / (tf + okapi.k1 * (1 - okapi.b + okapi.b * dl / mean))

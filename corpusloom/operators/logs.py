@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import blank_to_null, col, preview, strip, text_or_empty
 from corpusloom.functions.unicode import casefold
 from corpusloom.functions.values import positive, ratio
+from corpusloom.session import materialized
 
 # Miss reasons that count as near misses; source fields kept in the log.
 NEAR_MISS = ["below_accept_threshold", "margin_too_small", "llm_judge_rejected"]
@@ -210,26 +211,31 @@ def source_hits(logs: DataFrame) -> DataFrame:
 def chunk_hits(logs: DataFrame, top_n: int = 20, samples: int = 5) -> DataFrame:
     """Most used chunks: hits, average and best score, last hit, newest sample log ids.
 
-    Aggregated map-side first; details and log ids are looked up only for the ranked chunks, so a
-    chunk that appears in a third of all logs never gathers its ids in one task.
+    The logs are read once.  A task reduces each of its chunks to one row with its newest ids, so a chunk
+    that appears in a third of all logs brings ``samples`` ids per task together, not all of them.
     """
-    hits = source_hits(logs)
     score = F.coalesce(F.col("s.score"), F.lit(0.0))
-    stats = hits.groupBy("source_key").agg(
-        F.count("*").alias("hits"),
-        F.round(F.avg(score), 6).alias("avg_score"),
-        F.round(F.greatest(F.max(score), F.lit(0.0)), 6).alias("max_score"),
-        F.max("created_at").alias("last_hit_at"),
+    detail = F.struct("s.corpus_id", "s.parent_id", "s.child_id", "s.title", "s.heading_path", "s.source_file")
+    hits = source_hits(logs).select("source_key", "id", "created_at", score.alias("_score"), detail.alias("_d"), F.spark_partition_id().alias("_task"))
+
+    def newest(ids: Column) -> Column:
+        return F.slice(F.sort_array(ids, False), 1, positive(samples))
+
+    per_task = hits.groupBy("source_key", "_task").agg(
+        F.count("*").alias("hits"), F.sum("_score").alias("_sum"), F.max("_score").alias("_max"), F.max("created_at").alias("last_hit_at"),
+        newest(F.collect_list("id")).alias("_ids"), F.max_by("_d", "id").alias("_d"), F.max("id").alias("_id"),
+    )
+    stats = per_task.groupBy("source_key").agg(
+        F.sum("hits").alias("hits"),
+        F.round(F.sum("_sum") / F.sum("hits"), 6).alias("avg_score"),
+        F.round(F.greatest(F.max("_max"), F.lit(0.0)), 6).alias("max_score"),
+        F.max("last_hit_at").alias("last_hit_at"),
+        F.max_by("_d", "_id").alias("_d"),
+        newest(F.flatten(F.collect_list("_ids"))).alias("sample_log_ids"),
     )
     ranked = stats.orderBy(F.col("hits").desc(), "source_key").limit(positive(top_n))
     ranked = ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.col("hits").desc(), "source_key")))  # top_n rows
-    newest = Window.partitionBy("source_key").orderBy(F.col("id").desc())
-    picked = (
-        hits.select("source_key", "id", F.struct("s.corpus_id", "s.parent_id", "s.child_id", "s.title", "s.heading_path", "s.source_file").alias("_d")).join(ranked.select("source_key"), "source_key", "left_semi")
-        .withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= samples)
-        .groupBy("source_key").agg(F.sort_array(F.collect_list("id"), False).alias("sample_log_ids"), F.max_by("_d", "id").alias("_d"))
-    )
-    return ranked.join(picked, "source_key").select("rank", "source_key", "hits", "avg_score", "max_score", "last_hit_at", "_d.*", "sample_log_ids")
+    return ranked.select("rank", "source_key", "hits", "avg_score", "max_score", "last_hit_at", "_d.*", "sample_log_ids")
 
 
 def file_hits(logs: DataFrame, top_n: int = 20) -> DataFrame:
@@ -273,14 +279,64 @@ def newest(logs: DataFrame, sample_limit: int | None) -> DataFrame:
     return logs if sample_limit is None else logs.orderBy(F.col("id").desc()).limit(sample_limit)
 
 
+#: Ranges into which one round divides the values that may still hold a rank.
+RANGES = 1024
+#: Values of one range that may be put in order in one task.
+FEW = 10_000
+
+
+def exact_percentiles(rows: DataFrame, key: str, value: str, probs: list[float], ranges: int = RANGES, few: int = FEW) -> DataFrame:
+    """(key, prob, percentile): exact, interpolated between neighbouring ranks, of groups of any size.
+
+    A group's values are counted by equal ranges between its ends; the range that holds the wanted rank
+    is divided again until it holds few values or equal ones, which alone are put in order.  Counts combine
+    map-side, so no task holds a group.  Each round reads ``rows`` once.  Only finite values count.
+    """
+    finite = F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs("_v") < float("inf"))
+    values = rows.select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v")).filter(finite)
+    sizes = values.groupBy(F.col("_k").alias("_g")).agg(F.count("*").alias("_n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    place = F.col("prob") * (F.col("_n") - 1)
+    wanted = sizes.select("_g", "_n", "lo", "hi", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
+    ends = F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place)))).alias("rank")
+    # below: how many values are smaller than lo; n: how many lie from lo to hi
+    searched = materialized(wanted.select("_g", "prob", ends, "lo", "hi", F.lit(0).cast("long").alias("below"), F.col("_n").alias("n")))
+    settled = (F.col("lo") == F.col("hi")) | (F.col("n") <= few)
+
+    def inside(some: DataFrame) -> DataFrame:
+        return values.join(some, F.col("_k").eqNullSafe(F.col("_g")) & F.col("_v").between(F.col("lo"), F.col("hi"))).drop("_k")
+
+    done, searched = searched.filter(settled), searched.filter(~settled)
+    while not searched.isEmpty():
+        # halves: the difference of two doubles may be too large for one
+        share = (F.col("_v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        part = F.least(F.floor(share * ranges), F.lit(ranges - 1))
+        counted = inside(searched).groupBy("_g", "prob", "rank", "below", part.alias("_b")).agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        before = F.sum("n").over(Window.partitionBy("_g", "prob", "rank").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+        summed = counted.withColumn("below", F.col("below") + F.coalesce(before, F.lit(0)))
+        held = summed.filter((F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("below") + F.col("n")))
+        narrowed = materialized(held.select("_g", "prob", "rank", "lo", "hi", "below", "n"))
+        done, searched = done.unionByName(narrowed.filter(settled)), narrowed.filter(~settled)
+    ordered = inside(done.filter("lo < hi")).withColumn("_i", F.row_number().over(Window.partitionBy("_g", "prob", "rank").orderBy("_v")))
+    found = ordered.filter(F.col("_i") == F.col("rank") - F.col("below") + 1).select("_g", "prob", "rank", F.col("_v").alias("value"))
+    found = found.unionByName(done.filter("lo = hi").select("_g", "prob", "rank", F.col("lo").alias("value")))
+    both = found.groupBy(F.col("_g").alias("_k"), "prob").agg(F.min_by("value", "rank").alias("a"), F.max_by("value", "rank").alias("b"), F.min("rank").alias("r"))
+    joined = both.join(sizes.select("_g", "_n"), F.col("_k").eqNullSafe(F.col("_g")))
+    fraction = F.col("prob") * (F.col("_n") - 1) - F.col("r")
+    return joined.select(F.col("_k").alias(key), "prob", (F.col("a") + (F.col("b") - F.col("a")) * fraction).alias("percentile"))
+
+
 def latency_percentiles(logs: DataFrame, exact: bool = True) -> DataFrame:
     """p50 and p95 latency per answer source."""
-    if exact:
-        cut = F.percentile("latency_ms", F.array(F.lit(0.5), F.lit(0.95)))
-    else:
-        cut = F.percentile_approx("latency_ms", [0.5, 0.95]).cast("array<double>")
-    stats = logs.groupBy("answer_source").agg(cut.alias("_p"), F.count("*").alias("n"))
-    return stats.select("answer_source", "n", F.round(F.col("_p")[0], 6).alias("p50_ms"), F.round(F.col("_p")[1], 6).alias("p95_ms"))
+    counts = logs.groupBy("answer_source")
+    if not exact:
+        stats = counts.agg(F.count("*").alias("n"), F.percentile_approx("latency_ms", [0.5, 0.95]).cast("array<double>").alias("_p"))
+        return stats.select("answer_source", "n", F.round(F.col("_p")[0], 6).alias("p50_ms"), F.round(F.col("_p")[1], 6).alias("p95_ms"))
+    cuts = exact_percentiles(logs, "answer_source", "latency_ms", [0.5, 0.95])
+    wide = cuts.groupBy(F.col("answer_source").alias("_s")).agg(
+        F.round(F.max(F.when(F.col("prob") == 0.5, F.col("percentile"))), 6).alias("p50_ms"), F.round(F.max(F.when(F.col("prob") == 0.95, F.col("percentile"))), 6).alias("p95_ms")
+    )
+    joined = counts.agg(F.count("*").alias("n")).join(wide, F.col("answer_source").eqNullSafe(F.col("_s")), "left")
+    return joined.select("answer_source", "n", "p50_ms", "p95_ms")
 
 
 # ---------------------------------------------------------------- health

@@ -1,77 +1,57 @@
 """Which of many terms occur in which texts (exact substring containment).
 
-A term list within the checked bound is turned into one automaton per task and every
-text is read once.  A larger list is joined through the terms' opening characters, so
-neither plan pairs every text with every term.
+Every term is keyed by one of its own substrings of four characters (shorter terms by themselves): the
+one found in fewest texts of a bounded sample.  Texts send only such keys; where a key is found, the
+term itself is looked for.  Frequent substrings are keys of no term that has a rarer one, so they never
+meet.  The sample decides which key is used, never what is found.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_TERMS = 200_000
-MAX_TERM_CHARS = 20_000_000
-
-
-def contained_terms(rows: DataFrame, key: str, text: str, terms: DataFrame, term: str = "term", max_terms: int = MAX_TERMS) -> DataFrame:
-    """(key, term): distinct non-empty terms contained in each row's text.
-
-    Runs one small job to size the term list.
-    """
-    names = terms.select(F.col(term).alias("term")).filter(F.coalesce("term", F.lit("")) != "").distinct()
-    texts = rows.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    size = names.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("chars")).first()
-    if size["n"] <= max_terms and size["chars"] <= MAX_TERM_CHARS:
-        try:
-            import ahocorasick  # noqa: F401
-        except ImportError:
-            pass
-        else:
-            return _by_automaton(texts, key, names)
-    return contained_terms_by_join(texts, key, names)
+from corpusloom.session import materialized
 
+WIDTH = 4
+#: Texts from which the frequency of keys is estimated.
+SAMPLE = 500
 
-def _by_automaton(texts: DataFrame, key: str, names: DataFrame) -> DataFrame:
-    words = sorted(r["term"] for r in names.toLocalIterator())  # bounded by the caller's check
-    key_type = dict(texts.dtypes)[key]
-    schema = pa.schema([(key, pa.int64() if key_type in ("bigint", "int") else pa.string()), ("term", pa.string())])
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
+def grams(text, width: int = WIDTH) -> Column:
+    """Distinct substrings of ``width`` characters."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(" + "." * width + "))"), F.lit(1)))
 
-        machine = ahocorasick.Automaton()
-        for word in words:
-            machine.add_word(word, word)
-        if words:
-            machine.make_automaton()
-        for batch in batches:
-            keys, found = [], []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                hits = {word for _, word in machine.iter(t)} if words else ()
-                keys.extend([k] * len(hits))
-                found.extend(hits)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, schema[0].type), pa.array(found, pa.string())], schema=schema)
 
-    out_type = "bigint" if key_type in ("bigint", "int") else "string"
-    return texts.mapInArrow(scan, f"`{key}` {out_type}, term string")
+def keyed_terms(texts: DataFrame, names: DataFrame, width: int = WIDTH, sample: int = SAMPLE) -> DataFrame:
+    """(term, gram) of the terms with at least ``width`` characters; ``texts`` has _key and _text."""
+    parts = names.filter(F.length("term") >= width).select("term", F.explode(grams("term", width)).alias("gram"))
+    some = texts.orderBy(F.xxhash64("_key"), F.xxhash64("_text")).limit(sample)
+    seen = some.select(F.explode(grams("_text", width)).alias("gram")).groupBy("gram").agg(F.count("*").alias("_df"))
+    known = parts.join(seen, "gram", "left")
+    return known.groupBy("term").agg(F.min_by("gram", F.struct(F.coalesce("_df", F.lit(0)), "gram")).alias("gram"))
 
 
-def contained_terms_by_join(texts: DataFrame, key: str, names: DataFrame, width: int = 4) -> DataFrame:
-    """Containment through equality of ``width``-character openings, for term lists of any size."""
+def contained_terms(rows: DataFrame, key: str, text: str, terms: DataFrame, term: str = "term", width: int = WIDTH, sample: int = SAMPLE) -> DataFrame:
+    """(key, term): distinct non-empty terms contained in each row's text.  Rows of one key count together."""
+    names = terms.select(F.col(term).cast("string").alias("term")).filter(F.coalesce("term", F.lit("")) != "").distinct()
+    texts = rows.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    short = names.filter(F.length("term") < width).select("term", F.col("term").alias("gram"))
+    # a row per term, written so that the optimizer knows its size
+    keys = materialized(keyed_terms(texts, names, width, sample).unionByName(short))
+    sizes = [r["n"] for r in keys.select(F.length("gram").alias("n")).distinct().collect()]  # at most ``width`` numbers
 
-    def openings(size: int) -> DataFrame:
-        part = names.filter(F.length("term") >= width) if size == width else names.filter(F.length("term") == size)
-        grams = F.array_distinct(F.regexp_extract_all("_text", F.lit("(?s)(?=(" + "." * size + "))"), F.lit(1)))
-        probes = texts.select(key, F.explode(grams).alias("_g"))
-        return probes.join(part.select("term", F.substring("term", 1, size).alias("_g")), "_g").select(key, "term")
+    def met(size: int) -> DataFrame:
+        probes = texts.select("_key", F.explode(grams("_text", size)).alias("gram"))
+        return probes.join(keys.filter(F.length("gram") == size), "gram").select("_key", "term").distinct()
 
-    exact = [openings(n) for n in range(1, width)]
-    long = openings(width).distinct().join(texts, key).filter(F.contains("_text", F.col("term"))).select(key, "term")
-    out = long
-    for part in exact:
-        out = out.unionByName(part)
-    return out
+    # short terms are found by their key alone; candidates go back to their texts once
+    found = texts.limit(0).select("_key", F.lit("").alias("term"))
+    for size in sizes:
+        if size < width:
+            found = found.unionByName(met(size))
+        else:
+            candidates = met(size).select(F.col("_key").alias("_owner"), "term")
+            verified = texts.join(candidates, F.col("_key").eqNullSafe(F.col("_owner"))).filter(F.contains("_text", F.col("term")))
+            found = found.unionByName(verified.select("_key", "term"))
+    return found.distinct().select(F.col("_key").alias(key), "term")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.ranking import SCORE_DIGITS, topk
-from corpusloom.session import cut_lineage
+from corpusloom.session import materialized
 
 SEEDS = 1
 #: Rounded scores and sums in another order may differ from the bound by this much.
@@ -24,9 +24,9 @@ Cut = Callable[[DataFrame], DataFrame]
 
 def _steps(bounds: DataFrame, evaluate: Evaluate, k: int, seeds: int, cut: Cut | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(scored seed rows, seed pairs, other pairs that must be read)."""
-    bounds = cut_lineage(bounds)
+    bounds = materialized(bounds)
     some = topk(bounds, seeds, score="bound", tie="block").select("query_id", "block")
-    first = cut_lineage(cut(evaluate(some)) if cut else topk(evaluate(some), k).drop("rank"))
+    first = materialized(cut(evaluate(some)) if cut else topk(evaluate(some), k).drop("rank"))
     floor = first.groupBy("query_id").agg(F.min("score").alias("_floor"), F.count("*").alias("_n")).filter(F.col("_n") >= k)
     # a query with fewer than k rows so far has no floor
     other = bounds.join(some, ["query_id", "block"], "left_anti").join(floor, "query_id", "left")

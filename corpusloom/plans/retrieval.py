@@ -20,7 +20,7 @@ from corpusloom.operators import ranking as R
 from corpusloom.operators import search as S
 from corpusloom.operators.dense import alias_index, alias_index_stats, index_stats, vector_topk
 from corpusloom.plans.catalog import ctes, id_sql, load, query, stored, strip_sql
-from corpusloom.session import cut_lineage
+from corpusloom.session import materialized
 
 AS_OF = "2024-06-30"
 
@@ -173,7 +173,7 @@ def fused(spark, sf_dir) -> DataFrame:
 
 def fused_once(spark, sf_dir) -> DataFrame:
     """The fused list, at most both cuts per query, for plans that use it more than once."""
-    return cut_lineage(fused(spark, sf_dir))
+    return materialized(fused(spark, sf_dir))
 
 
 def rerank_scores(ranked: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,6 +61,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialized(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: cuts the lineage, and its size is known to the optimizer."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def relaxed_casts(spark: SparkSession) -> None:
     """Last duplicate key wins in maps, as in a dictionary literal read top down."""
     spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,3 +107,17 @@ def test_template_child_chunks_keep_the_redundant_tail(spark):
     assert [len(c) for c in tail.select(C.template_child_chunks("t", 20, 5, legacy=False).alias("c")).first().c] == [20, 18]
     arts = spark.createDataFrame([("第1条 one\n第2条 two\n(3) three",)], "t string")
     assert arts.select(C.template_child_chunks("t", 12, 2).alias("c")).first().c == ["第1条 one", "第2条 two", "(3) three"]
+
+
+def test_long_documents_take_time_in_proportion(spark):
+    def seconds(paragraphs: int) -> float:
+        text = "\n\n".join(("## Heading %d\n\n" % i if i % 10 == 0 else "") + "word " * 12 for i in range(paragraphs))
+        row = spark.createDataFrame([(text,)], "text string")
+        start = time.time()
+        n = row.select(F.size(C.child_chunks("text", F.lit("T"), 200, 20)).alias("n"), F.size(C.merge_small(C.heading_sections("text", F.lit("T"), [2]), 300, 500)).alias("m")).first()
+        assert n.n > paragraphs / 4 and n.m > 0
+        return time.time() - start
+
+    seconds(500)
+    small, large = seconds(10_000), seconds(80_000)
+    assert large < 16 * small + 2

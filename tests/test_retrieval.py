@@ -63,12 +63,26 @@ def test_vector_groups_against_brute_force(spark):
         assert rows(V.vector_topk_groups(index, q, 3, **options), "query_id", "rank", "group_id", "child_id") == sorted(want)
 
 
-def test_containment_plans_agree(spark):
-    texts = spark.createDataFrame([(1, "abcabcd x"), (2, "zz相続税zz"), (3, ""), (4, None)], "k long, t string")
-    terms = spark.createDataFrame([("a",), ("bc",), ("abc",), ("abcd",), ("相続",), ("相続税zz",), ("q",), ("",), (None,)], "term string")
-    small = rows(T.contained_terms(texts, "k", "t", terms), "k", "term")
-    large = rows(T.contained_terms(texts, "k", "t", terms, max_terms=0), "k", "term")
-    assert small == large == [(1, "a"), (1, "abc"), (1, "abcd"), (1, "bc"), (2, "相続"), (2, "相続税zz")]
+def test_containment_equals_a_loop(spark):
+    rng = random.Random(8)
+    letters = "ab相 \n"
+    texts = [(1, "abcabcd x"), (2, "zz相続税zz"), (3, ""), (4, None), (None, "abcd"), (1, "second q row")]
+    texts += [(i, "".join(rng.choices(letters, k=rng.choice([0, 5, 40, 400])))) for i in range(10, 60)]
+    names = ["a", "bc", "abc", "abcd", "相続", "相続税zz", "q", "", None, "abcdabcd", "𠮷野家", "zz相"] + ["".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(60)]
+    df = spark.createDataFrame(texts, "k long, t string")
+    terms = spark.createDataFrame([(n,) for n in names], "term string")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    want = sorted({(k, n) for k, t in texts for n in names if n and n in (t or "")}, key=key)
+    for sample in (2000, 3):
+        assert sorted(((r.k, r.term) for r in T.contained_terms(df, "k", "t", terms, sample=sample).collect()), key=key) == want
+
+
+def test_terms_are_keyed_by_their_rarest_part(spark):
+    texts = spark.createDataFrame([(i, "the common words of all" + (" rare" if i == 3 else "")) for i in range(30)], "_key long, _text string")
+    got = T.keyed_terms(texts, spark.createDataFrame([("the common",), ("of all rare",)], "term string")).collect()
+    assert {r.term: r.gram for r in got}["of all rare"] in {" rar", "rare", "l ra", "ll r"}
+    plan = T.contained_terms(texts, "_key", "_text", spark.createDataFrame([("abcdef",)], "term string"))._jdf.queryExecution().toString()
+    assert "Arrow" not in plan and "Python" not in plan
 
 
 def diversify_loop(items, k):
