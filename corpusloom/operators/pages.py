@@ -11,7 +11,7 @@ from corpusloom.functions.text import blank_to_null, col, lines, natural_sort_ke
 from corpusloom.functions.unicode import html_unescape, html_unescape_lines
 from corpusloom.functions.values import bind, each, file_id
 from corpusloom.operators.ranking import ordinal
-from corpusloom.session import cut_lineage
+from corpusloom.session import materialized
 
 # Boilerplate lines dropped from pages, and lines that end an article.
 SKIP_LINES = [
@@ -293,24 +293,26 @@ def link_manifest(links: DataFrame, category, status) -> DataFrame:
 def reachable_pages(edges: DataFrame, starts: DataFrame, max_pages: int = 0, max_rounds: int | None = None) -> DataFrame:
     """Pages reachable from the start pages, with their distance (runs one job per round).
 
-    ``edges`` has (src, dst), ``starts`` has (url).  Each round expands the frontier
-    only, and its result is checkpointed so that lost executors do not replay the walk.
+    ``edges`` has (src, dst), ``starts`` has (url).  Each round expands the frontier only and
+    writes only what is new, so each page is written once; lost executors do not replay the walk.
     ``max_pages`` is the crawl limit: the walk stops once it is reached.  A walk that is
     not done after ``max_rounds`` rounds is an error.
     """
-    links = edges.select("src", "dst").distinct()
-    frontier = cut_lineage(starts.select("url").distinct().withColumn("depth", F.lit(0)))
-    seen = frontier
+    links = materialized(edges.select("src", "dst").distinct())
+    frontier = seen = materialized(starts.select("url").distinct().withColumn("depth", F.lit(0)))
+    found = frontier.count()
     for depth in count(1):
-        if max_pages and seen.count() >= max_pages:
+        if max_pages and found >= max_pages:
             break
         if max_rounds is not None and depth > max_rounds:
             raise ValueError(f"pages are left after {max_rounds} rounds")
         step = frontier.join(links, frontier["url"] == links["src"]).select(F.col("dst").alias("url")).distinct()
-        frontier = cut_lineage(step.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+        frontier = materialized(step.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth)))
+        new = frontier.count()
+        if not new:
             break
-        seen = cut_lineage(seen.unionByName(frontier))
+        found += new
+        seen = seen.unionByName(frontier)
     if max_pages:
         seen = seen.orderBy("depth", natural_sort_key("url")).limit(max_pages)
     return seen

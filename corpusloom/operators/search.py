@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import blank_to_null, clean_markup, col, search_text, strip, text_or_empty
-from corpusloom.functions.values import release_slug
+from corpusloom.functions.values import positive, release_slug
 from corpusloom.operators.dense import vector_topk
 from corpusloom.operators.dense_index import VectorIndex, indexed_vectors
 from corpusloom.operators.lexical import Okapi, bm25_topk, normalize_lexical, query_terms, tokenize
@@ -233,17 +233,32 @@ def form_rows(matches: DataFrame, forms: DataFrame, order: str = "form_no") -> D
 
 
 def related_chunks(
-    seeds: DataFrame, children: DataFrame, limit: int = 4, query: str = "query_id", group: str = "meeting_id"
+    seeds: DataFrame, children: DataFrame, limit: int = 4, query: str = "query_id", group: str = "meeting_id", corpus_ids: str | None = None
 ) -> DataFrame:
-    """Other passages of the seeds' meetings, scored by shared agenda, topic and new source type."""
+    """Other passages of the seeds' meetings, scored by shared agenda, topic and new source type.
+
+    ``corpus_ids`` names a seed column with the corpora that its query may see (NULL: all); children
+    then have a ``corpus_id``.
+
+    A passage's score depends only on its meeting, agenda, topic, source type and corpus.  Of each such
+    class a query can use ``limit`` passages besides its own seeds, so the classes are cut to that first and a
+    query meets classes, not all passages of a meeting.
+    """
     with_meeting = seeds.filter(F.coalesce(F.col(group), F.lit("")) != "")
     # seeds are a query's final rows (a handful), so these sets stay small
+    allowed = [F.first(corpus_ids).alias("_allowed")] if corpus_ids else []
     sets = with_meeting.groupBy(query).agg(
         F.collect_set("agenda").alias("_agendas"), F.collect_set("topic").alias("_topics"), F.collect_set("source_type").alias("_types"),
-        F.collect_set("child_id").alias("_seen"),
+        F.collect_set("child_id").alias("_seen"), *allowed,
     )
+    most = with_meeting.groupBy(query).agg(F.count_distinct("child_id").alias("n")).agg(F.max("n")).first()[0] or 0
+    classes = [group, "agenda", "topic", "source_type", *(["corpus_id"] if corpus_ids else [])]
+    first = Window.partitionBy(*classes).orderBy("child_id")
+    useful = children.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= positive(limit) + most).drop("_n")
     meetings = with_meeting.select(query, group).distinct().join(sets, query)
-    pairs = meetings.join(children, group).filter(~F.array_contains("_seen", F.col("child_id")))
+    pairs = meetings.join(useful, group).filter(~F.array_contains("_seen", F.col("child_id")))
+    if corpus_ids:
+        pairs = pairs.filter(F.col("_allowed").isNull() | F.coalesce(F.array_contains("_allowed", F.col("corpus_id")), F.lit(False))).drop("_allowed")
     agenda = (F.coalesce("agenda", F.lit("")) != "") & F.array_contains("_agendas", F.col("agenda"))
     topic = (F.coalesce("topic", F.lit("")) != "") & F.array_contains("_topics", F.col("topic"))
     kind = (F.coalesce("source_type", F.lit("")) != "") & ~F.array_contains("_types", F.col("source_type"))

@@ -134,6 +134,80 @@ def evidence_score(spark, sf_dir):
     return E.best_evidence(E.evidence_scores(q, kids))
 
 
+# documents as passages of seeded answers, and references of every kind to them; some lead nowhere
+_SEEDS = """kids AS MATERIALIZED (SELECT doc_id::VARCHAR AS child_id, source AS corpus_id, (1000 + doc_id % 50)::VARCHAR AS taxanswer_no, 'd' || (doc_id // 20) % 5 || '/' || doc_id % 3 AS document_id,
+    printf('%07d-%03d.md', doc_id % 30, doc_id % 30) AS source_file, lower(trim(regexp_replace(split_part(text, chr(10), 1), '\\s+', ' ', 'g'))) AS title, lower(lang || ' ' || source) AS heading,
+    lower(trim(regexp_replace(split_part(text, chr(10), 1) || chr(10) || lang || ' ' || source || chr(10) || text, '\\s+', ' ', 'g'))) AS body FROM documents),
+refs AS MATERIALIZED (SELECT item_id AS question_id, 1 AS ref_no, CASE item_id % 8 WHEN 0 THEN 'No.' || (1000 + item_id % 50) WHEN 1 THEN printf('%07d-%03d', item_id % 40, item_id % 40) WHEN 2 THEN '質疑応答 d' || item_id % 6 || '/' || item_id % 3
+    WHEN 3 THEN '質疑応答 d' || item_id % 6 WHEN 4 THEN '財産評価基本通達 1' WHEN 5 THEN '空き家 の特例' WHEN 6 THEN lower(substr(text, 1, 12)) ELSE '' END AS source_ref FROM benchmark
+    UNION ALL SELECT item_id, 2, 'No.' || (1000 + (item_id + 7) % 50) FROM benchmark WHERE item_id % 3 = 0),
+cands AS MATERIALIZED (SELECT DISTINCT question_id, source_ref, child_id FROM refs JOIN kids ON (question_id % 8 = 0 OR ref_no = 2) AND taxanswer_no = substr(source_ref, 4)
+    UNION SELECT question_id, source_ref, child_id FROM refs JOIN kids ON question_id % 8 = 1 AND ref_no = 1 AND contains(source_file, source_ref)
+    UNION SELECT question_id, source_ref, child_id FROM refs JOIN kids ON question_id % 8 = 2 AND ref_no = 1 AND corpus_id = 'src3' AND '質疑応答 ' || document_id = source_ref
+    UNION SELECT question_id, source_ref, child_id FROM refs JOIN kids ON question_id % 8 = 3 AND ref_no = 1 AND corpus_id = 'src3' AND '質疑応答 ' || split_part(document_id, '/', 1) = source_ref
+    UNION SELECT question_id, source_ref, child_id FROM refs JOIN kids ON question_id % 8 = 4 AND ref_no = 1 AND corpus_id = 'src0'
+    UNION SELECT question_id, source_ref, child_id FROM refs JOIN kids ON question_id % 8 = 5 AND ref_no = 1 AND corpus_id = 'src5' AND (contains(body, '空き家') OR taxanswer_no = '1005')
+    UNION SELECT question_id, source_ref, child_id FROM refs JOIN kids ON question_id % 8 = 6 AND ref_no = 1 AND contains(body, source_ref))"""
+_RULES = {"labels": {"財産評価基本通達": "src0"}, "case_corpus": "src3", "topics": {"空き家": ("src5", "1005")}}
+
+
+def seed_children(spark, sf_dir) -> DataFrame:
+    d = F.col("doc_id")
+    number = F.format_string("%07d-%03d.md", d % 30, d % 30)
+    return load(spark, sf_dir, "documents").select(
+        d.cast("string").alias("child_id"), F.col("source").alias("corpus_id"), (1000 + d % 50).cast("string").alias("taxanswer_no"),
+        F.concat(F.lit("d"), (F.floor(d / 20) % 5).cast("string"), F.lit("/"), (d % 3).cast("string")).alias("document_id"), number.alias("source_file"),
+        F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.concat_ws(" ", "lang", "source").alias("heading_path"), "text",
+    )
+
+
+def seed_refs(spark, sf_dir) -> DataFrame:
+    n = F.col("item_id")
+
+    def text(*parts) -> object:
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+    kind = n % 8
+    ref = (
+        F.when(kind == 0, text("No.", 1000 + n % 50)).when(kind == 1, F.format_string("%07d-%03d", n % 40, n % 40)).when(kind == 2, text("質疑応答 d", n % 6, "/", n % 3))
+        .when(kind == 3, text("質疑応答 d", n % 6)).when(kind == 4, "財産評価基本通達 1").when(kind == 5, "空き家 の特例").when(kind == 6, F.lower(F.substring("text", 1, 12))).otherwise("")
+    )
+    b = load(spark, sf_dir, "benchmark")
+    one = b.select(n.alias("question_id"), F.lit(1).alias("ref_no"), ref.alias("source_ref"))
+    return one.unionByName(b.filter(n % 3 == 0).select(n.alias("question_id"), F.lit(2).alias("ref_no"), text("No.", 1000 + (n + 7) % 50).alias("source_ref")))
+
+
+@query("evidence_candidates", ctes(_SEEDS) + "SELECT question_id, source_ref, child_id FROM cands")
+def evidence_candidates(spark, sf_dir):
+    return E.evidence_candidates(seed_refs(spark, sf_dir), seed_children(spark, sf_dir), **_RULES)
+
+
+@query(
+    "seed_evidence",
+    ctes(_TERMS, _SEEDS)
+    + """, hints AS (SELECT DISTINCT question_id, source_ref, 'src' || question_id % 20 AS hint FROM refs UNION SELECT DISTINCT question_id, source_ref, lower(split_part(text, ' ', 1)) FROM refs JOIN benchmark ON item_id = question_id
+        UNION SELECT item_id, 'fallback', 'src' || item_id % 20 FROM benchmark),
+    tp AS MATERIALIZED (SELECT item_id AS question_id, child_id, sum(CASE WHEN contains(title, term) THEN 6 WHEN contains(heading, term) THEN 3 ELSE 1 END)::DOUBLE AS s FROM terms JOIN kids ON contains(body, term) GROUP BY ALL),
+    hp AS MATERIALIZED (SELECT question_id, source_ref, child_id, sum(CASE WHEN contains(title, hint) THEN 80 WHEN contains(heading, hint) THEN 55 ELSE 25 END)::DOUBLE AS s FROM hints JOIN kids ON contains(body, hint) GROUP BY ALL),
+    best AS (SELECT c.*, coalesce(tp.s, 0) + coalesce(hp.s, 0) AS score FROM cands c LEFT JOIN tp USING (question_id, child_id) LEFT JOIN hp USING (question_id, source_ref, child_id)
+        QUALIFY row_number() OVER (PARTITION BY question_id, source_ref ORDER BY score DESC, child_id) = 1),
+    found AS (SELECT question_id, ref_no, source_ref, child_id, score FROM best JOIN refs USING (question_id, source_ref) QUALIFY row_number() OVER (PARTITION BY question_id, child_id ORDER BY ref_no, source_ref) = 1),
+    rest AS (SELECT item_id AS question_id, 0 AS ref_no, 'fallback' AS source_ref, kids.child_id, coalesce(tp.s, 0) + coalesce(hp.s, 0) AS score FROM benchmark JOIN kids ON item_id % 4 <> 3 OR corpus_id IN ('src1', 'src2')
+        LEFT JOIN tp ON tp.question_id = item_id AND tp.child_id = kids.child_id LEFT JOIN hp ON hp.question_id = item_id AND hp.source_ref = 'fallback' AND hp.child_id = kids.child_id
+        WHERE item_id NOT IN (SELECT question_id FROM found) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, kids.child_id) = 1)
+    SELECT question_id, ref_no::BIGINT AS ref_no, source_ref, child_id, score FROM found UNION ALL SELECT question_id, ref_no::BIGINT, source_ref, child_id, score FROM rest""",
+)
+def seed_evidence(spark, sf_dir):
+    b, refs = load(spark, sf_dir, "benchmark"), seed_refs(spark, sf_dir)
+    n = F.col("item_id")
+    source = F.concat(F.lit("src"), (F.col("question_id") % 20).cast("string"))
+    q = b.select(n.alias("question_id"), F.col("text").alias("question"), F.when(n % 4 == 3, F.array(F.lit("src1"), F.lit("src2"))).alias("corpus_ids"))
+    hints = refs.select("question_id", "source_ref", source.alias("hint"))
+    words = refs.join(q, "question_id").select("question_id", "source_ref", F.split_part("question", F.lit(" "), F.lit(1)).alias("hint"))
+    last = q.select("question_id", F.lit("fallback").alias("source_ref"), source.alias("hint"))
+    return E.seed_evidence(q, refs, hints.unionByName(words).unionByName(last), seed_children(spark, sf_dir), **_RULES)
+
+
 @query("retrieval_query", """WITH t AS (SELECT conv_id, turn, role, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM conversations WHERE role IN ('user', 'assistant')),
     l AS (SELECT * FROM t WHERE t <> '' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4),
     h AS (SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'ユーザー' ELSE 'アシスタント' END || ': ' || t, chr(10) ORDER BY turn) AS h FROM l GROUP BY conv_id),

@@ -429,28 +429,46 @@ def form_match(spark, sf_dir):
     return S.match_forms(load(spark, sf_dir, "documents"), forms, "doc_id", "text")
 
 
-_MEET = """ev AS (SELECT event_id, user_id, 'm' || user_id % 60 AS meeting_id, event_type AS source_type, 'a' || user_id % 4 AS agenda, 't' || regexp_extract(props, '(\\d+)', 1)::BIGINT % 6 AS topic FROM events),
-seeds AS (SELECT user_id AS query_id, e.* EXCLUDE (user_id) FROM ev e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 3),
+_MEET = """ev AS (SELECT event_id, user_id, 'm' || user_id % 60 AS meeting_id, event_type AS source_type, 'a' || user_id % 4 AS agenda, 't' || regexp_extract(props, '(\\d+)', 1)::BIGINT % 6 AS topic, 'c' || event_id % 3 AS corpus_id FROM events),
+seeds AS (SELECT user_id AS query_id, e.* EXCLUDE (user_id), row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rank FROM ev e QUALIFY rank <= 3),
 sets AS (SELECT query_id, list(DISTINCT agenda) AS ag, list(DISTINCT topic) AS tp, list(DISTINCT source_type) AS ty, list(DISTINCT event_id) AS seen FROM seeds GROUP BY query_id),
 qm AS (SELECT DISTINCT query_id, meeting_id FROM seeds),
 cand AS (SELECT query_id, e.event_id AS child_id, 0.10::DOUBLE + CASE WHEN list_contains(ag, e.agenda) THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN list_contains(tp, e.topic) THEN 0.25::DOUBLE ELSE 0 END
     + CASE WHEN NOT list_contains(ty, e.source_type) THEN 0.20::DOUBLE ELSE 0 END AS score,
     'same_meeting_id' || CASE WHEN list_contains(ag, e.agenda) THEN ',same_agenda' ELSE '' END || CASE WHEN list_contains(tp, e.topic) THEN ',same_topic' ELSE '' END
-    || CASE WHEN NOT list_contains(ty, e.source_type) THEN ',different_source_type' ELSE '' END AS auxiliary_reason FROM qm JOIN sets USING (query_id) JOIN ev e USING (meeting_id) WHERE NOT list_contains(seen, e.event_id))"""
+    || CASE WHEN NOT list_contains(ty, e.source_type) THEN ',different_source_type' ELSE '' END AS auxiliary_reason FROM qm JOIN sets USING (query_id) JOIN ev e USING (meeting_id)
+    WHERE NOT list_contains(seen, e.event_id) AND (query_id % 2 = 0 OR e.corpus_id IN ('c0', 'c1'))),
+rel AS (SELECT query_id, child_id, score, auxiliary_reason, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, child_id) AS rank FROM cand QUALIFY rank <= 4)"""
 
 
-@query("related_rows", ctes(_MEET) + "SELECT query_id, child_id, round(score, 6) AS score, auxiliary_reason, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, child_id) AS rank FROM cand QUALIFY rank <= 4")
-def related_rows(spark, sf_dir):
+def meeting_search(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(final rows, related rows): every user asks once and their three newest events are the final rows.
+
+    Users with an odd number may see two of the three corpora.
+    """
     e = load(spark, sf_dir, "events")
     ev = e.select(
         F.col("event_id").alias("child_id"), "user_id", F.concat(F.lit("m"), (F.col("user_id") % 60).cast("string")).alias("meeting_id"), F.col("event_type").alias("source_type"),
         F.concat(F.lit("a"), (F.col("user_id") % 4).cast("string")).alias("agenda"), F.concat(F.lit("t"), (F.get_json_object("props", "$.k").cast("int") % 6).cast("string")).alias("topic"),
+        F.concat(F.lit("c"), (F.col("event_id") % 3).cast("string")).alias("corpus_id"),
     )
-    # every user asks once and their three newest events are the final rows
     newest = Window.partitionBy("user_id").orderBy(F.col("child_id").desc())
-    seeds = ev.withColumn("_n", F.row_number().over(newest)).filter("_n <= 3").drop("_n").withColumnRenamed("user_id", "query_id")
-    rows = S.related_chunks(seeds, ev.drop("user_id"))
-    return rows.select("query_id", "child_id", F.round("score", 6).alias("score"), "auxiliary_reason", "rank")
+    final = ev.withColumn("rank", F.row_number().over(newest)).filter("rank <= 3").withColumnRenamed("user_id", "query_id")
+    allowed = F.when(F.col("query_id") % 2 != 0, F.array(F.lit("c0"), F.lit("c1")))
+    return final, S.related_chunks(final.withColumn("corpora", allowed), ev.drop("user_id"), corpus_ids="corpora")
+
+
+@query("related_rows", ctes(_MEET) + "SELECT query_id, child_id, round(score, 6) AS score, auxiliary_reason, rank FROM rel")
+def related_rows(spark, sf_dir):
+    return meeting_search(spark, sf_dir)[1].select("query_id", "child_id", F.round("score", 6).alias("score"), "auxiliary_reason", "rank")
+
+
+@query(
+    "with_related",
+    ctes(_MEET) + "SELECT query_id, child_id, rank, false AS auxiliary_context, NULL::VARCHAR AS auxiliary_reason FROM (SELECT query_id, event_id AS child_id, rank FROM seeds) UNION ALL SELECT query_id, child_id, rank, true, auxiliary_reason FROM rel",
+)
+def with_related(spark, sf_dir):
+    return S.with_related(*meeting_search(spark, sf_dir)).select("query_id", "child_id", "rank", "auxiliary_context", "auxiliary_reason")
 
 
 @query(

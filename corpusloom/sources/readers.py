@@ -17,17 +17,50 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def source_manifest(spark: SparkSession, root: str, pattern: str = "*", contents: bool = False) -> DataFrame:
+    """(file, size, modified[, content_hash]) of every file below ``root`` at any depth.
+
+    Spark lists the folders in parallel; contents are read only for their hash.
+    """
+    schema = "file string, size long, modified timestamp" + (", content_hash string" if contents else "")
+    if not path_exists(spark, root):
+        return spark.createDataFrame([], schema)
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    # one scheme for both: local paths come with one slash or three
+    plain, own = F.regexp_replace("path", "^file:/+", "file:/"), base.replace("file:///", "file:/")
+    name = F.when(plain == own, F.regexp_extract(plain, "([^/]*)$", 1)).otherwise(F.regexp_replace(F.replace(plain, F.lit(own), F.lit("")), "^/+", ""))
+    columns = [name.alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")]
+    return files.select(*columns, *([F.sha2("content", 256).alias("content_hash")] if contents else []))
+
+
+def changed_files(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(file, change) between two manifests: added, changed or removed.
+
+    Equal hashes are no change, whatever the times; without hashes size and time decide.
+    """
+    hashed = "content_hash" in old.columns and "content_hash" in new.columns
+    mark = (lambda t: F.struct(f"{t}.content_hash")) if hashed else (lambda t: F.struct(f"{t}.size", f"{t}.modified"))
+    joined = old.alias("o").join(new.alias("n"), F.col("o.file") == F.col("n.file"), "full")
+    change = F.when(F.col("o.file").isNull(), "added").when(F.col("n.file").isNull(), "removed").when(mark("o") != mark("n"), "changed")
+    return joined.select(F.coalesce("o.file", "n.file").alias("file"), change.alias("change")).filter("change IS NOT NULL")
+
+
+def newest_files(spark: SparkSession, derived: str, base: str, pattern: str = "*") -> DataFrame:
+    """(file, path, modified): of each relative file name the derived copy, unless it is missing or older."""
+
+    def side(root: str, order: int) -> DataFrame:
+        return source_manifest(spark, root, pattern).select("file", F.concat(F.lit(root.rstrip("/") + "/"), F.col("file")).alias("path"), "modified", F.lit(order).alias("_order"))
+
+    both = side(derived, 1).unionByName(side(base, 0))
+    return both.groupBy("file").agg(F.max_by(F.struct("path", "modified"), F.struct("modified", "_order")).alias("r")).select("file", "r.*")
+
+
 def newest_change(spark: SparkSession, path: str) -> int:
-    """Latest modification time (ms) under a path, -1 when it does not exist."""
-    if not path_exists(spark, path):
-        return -1
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    status = fs.getFileStatus(hadoop)
-    if not status.isDirectory():
-        return status.getModificationTime()
-    times = [f.getModificationTime() for f in fs.listStatus(hadoop)]
-    return max(times, default=status.getModificationTime())
+    """Latest modification time (ms) of a file under a path, at any depth; -1 when there is none."""
+    latest = source_manifest(spark, path).agg(F.max(F.unix_millis("modified"))).first()[0]
+    return -1 if latest is None else latest
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

@@ -1,3 +1,4 @@
+import os
 import tempfile
 import threading
 from collections import Counter
@@ -187,3 +188,28 @@ def test_windowed_counts_equal_batch_with_late_rows(spark):
     got = {(str(r.window_start), r.kind): r.questions for r in spark.read.parquet(base + "/out").collect()}
     want = Counter((t[:13] + ":00:00", k) for t, k in [*rows, late_ok, ("2024-01-01 09:00:00", "b")])
     assert got == want
+
+
+def test_source_manifest_of_nested_folders(spark):
+    base = Path(folder())
+    derived, original = base / "derived", base / "original"
+    for root, day in ((original, "1"), (derived, "2")):
+        (root / "lang=en" / "part=a").mkdir(parents=True)
+        (root / "top.md").write_text("top " + day)
+        (root / "lang=en" / "part=a" / "deep.md").write_text("deep " + day)
+    (original / "only.md").write_text("only")
+    for path, at in ((original / "top.md", 500), (derived / "top.md", 400), (original / "lang=en/part=a/deep.md", 300), (derived / "lang=en/part=a/deep.md", 600), (original / "only.md", 200)):
+        os.utime(path, (at, at))
+    assert readers.newest_change(spark, str(original)) == 500_000 and readers.newest_change(spark, str(derived)) == 600_000
+    assert readers.newest_change(spark, str(base / "none")) == -1 and readers.newest_change(spark, str(original / "top.md")) == 500_000
+    assert readers.newer_of(spark, str(derived), str(original)) == str(derived)
+    picked = {r.file: r.path for r in readers.newest_files(spark, str(derived), str(original), "*.md").collect()}
+    assert picked == {"top.md": f"{original}/top.md", "lang=en/part=a/deep.md": f"{derived}/lang=en/part=a/deep.md", "only.md": f"{original}/only.md"}
+    before = spark.createDataFrame(readers.source_manifest(spark, str(original), contents=True).collect())
+    (original / "lang=en" / "part=a" / "deep.md").write_text("new text")
+    (original / "lang=en" / "more.md").write_text("more")
+    os.utime(original / "top.md", (900, 900))  # touched, with the same content
+    (original / "only.md").unlink()
+    changes = readers.changed_files(before, readers.source_manifest(spark, str(original), contents=True))
+    assert {r.file: r.change for r in changes.collect()} == {"lang=en/part=a/deep.md": "changed", "lang=en/more.md": "added", "only.md": "removed"}
+    assert readers.source_manifest(spark, str(base / "none")).count() == 0
