@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _OWN: dict[str, str] = {}
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library: nothing to trim
+    _LIBC = None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +63,25 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
+def release() -> None:
+    """Give freed memory of this worker back to the system; called when a task has read its input."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores in front as make it no column of ``df`` (whatever the case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def groups(batches: Iterator[pa.RecordBatch], limit: int, column: str = "text") -> Iterator[pa.Table]:
     """Record batches put together until ``column`` holds ``limit`` bytes; long ones are cut between rows."""
     held, size = [], 0
@@ -126,5 +151,6 @@ def rewritten(docs: DataFrame, change, extra: tuple[str, ...] = ()) -> DataFrame
                     at = schema.names.index(name)
                     part = part.set_column(at, part.schema.field(at), pa.array(values, part.schema.field(at).type))
             yield from part.combine_chunks().to_batches()
+        release()
 
     return docs.mapInArrow(apply, schema)

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import batch_of, documents, groups, rewritten, written
+from corpusloom.llm.common import batch_of, documents, free_names, groups, rewritten, written
 
 #: No bound: results do not depend on how many documents share a line.
 RARE_DF = math.inf
@@ -143,6 +143,11 @@ def _hash(s: str) -> int:
     return xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass"))
 
 
+def _within(name: int, around: int) -> int:
+    """Name of an anchor together with its surroundings, as a signed long."""
+    return (name * 31 + around * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 63)
+
+
 def line_names(docs: DataFrame, min_chars: int, whole: bool = False) -> DataFrame:
     """name, doc_id, row, place, around: every anchor of every document that has an id."""
     schema = docs.sparkSession.createDataFrame([], "name long, doc_id long, row long, place int, around int").schema
@@ -195,6 +200,9 @@ def _aligned(names: DataFrame, rare_df: float) -> DataFrame:
                 gone = [k + 1 if whole else -k - 1 for k, whole in found]
                 taken = {k for k, _ in found}
                 left = [{"name": r[6], "place": r[2], "around": r[4]} for r in sorted(set(held)) if r[2] not in taken]
+                # short lines that the holder does not have go on to documents with the same ones
+                partly = {k for k, whole in found if not whole}
+                left += [{"name": _within(r[6], r[4]), "place": r[2], "around": r[4]} for r in sorted(set(held)) if r[2] in partly and r[4]]
                 for n, v in zip(schema.names, (*key, gone, left)):
                     out[n].append(v)
 
@@ -265,7 +273,8 @@ def digests(docs: DataFrame, rare_df: float = RARE_DF, min_chars: int = MIN_CHAR
 
 def _map(docs: DataFrame, rare_df: float, min_chars: int, whole: bool, ddl: str, shown) -> DataFrame:
     rows = _rows(docs)
-    joined = rows.join(deletions(docs, rare_df, min_chars, whole), ["doc_id", "row"], "left").select("doc_id", "text", "gone")
+    # merged at all sizes: a plan that broadcasts small deletions does not say how a large table runs
+    joined = rows.join(deletions(docs, rare_df, min_chars, whole).hint("merge"), ["doc_id", "row"], "left").select("doc_id", "text", "gone")
     schema = rows.sparkSession.createDataFrame([], ddl).schema
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,15 +288,16 @@ def _map(docs: DataFrame, rare_df: float, min_chars: int, whole: bool, ddl: str,
 
 def without_repeats(docs: DataFrame, rare_df: float = RARE_DF, min_chars: int = MIN_CHARS, whole: bool = True) -> DataFrame:
     """``docs`` with all columns, less the lines that earlier documents have; documents left blank go."""
-    gone = deletions(docs, rare_df, min_chars, whole).select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), F.col("gone").alias("_gone"))
+    doc, row, gone_ = free_names(docs, "_doc", "_row", "_gone")
+    gone = deletions(docs, rare_df, min_chars, whole).select(F.col("doc_id").alias(doc), F.col("row").alias(row), F.col("gone").alias(gone_))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.join(gone, (F.col("doc_id").cast("long") == F.col("_doc")) & (F.xxhash64(text) == F.col("_row")), "left")
+    joined = docs.join(gone.hint("merge"), (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64(text) == F.col(row)), "left")
 
     def change(texts: list[str], part: pa.Table) -> list[str | None]:
         out: list[str | None] = []
-        for text, units_ in zip(texts, part.column("_gone").to_pylist()):
+        for text, units_ in zip(texts, part.column(gone_).to_pylist()):
             kept = remaining(text, units_, min_chars, whole)[0] if units_ else text
             out.append(None if units_ and not kept.strip() else kept)
         return out
 
-    return rewritten(joined, change, ("_doc", "_row", "_gone"))
+    return rewritten(joined, change, (doc, row, gone_))

@@ -2,6 +2,7 @@
 
 import difflib
 import random
+from collections import Counter
 
 from corpusloom.llm import line_alignment as la
 
@@ -127,3 +128,32 @@ def test_patience_agrees_with_a_longest_common_subsequence():
 
 def test_empty(spark):
     assert la.digests(spark.createDataFrame([], DDL)).count() == 0
+
+
+def test_short_lines_of_exact_copies_go_though_their_neighbour_is_held_elsewhere(spark):
+    a, b = "a line of thirty characters or so", "another line of thirty characters"
+    docs = [(0, a, "x", 1), (1, f"{a}\nhi\n{b}", "x", 1), (2, f"{a}\nhi\n{b}", "x", 1), (3, f"{a}\nhi\n{b}", "x", 1)]
+    got = {r.doc_id: r.kept for r in la.dedup(spark.createDataFrame(docs, DDL), whole=True).collect()}
+    assert got == {0: a, 1: f"hi\n{b}", 2: "", 3: ""}
+
+
+def test_whole_form_against_what_it_must_do(spark):
+    docs = corpus()
+    docs += [(500 + i, docs[i * 3][1], "x", 1) for i in range(30)]  # exact copies
+    got = {r.doc_id: r for r in la.dedup(spark.createDataFrame(docs, DDL), whole=True).collect()}
+    earlier: set[str] = set()
+    texts: set[str] = set()
+    for d, text, *_ in docs:
+        lines, kept = text.split("\n"), got[d].kept.split("\n") if got[d].n_removed < got[d].n_lines else []
+        rest = iter(lines)
+        assert all(line in rest for line in kept)  # what is kept stands in its order
+        gone = Counter(x.strip() for x in lines) - Counter(x.strip() for x in kept)
+        assert all(x in earlier for x in gone)  # what is deleted, an earlier document has
+        assert got[d].n_removed == len(lines) - len(kept)
+        if text in texts and len("".join(lines)) >= 20:
+            assert not got[d].kept.strip(), d
+        long = {x.strip() for x in lines if len(x.strip()) >= 20}
+        counts = Counter(x.strip() for x in kept if len(x.strip()) >= 20)
+        assert not [x for x, n in counts.items() if n == 1 and x in long & earlier and lines.count(x) == 1 and len(long) == 1]
+        earlier |= {x.strip() for x in lines}
+        texts.add(text)
