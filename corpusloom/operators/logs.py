@@ -347,6 +347,28 @@ def status_counts(rows: DataFrame, *keys: str, limit: int | None = None) -> Data
     return out if limit is None else out.limit(limit)
 
 
+def report_summary(reports: DataFrame, limit: int = 10, key: str = "report_id", status: str = "status", open_status: str = "open") -> DataFrame:
+    """(part, rank, report_id, status, count): ``total``, one row per ``status``, and the newest ``recent`` and ``open`` reports.
+
+    The two lists are cut to ``limit`` rows, newest (largest id) first.
+    """
+    none, n = F.lit(None), positive(limit)
+    counted = status_counts(reports, status)
+    total = counted.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("count")).select(F.lit("total").alias("part"), F.lit(1).alias("rank"), none.cast("string").alias("status"), "count")
+    by_count = Window.orderBy(F.col("count").desc(), F.col(status))  # a row per status
+    states = counted.select(F.lit("status").alias("part"), F.row_number().over(by_count).alias("rank"), F.col(status).alias("status"), "count")
+
+    def newest_of(part: str, rows: DataFrame) -> DataFrame:
+        few = rows.select(key, F.col(status).alias("status")).orderBy(F.col(key).desc()).limit(n)
+        return few.select(F.lit(part).alias("part"), F.row_number().over(Window.orderBy(F.col(key).desc())).alias("rank"), F.col(key).alias("report_id"), "status")  # limit rows
+
+    parts = [total, states, newest_of("recent", reports), newest_of("open", reports.filter(F.col(status) == open_status))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out.select("part", "rank", "report_id", "status", "count")
+
+
 def chunk_profile(children: DataFrame, status: Column) -> DataFrame:
     """Rows, tagged rows and counts by validity per corpus."""
     return children.groupBy(F.coalesce("corpus_id", F.lit("unknown")).alias("corpus_id"), status.alias("valid_status")).agg(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import SPACE, blank_to_null, col, lines, strip, table_row, text_or_empty, unix_newlines, unquote
 from corpusloom.functions.unicode import casefold
-from corpusloom.functions.values import BLANK_WORDS, content_id, each, entries_to_map, entry_value, is_blank, null_if_blank, safe_float
+from corpusloom.functions.values import BLANK_WORDS, content_id, each, entries_to_map, entry_value, is_blank, null_if_blank, positive, safe_float
 from corpusloom.operators.documents import front_matter_body, front_matter_entries
 from corpusloom.operators.matching import contained_terms
 from corpusloom.operators.ranking import dedupe_first
@@ -470,6 +470,62 @@ def timeline_rows(events: DataFrame) -> DataFrame:
     )
 
 
+# The wording of the report on a timeline.
+REPORT_HEADS = ["## 1. 時系列サマリ", "## 2. 詳細タイムライン表", "## 3. 現在の状態", "## 4. 未完了事項・宿題", "## 5. 根拠一覧"]
+REPORT_TABLE = "| 日付 | 会議名 | 種別 | トピック | 内容 | 担当 | 期限 | 根拠 |\n|---|---|---|---|---|---|---|---|"
+REPORT_COUNT = "件のMeetingEventをevent_date、meeting_dateの昇順で整理しました。"
+REPORT_STATE = ("時点では、", " と記録されています。")
+REPORT_LATEST = ("最新イベントは ", " の ", " です。")
+REPORT_ITEM = (" (担当: ", " / 期限: ", ")")
+REPORT_UNKNOWN = "未記載"
+REPORT_NO_ITEMS = "確認できる未完了事項・宿題はありません。"
+REPORT_NOTHING = ["該当するMeetingEventは見つかりませんでした。", REPORT_TABLE, "確認できません。", "確認できません。", "なし"]
+
+
+def _report(parts: list[Column]) -> Column:
+    joined = []
+    for head, part in zip(REPORT_HEADS, parts):
+        # the table stands one blank line before the next head, as all parts do
+        joined.append(F.concat(F.lit(head + "\n"), part))
+    return F.array_join(F.array(*joined), "\n\n")
+
+
+def timeline_report(events: DataFrame, group: str, limit: int, groups: DataFrame | None = None) -> DataFrame:
+    """(group, n, report): one text in five parts about the first ``limit`` events of each group.
+
+    Groups named in ``groups`` that have no event get the report that says so.
+    """
+    order = Window.partitionBy(group).orderBy(*timeline_keys())
+    # the limit is the report's length: what is gathered per group is bounded by it
+    few = events.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= positive(limit))
+
+    def word(value) -> Column:
+        return F.coalesce(blank_to_null(text_or_empty(value)), F.lit(REPORT_UNKNOWN))
+
+    when, summary = event_date(), text_or_empty("event_summary")
+    state = F.when(F.col("event_type").isin(STATE_TYPES), F.concat(when, F.lit(REPORT_STATE[0]), summary, F.lit(REPORT_STATE[1])))
+    last = F.concat(F.lit(REPORT_LATEST[0]), when, F.lit(REPORT_LATEST[1]), summary, F.lit(REPORT_LATEST[2]))
+    undone = F.col("event_type").isin("action_item", "pending") & ~is_done("status")
+    item = F.when(undone, F.concat(F.lit("- "), when, F.lit(": "), summary, F.lit(REPORT_ITEM[0]), word("owner"), F.lit(REPORT_ITEM[1]), word("due_date"), F.lit(REPORT_ITEM[2])))
+    line = table_row(when, "meeting_name", "event_type", "topic", "event_summary", "owner", "due_date", source_label())
+    rows = few.select(group, "_n", line.alias("line"), state.alias("state"), last.alias("last"), item.alias("item"), F.concat(F.lit("- "), source_label()).alias("evidence"))
+    gathered = rows.groupBy(group).agg(
+        F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("_n", "line", "item", "evidence"))).alias("e"),
+        F.max_by("state", F.when(F.col("state").isNotNull(), F.col("_n"))).alias("state"), F.max_by("last", "_n").alias("last"),
+    )
+    items = F.array_join(F.filter(F.col("e")["item"], lambda x: x.isNotNull()), "\n")
+    report = _report([
+        F.concat(F.col("n").cast("string"), F.lit(REPORT_COUNT)), F.concat(F.lit(REPORT_TABLE + "\n"), F.array_join(F.col("e")["line"], "\n")),
+        F.coalesce("state", "last"), F.coalesce(blank_to_null(items), F.lit(REPORT_NO_ITEMS)), F.array_join(F.col("e")["evidence"], "\n"),
+    ])
+    out = gathered.select(group, "n", report.alias("report"))
+    if groups is None:
+        return out
+    nothing = _report([F.lit(t) for t in REPORT_NOTHING])
+    missing = groups.select(group).distinct().join(out.select(group), group, "left_anti")
+    return out.unionByName(missing.select(group, F.lit(0).cast("long").alias("n"), nothing.alias("report")))
+
+
 def event_sources(events: DataFrame) -> DataFrame:
     """Events as source rows for logging and prompts."""
     r = F.get(F.col("source_refs"), F.lit(0))
@@ -478,7 +534,8 @@ def event_sources(events: DataFrame) -> DataFrame:
         F.col("meeting_name").alias("title"), F.concat(text_or_empty("topic"), F.lit(" > "), text_or_empty("event_type")).alias("heading_path"),
         text_or_empty("event_summary").alias("child_text"), F.lit("").alias("parent_text"), F.lit(1.0).alias("score"), r["source_file"].alias("source_file"),
         r["source_type"].alias("source_type"), "meeting_id", "meeting_date", r["agenda"].alias("agenda"), "topic", r["section_title"].alias("section_title"),
-        r["slide_no"].alias("slide_no"), r["slide_title"].alias("slide_title"),
+        r["slide_no"].alias("slide_no"), r["slide_title"].alias("slide_title"), r["document_type"].alias("document_type"), "meeting_name",
+        F.array().cast("array<string>").alias("search_tags"), F.array().cast("array<string>").alias("forms"),
     )
 
 

@@ -240,7 +240,15 @@ def not_registered(spark, sf_dir):
     return A.not_registered(seeds, qa_table(spark, sf_dir)).select("doc_id", "question")
 
 
-@query("report_summary", "SELECT CASE WHEN toxic = 1 THEN 'open' WHEN quality = 1 THEN 'resolved' ELSE 'ignored' END AS status, count(*) AS count FROM labels GROUP BY 1")
+@query(
+    "report_summary",
+    """WITH r AS (SELECT doc_id AS report_id, CASE WHEN toxic = 1 THEN 'open' WHEN quality = 1 THEN 'resolved' ELSE 'ignored' END AS status FROM labels),
+    c AS (SELECT status, count(*) AS count FROM r GROUP BY status)
+    SELECT 'total' AS part, 1::BIGINT AS rank, NULL::BIGINT AS report_id, NULL AS status, count(*) AS count FROM r
+    UNION ALL SELECT 'status', row_number() OVER (ORDER BY count DESC, status), NULL, status, count FROM c
+    UNION ALL (SELECT 'recent', row_number() OVER (ORDER BY report_id DESC), report_id, status, NULL FROM r ORDER BY report_id DESC LIMIT 10)
+    UNION ALL (SELECT 'open', row_number() OVER (ORDER BY report_id DESC), report_id, status, NULL FROM r WHERE status = 'open' ORDER BY report_id DESC LIMIT 10)""",
+)
 def report_summary(spark, sf_dir):
-    rep = load(spark, sf_dir, "labels").select(F.when(F.col("toxic") == 1, "open").when(F.col("quality") == 1, "resolved").otherwise("ignored").alias("status"))
-    return L.status_counts(rep, "status")
+    status = F.when(F.col("toxic") == 1, "open").when(F.col("quality") == 1, "resolved").otherwise("ignored")
+    return L.report_summary(load(spark, sf_dir, "labels").select(F.col("doc_id").alias("report_id"), status.alias("status")))

@@ -61,9 +61,19 @@ def scored(spark, sf_dir) -> DataFrame:
     return E.rule_scores(p.withColumn("is_no_answer", F.col("event_id") % 7 == 0))
 
 
-@query("rule_scores", ctes(PREDICTIONS, _RULE) + "SELECT event_id, round(include_score, 6) AS include_score, forbidden_score, no_answer_score, round(rule_score, 6) AS rule_score FROM scored")
+@query(
+    "rule_scores",
+    ctes(PREDICTIONS, _RULE)
+    + """SELECT event_id, round(include_score, 6) AS include_score, forbidden_score, no_answer_score, round(rule_score, 6) AS rule_score, 2::BIGINT AS must_include_count, hits::BIGINT AS must_include_hit_count,
+    CASE WHEN NOT contains(a, 'answer') AND NOT contains(a, 'click') THEN '["answer","click"]' WHEN NOT contains(a, 'answer') THEN '["answer"]' WHEN NOT contains(a, 'click') THEN '["click"]' ELSE '[]' END AS must_include_missing_json,
+    CASE WHEN contains(a, 'view') THEN '["view"]' ELSE '[]' END AS must_not_include_hit_json, CASE WHEN is_no_answer THEN contains(a, '確認できません') END AS no_answer_ok
+    FROM scored JOIN (SELECT event_id, coalesce(actual_answer, '') AS a FROM pred) USING (event_id)""",
+)
 def rule_scores(spark, sf_dir):
-    return scored(spark, sf_dir).select("event_id", F.round("include_score", 6).alias("include_score"), "forbidden_score", "no_answer_score", F.round("rule_score", 6).alias("rule_score"))
+    return scored(spark, sf_dir).select(
+        "event_id", F.round("include_score", 6).alias("include_score"), "forbidden_score", "no_answer_score", F.round("rule_score", 6).alias("rule_score"),
+        "must_include_count", "must_include_hit_count", "must_include_missing_json", "must_not_include_hit_json", "no_answer_ok",
+    )
 
 
 _RS = "count(*) AS count, round(avg(rule_score), 6) AS avg_rule_score, round(count_if(expected_source_hit)::DOUBLE / count(*), 4) AS expected_source_hit_rate, count_if(is_no_answer)::BIGINT AS no_answer_count FROM scored"

@@ -69,6 +69,25 @@ def open_items(spark, sf_dir):
     return M.open_items(meeting_events(spark, sf_dir)).select("event_id", "event_summary", "owner")
 
 
+_REPORT = f"""few AS (SELECT *, coalesce(nullif(event_date, ''), meeting_date) AS d, CASE WHEN source_type = 'slide' THEN 'f.md / Slide 1: s' ELSE 'f.md /  /  / ' END AS ev, trim(ev) AS cell,
+        row_number() OVER (PARTITION BY meeting_id ORDER BY {KEYS}) AS n FROM me QUALIFY n <= 120),
+    r AS (SELECT meeting_id, count(*) AS n, string_agg('| ' || d || ' | ' || meeting_name || ' | ' || event_type || ' | ' || topic || ' | ' || event_summary || ' | ' || owner || ' |  | ' || cell || ' |', chr(10) ORDER BY n) AS lines,
+        arg_max(d || '時点では、' || event_summary || ' と記録されています。', n) FILTER (event_type IN ('decision', 'change', 'completion', 'report')) AS state, arg_max('最新イベントは ' || d || ' の ' || event_summary || ' です。', n) AS last,
+        string_agg('- ' || d || ': ' || event_summary || ' (担当: ' || owner || ' / 期限: 未記載)', chr(10) ORDER BY n) FILTER (event_type IN ('action_item', 'pending') AND status NOT IN ('done', '完了')) AS items,
+        string_agg('- ' || ev, chr(10) ORDER BY n) AS evidence FROM few GROUP BY meeting_id)"""
+
+
+@query(
+    "timeline_report",
+    ctes(MEETING, _REPORT)
+    + """SELECT meeting_id, n, '## 1. 時系列サマリ' || chr(10) || n || '件のMeetingEventをevent_date、meeting_dateの昇順で整理しました。' || chr(10) || chr(10) || '## 2. 詳細タイムライン表' || chr(10)
+    || '| 日付 | 会議名 | 種別 | トピック | 内容 | 担当 | 期限 | 根拠 |' || chr(10) || '|---|---|---|---|---|---|---|---|' || chr(10) || lines || chr(10) || chr(10) || '## 3. 現在の状態' || chr(10) || coalesce(state, last) || chr(10) || chr(10)
+    || '## 4. 未完了事項・宿題' || chr(10) || coalesce(items, '確認できる未完了事項・宿題はありません。') || chr(10) || chr(10) || '## 5. 根拠一覧' || chr(10) || evidence AS report FROM r""",
+)
+def timeline_report(spark, sf_dir):
+    return M.timeline_report(meeting_events(spark, sf_dir), "meeting_id", 120)
+
+
 @query("dedupe_first", "SELECT 'k' || user_id % 200 AS key, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id % 200 ORDER BY ts, event_id) AS n FROM events WHERE user_id % 200 <> 0) WHERE n = 1")
 def dedupe_first(spark, sf_dir):
     n = F.col("user_id") % 200
