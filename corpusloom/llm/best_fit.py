@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bpe_concat import default_path, worker
-from corpusloom.llm.common import documents, in_batches, written
+from corpusloom.llm.common import documents, in_batches, release, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -79,8 +79,13 @@ def pack(
     slack: int = SLACK,
     fan_in: int = FAN_IN,
     task_items: int = TASK_ITEMS,
+    keep_worker: bool = True,
 ) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document.
+
+    ``keep_worker`` leaves tokenizer and words to the worker's next task; without it each task makes them
+    anew and gives their memory back.
+    """
     path = path or default_path()
     rows = documents(docs)
     spark = rows.sparkSession
@@ -117,6 +122,9 @@ def pack(
                     yield from out(bins, base)
                     base += len(bins)
         yield from out(flush(), base)
+        if not keep_worker:
+            worker.cache_clear()
+            release()
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, items = partition_base(), []
