@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,7 +91,7 @@ def groups(batches: Iterator[pa.RecordBatch], limit: int, column: str = "text")
         if not n:
             continue
         col = batch.column(batch.schema.get_field_index(column))
-        ends = np.cumsum([len(x) if x else 0 for x in col.cast(pa.binary()).to_pylist()])
+        ends = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         base = 0
         while start < n:
             stop = int(np.searchsorted(ends, base + limit - size, side="left")) + 1

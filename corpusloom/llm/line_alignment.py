@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import batch_of, documents, free_names, groups, rewritten, written
+from corpusloom.llm.common import batch_of, documents, free_names, groups, release, rewritten, written
 
 #: No bound: results do not depend on how many documents share a line.
 RARE_DF = math.inf
@@ -177,6 +177,7 @@ def line_names(docs: DataFrame, min_chars: int, whole: bool = False) -> DataFram
             }
             for i in range(0, len(names), 50_000):
                 yield batch_of(schema, {k: v[i : i + 50_000] for k, v in columns.items()})
+        release()
 
     return docs.where("doc_id IS NOT NULL").mapInArrow(emit, schema)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import batch_of, documents, groups, rewritten
+from corpusloom.llm.common import batch_of, documents, groups, release, rewritten
 
 BITS = 21
 NGRAMS = ((4, 0x9E3779B97F4A7C15), (5, 0xC2B2AE3D27D4EB4F))
@@ -31,6 +31,8 @@ BUCKETS = 8_000
 LEAST_DOCS = 5
 LEAST_RATIO = 10.0
 FOLDS = 5
+#: Bytes of text whose n-grams are held at a time; a longer text is held alone.
+HELD = 1 << 18
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -82,8 +84,15 @@ class Model:
         return out
 
     def scores(self, texts: list[str], table: np.ndarray) -> np.ndarray:
-        doc, bucket = present(texts, table)
-        z = np.bincount(doc, weights=table[bucket], minlength=len(texts)) + self.intercept
+        z = np.full(len(texts), float(self.intercept))
+        ends = np.cumsum([len(t) for t in texts])
+        at = 0
+        while at < len(texts):
+            stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HELD, side="right"))
+            stop = max(stop, at + 1)
+            doc, bucket = present(texts[at:stop], table)
+            z[at:stop] += np.bincount(doc, weights=table[bucket], minlength=stop - at)
+            at = stop
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
@@ -102,16 +111,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, buckets: int =
     counts = rows.sparkSession.createDataFrame([], "bucket long, toxic long, other long").schema
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((2, 1 << BITS), np.int64)
-        for part in groups(batches, 1 << 20):
+        seen = np.zeros((2, 1 << BITS), np.int32)
+        for part in groups(batches, HELD):
             label = part.column("toxic").to_numpy()
             doc, bucket = present(part.column("text").to_pylist(), None)
             for c in (0, 1):
-                seen[c] += np.bincount(bucket[label[doc] == c], minlength=1 << BITS)
+                np.add.at(seen[c], bucket[label[doc] == c], 1)
         some = np.flatnonzero(seen.any(axis=0))
         for i in range(0, len(some), 50_000):
             b = some[i : i + 50_000]
             yield batch_of(counts, {"bucket": b, "toxic": seen[1][b], "other": seen[0][b]})
+        del seen
+        release()
 
     both = rows.mapInArrow(count, counts).groupBy("bucket").agg(F.sum("toxic").alias("p"), F.sum("other").alias("q"))
     share, all_ = toxic / (toxic + other), toxic + other
@@ -139,11 +150,12 @@ def _regression(rows: DataFrame, chosen: np.ndarray, values: np.ndarray, interce
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.zeros(1 << BITS, np.int32)
         place[chosen] = np.arange(1, len(chosen) + 1)
-        for part in groups(batches, 1 << 20):
+        for part in groups(batches, HELD):
             doc, bucket = present(part.column("text").to_pylist(), place)
             cuts = np.searchsorted(doc, np.arange(1, part.num_rows))
             found = [c.tobytes() for c in np.split(place[bucket] - 1, cuts)]
             yield batch_of(schema, {"toxic": part.column("toxic").to_pylist(), "found": found})
+        release()
 
     fetched = rows.mapInArrow(sparse, schema).collect()
     y = np.array([r.toxic for r in fetched], float)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import batch_of, documents, groups, in_batches, rewritten, written
+from corpusloom.llm.common import batch_of, documents, groups, in_batches, release, rewritten, written
 
 SAMPLE = 20_000
 TREES = 24
@@ -200,7 +200,7 @@ def corpus_of(docs: DataFrame, size: int = DICTIONARY) -> Corpus:
             classes[ord(c)] = classes[ord(c.upper())] = i
         classes[48:58] = 26
         pairs, words = np.zeros(28 * 28, np.int64), Counter()
-        for part in groups(batches, 1 << 21):
+        for part in groups(batches, 1 << 19):
             # every text between line ends, however the texts are grouped
             text = "\n".join(["", *part.column("text").to_pylist(), ""])
             k = classes[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)].astype(np.int64)
@@ -212,6 +212,8 @@ def corpus_of(docs: DataFrame, size: int = DICTIONARY) -> Corpus:
         yield from sums(words)
         at = np.flatnonzero(pairs)
         yield batch_of(schema, {"word": [None] * len(at), "a": at // 28, "b": at % 28, "n": pairs[at]})
+        del words
+        release()
 
     counted = written(rows.mapInArrow(count, schema).groupBy("word", "a", "b").agg(F.sum("n").alias("n")), "words")
     top = counted.where("word IS NOT NULL AND n > 2").orderBy(F.desc("n"), "word").limit(size).collect()
@@ -297,6 +299,7 @@ def train(docs: DataFrame, findings: DataFrame | None = None, sample: int = SAMP
                         out.append((doc, s, e, int(y), features(text, s, e, name, corpus)))
             if out:
                 yield batch_of(schema, dict(zip(schema.names, zip(*out))))
+        release()
 
     return corpus, fit_forest(written(rows.mapInArrow(labelled, schema), "labelled"), sample)
 

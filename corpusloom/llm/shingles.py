@@ -30,6 +30,12 @@ def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     return _powers[name][:n]
 
 
+def forget() -> None:
+    """Drop the tables of powers; they are made again when needed."""
+    for name in _powers:
+        _powers[name] = _powers[name][:1].copy()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
