@@ -28,3 +28,11 @@ def test_filter_aliases_long_wordings_and_line_ends(spark, check):
     b = spark.createDataFrame([(i, t) for i, t in texts.items()], "item_id long, text string")
     e = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(40)], "vec_id long, embedding array<float>")
     assert check("filter_aliases", benchmark=b, embeddings=e) == ""
+
+
+def test_heading_sections_simple_long_sections(spark, check):
+    def page(n, *sizes):
+        return n, f"u{n}", "<html><body><h1>Title</h1>" + "".join(f"<p>{'word and ' * s}end {i}</p>" for i, s in enumerate(sizes)) + "</body></html>"
+
+    pages = spark.createDataFrame([page(1, 3, 5, 4000, 6, 7, 8, 9, 10, 11), page(2, 4000), page(3, 2, 3)], "page_id long, url string, html string")
+    assert check("heading_sections_simple", pages=pages) == ""
