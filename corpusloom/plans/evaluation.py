@@ -18,7 +18,7 @@ from corpusloom.operators import tags as T
 from corpusloom.operators.matching import contained_terms
 from corpusloom.plans.answers import TABLES, alias_table, qa_table
 from corpusloom.plans.catalog import ctes, load, query
-from corpusloom.plans.chunks import CHILD_SQL, chunked_pages
+from corpusloom.plans.chunks import CHILD_SQL, page_report
 from corpusloom.plans.chunks import _COUNTED as COUNTED
 from corpusloom.plans.logs import LOGS, METRICS, ask_logs
 from corpusloom.plans.retrieval import _TERMS
@@ -311,7 +311,7 @@ def tasks(spark, sf_dir) -> DataFrame:
     logs = ask_logs(spark, sf_dir)
     reports = load(spark, sf_dir, "labels").filter("toxic = 1").select(F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("question"), F.lit("2024-01-01").alias("created_at"))
     qa, aliases = qa_table(spark, sf_dir), alias_table(spark, sf_dir)
-    warned = C.chunk_report(chunked_pages(spark, sf_dir)).filter("warnings <> ''")
+    warned = page_report(spark, sf_dir).filter("warnings <> ''")
     kids = tagged(spark, sf_dir).withColumn("child_id", F.concat(F.lit("c"), "child_id"))
     candidates = T.tag_candidates(kids, L.weak_answers(logs), 150).withColumn("tag_count", F.size("search_tags"))
     rows = [load(spark, sf_dir, t).agg(F.count("*").alias("n")).select("n").scalar() for t in ("documents", "embeddings")]

@@ -16,7 +16,7 @@ from corpusloom.operators import logs as L
 from corpusloom.operators.ranking import recent
 from corpusloom.operators.search import score_band
 from corpusloom.plans.catalog import ctes, load, query
-from corpusloom.plans.chunks import _COUNTED, CHILD_SQL, chunked_pages
+from corpusloom.plans.chunks import _COUNTED, CHILD_SQL, page_report
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -229,7 +229,7 @@ def kpis_with_state(spark, sf_dir) -> DataFrame:
     def n(name: str, test: str = "true"):
         return load(spark, sf_dir, name).agg(F.count_if(F.expr(test)).alias("n")).select("n").scalar()
 
-    warned = C.chunk_report(chunked_pages(spark, sf_dir)).agg(F.count_if(F.col("warnings") != "").alias("n")).select("n").scalar()
+    warned = page_report(spark, sf_dir).agg(F.count_if(F.col("warnings") != "").alias("n")).select("n").scalar()
     return L.ops_kpis(ask_logs(spark, sf_dir), AS_OF).select(
         "*", n("labels", "toxic = 1").alias("open_reports"), warned.alias("chunk_warnings"), (n("documents") != n("embeddings")).alias("vector_mismatch")
     )

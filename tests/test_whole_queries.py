@@ -6,6 +6,8 @@ import pytest
 import oracle
 from corpusloom.operators import evals as E
 from corpusloom.plans import load_all
+from corpusloom.plans.catalog import load
+from corpusloom.plans.chunks import page_report
 
 
 @pytest.fixture
@@ -45,3 +47,13 @@ def test_evidence_candidates_spaces_of_a_reference_count(spark):
     refs = spark.createDataFrame([(1, "one two "), (2, "one two"), (3, "  ")], "question_id long, source_ref string")
     found = {(r["question_id"], r["child_id"]) for r in E.evidence_candidates(refs, kids).collect()}
     assert found == {(1, "b"), (2, "a"), (2, "b"), (2, "c")}
+
+
+def test_page_report_is_stored_and_pages_are_spread(spark, tmp_path):
+    pages = spark.range(64).selectExpr("id AS page_id", "'u' AS url", "concat('<html><body><h1>T</h1><p>word ', id, '</p></body></html>') AS html")
+    pages.repartition(16).write.parquet(f"{tmp_path}/pages.parquet")
+    files = page_report(spark, str(tmp_path)).inputFiles()
+    assert files and not any("pages.parquet" in f for f in files)
+    scanned = spark.read.parquet(f"{tmp_path}/pages.parquet").rdd.getNumPartitions()
+    cores = spark.sparkContext.defaultParallelism
+    assert load(spark, str(tmp_path), "pages").rdd.getNumPartitions() == (4 * scanned if scanned >= cores else cores)
