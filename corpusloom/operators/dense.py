@@ -57,7 +57,7 @@ def _scores(index: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
     return np.divide(product, scale, out=np.zeros_like(product), where=scale > 0)
 
 
-def _permitted(corpora: pa.Array | None, allowed: list | None) -> np.ndarray | None:
+def permitted(corpora: pa.Array | None, allowed: list | None) -> np.ndarray | None:
     """(row, query) filter matrix: a row passes if one of its corpora is in the query's list.
 
     A NULL list allows every row; rows hold one corpus or a list of them.
@@ -102,7 +102,7 @@ def _block_top(index, queries: np.ndarray, allowed, metric: str, k: int, top: Ru
     for start in range(0, index.num_rows, step):
         part = index.slice(start, step)
         scores = _scores(matrix_of(_column(part, "embedding"), width), queries, metric)
-        present = _permitted(_column(part, "corpus_id"), allowed)
+        present = permitted(_column(part, "corpus_id"), allowed)
         if grouped:
             codes = np.asarray(_column(part, "group_id").dictionary_encode().indices)
             first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))

@@ -141,7 +141,7 @@ def evidence_score(spark, sf_dir):
         F.col("doc_id").cast("string").alias("child_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.concat_ws(" ", "lang", "source").alias("heading_path"), "text"
     )
     q = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
-    return E.best_evidence(E.evidence_scores(q, kids))
+    return E.best_scored(q, kids)
 
 
 # documents as passages of seeded answers, and references of every kind to them; some lead nowhere

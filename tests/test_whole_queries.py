@@ -57,3 +57,16 @@ def test_page_report_is_stored_and_pages_are_spread(spark, tmp_path):
     scanned = spark.read.parquet(f"{tmp_path}/pages.parquet").rdd.getNumPartitions()
     cores = spark.sparkContext.defaultParallelism
     assert load(spark, str(tmp_path), "pages").rdd.getNumPartitions() == (4 * scanned if scanned >= cores else cores)
+
+
+def test_best_passages_by_points_equal_the_joined_scores(spark, monkeypatch):
+    monkeypatch.setattr(E, "ASKS", 2)
+    text = "ab abc averyveryverylongwordindeed 相続税 x\U0001f600y "
+    kids = spark.createDataFrame(
+        [(f"k{i:02}", text[i % 7 :] if i % 3 else "", f"h {i}", text[i : 3 * i] + text[: i % 5] * 3) for i in range(40)] + [("n", None, None, None)],
+        "child_id string, title string, heading_path string, text string")
+    asked = ["averyveryverylongwordindeed averyveryverylongwordx", "相続税 ab", "zz qq", "h 3 abc", "\U0001f600y x"]
+    q = spark.createDataFrame(list(enumerate(asked)), "question_id long, question string")
+    want = {tuple(r) for r in E.best_evidence(E.evidence_scores(q, kids)).select("question_id", "child_id", "score").collect()}
+    got = {tuple(r) for r in E.best_scored(q, kids).select("question_id", "child_id", "score").collect()}
+    assert got == want and len(want) == 4
