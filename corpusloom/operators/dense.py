@@ -20,9 +20,11 @@ from corpusloom.functions.values import bind
 from corpusloom.operators.blocks import RunningTop, best_groups, best_rows, matrix_of
 from corpusloom.operators.ranking import SCORE_DIGITS, topk
 
-MAX_BROADCAST_VALUES = 16_000_000  # 128 MB of float64
+MAX_BROADCAST_VALUES = 2_000_000  # 16 MB of float64: every task sends k rows of each query on
 BLOCK_ROWS = 4096
+INDEX_BLOCK_ROWS = 65_536  # index rows that meet a block of queries in one task, at most
 SCORE_CELLS = 4_000_000  # cells of one score block
+TILE = 2048  # rows and queries of one matrix product
 METRICS = ("l2", "cosine", "dot")
 
 
@@ -62,6 +64,15 @@ def permitted(corpora: pa.Array | None, allowed: list | None) -> np.ndarray | No
 
     A NULL list allows every row; rows hold one corpus or a list of them.
     """
+    parts = _rights(corpora, allowed)
+    return None if parts is None else parts[0] @ parts[1].T > 0
+
+
+def _rights(corpora: pa.Array | None, allowed: list | None) -> tuple[np.ndarray, np.ndarray] | None:
+    """(row, name) and (query, name) matrices: a row may be seen by a query with which it shares a name.
+
+    One name more stands for queries that may see every row.
+    """
     if corpora is None or allowed is None or all(a is None for a in allowed):
         return None
     rows = len(corpora)
@@ -72,14 +83,92 @@ def permitted(corpora: pa.Array | None, allowed: list | None) -> np.ndarray | No
         owner, flat = np.arange(rows), corpora
     names = pc.unique(flat)
     position = {n: i for i, n in enumerate(names.to_pylist())}
-    holds = np.zeros((rows, len(names)))
+    holds = np.zeros((rows, len(names) + 1))
     holds[owner, np.asarray(pc.index_in(flat, value_set=names), dtype=np.int64)] = 1
-    wanted = np.zeros((len(names), len(allowed)))
+    holds[:, -1] = 1
+    wanted = np.zeros((len(allowed), len(names) + 1))
     for q, some in enumerate(allowed):
-        wanted[[position[c] for c in some or () if c in position and c is not None], q] = 1
-    passed = holds @ wanted > 0
-    passed[:, [q for q, some in enumerate(allowed) if some is None]] = True
-    return passed
+        wanted[q, [-1] if some is None else [position[c] for c in some if c in position and c is not None]] = 1
+    return holds, wanted
+
+
+def _pair_scores(index: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
+    """Score of each index row with the query at its place."""
+    product = np.einsum("ij,ij->i", index, queries)
+    if metric == "dot":
+        return product
+    a, b = np.einsum("ij,ij->i", index, index), np.einsum("ij,ij->i", queries, queries)
+    if metric == "l2":
+        return 1.0 / (1.0 + np.maximum(a + b - 2 * product, 0.0))
+    scale = np.sqrt(a) * np.sqrt(b)
+    return np.divide(product, scale, out=np.zeros_like(product), where=scale > 0)
+
+
+def _keyed(index: np.ndarray, queries: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors whose product orders as the scores do (minus the squared distance for l2), and what
+    rounding may change of a query's products."""
+    a, b = np.linalg.norm(index, axis=1, keepdims=True), np.linalg.norm(queries, axis=1, keepdims=True)
+    if metric == "cosine":
+        index, queries = (np.divide(v, n, out=np.zeros_like(v), where=n > 0) for v, n in ((index, a), (queries, b)))
+        a, b = np.minimum(a, 1), np.minimum(b, 1)
+    elif metric == "l2":
+        index, queries = np.hstack([index, a**2, np.ones_like(a)]), np.hstack([2 * queries, -np.ones_like(b), -(b**2)])
+    return index, queries, 1e-12 * (a.max() + b[:, 0]) ** 2
+
+
+def _limits(scores: np.ndarray, slack: np.ndarray, metric: str) -> np.ndarray:
+    """The product below which a row's rounded score is lower than ``scores``."""
+    least = scores - 1.5 * 10.0**-SCORE_DIGITS
+    if metric == "l2":
+        least = np.where(least > 0, 1.0 - 1.0 / np.where(least > 0, least, 1.0), -np.inf)
+    return least - slack
+
+
+def _tiled_top(index: np.ndarray, queries: np.ndarray, metric: str, k: int, rights: tuple | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, query, score) of the k best rows of each query; rows must be in id order.
+
+    Rows and queries meet in tiles.  What a query has found so far is a floor, and only the cells above it
+    are scored and sorted, so almost all cells cost their product and one comparison.
+    """
+    a, b, slack = _keyed(index, queries, metric)
+    lowest = np.finfo(np.float64).min
+    found = []
+    for q0 in range(0, len(queries), TILE):
+        some, near = b[q0 : q0 + TILE], slack[q0 : q0 + TILE]
+        floor = np.full(len(some), -np.inf)
+        query, row, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for r0 in range(0, len(index), TILE):
+            keys = some @ a[r0 : r0 + TILE].T
+            width = keys.shape[1]
+            least = floor.copy()
+            open_ = np.flatnonzero(np.isneginf(floor))
+            if len(open_):
+                part = keys[open_]
+                if rights is not None:
+                    part[rights[1][q0 + open_] @ rights[0][r0 : r0 + TILE].T <= 0] = -np.inf
+                    keys[open_] = part
+                if width > k:
+                    kth = np.partition(part, width - k, axis=1)[:, width - k]
+                    reached = 1.0 / (1.0 + np.maximum(-kth, 0.0)) if metric == "l2" else kth
+                    least[open_] = _limits(reached, 2 * near[open_], metric)
+            q, r = np.divmod(np.flatnonzero(keys >= np.maximum(least, lowest)[:, None]), width)
+            r += r0
+            if rights is not None:
+                seen = np.einsum("ij,ij->i", rights[0][r], rights[1][q0 + q]) > 0
+                q, r = q[seen], r[seen]
+            if not len(q):
+                continue
+            query, row = np.concatenate([query, q]), np.concatenate([row, r])
+            score = np.concatenate([score, _pair_scores(index[r], queries[q0 + q], metric)])
+            ranked = np.round(score, SCORE_DIGITS)
+            order = np.lexsort((row, -ranked, query))
+            place = np.arange(len(order)) - np.searchsorted(query[order], np.arange(len(some)))[query[order]]
+            order, place = order[place < k], place[place < k]
+            query, row, score, ranked = query[order], row[order], score[order], ranked[order]
+            full = place == k - 1
+            floor[query[full]] = _limits(ranked[full], near[query[full]], metric)
+        found.append((row, query + q0, score))
+    return tuple(np.concatenate(c) for c in zip(*found))
 
 
 def _column(batch, name: str) -> pa.Array | None:
@@ -98,6 +187,12 @@ def _block_top(index, queries: np.ndarray, allowed, metric: str, k: int, top: Ru
     grouped = "group_id" in index.schema.names
     keys = [("group_id", "ascending"), ("child_id", "ascending")] if grouped else [("child_id", "ascending")]
     index = index.take(pc.sort_indices(index, sort_keys=keys))
+    if not grouped:
+        vectors = matrix_of(_column(index, "embedding"), width)
+        if np.isfinite(vectors).all() and np.isfinite(queries).all():
+            row, query, score = _tiled_top(vectors, queries, metric, k, _rights(_column(index, "corpus_id"), allowed))
+            top.add(_column(index, "child_id").take(pa.array(row)), query, score)
+            return
     step = max(64, SCORE_CELLS // max(len(queries), 1))
     for start in range(0, index.num_rows, step):
         part = index.slice(start, step)
@@ -205,27 +300,36 @@ def _broadcast_topk(index: DataFrame, queries: DataFrame, k: int, metric: str, d
 
 
 def _blocked_topk(index: DataFrame, queries: DataFrame, k: int, metric: str, n_queries: int, ddl: str, block_rows: int) -> DataFrame:
-    q_blocks = max(1, math.ceil(n_queries / block_rows))
-    i_blocks = max(1, math.ceil(index.count() / block_rows))
+    # long index blocks: a query sends k rows on per block, and is copied once per block
+    long = INDEX_BLOCK_ROWS if block_rows == BLOCK_ROWS else block_rows
+    n_index = max(1, index.count())
+    i_blocks = math.ceil(n_index / long)
+    # query blocks of at most `long` / 4 rows, and enough of them to spread the pairs over the tasks
+    spread = math.ceil(4 * index.sparkSession.sparkContext.defaultParallelism / i_blocks)
+    q_blocks = min(math.ceil(n_queries / min(block_rows, TILE)), max(math.ceil(4 * n_queries / long), spread))
     schema = _schema(ddl)
 
     def grid(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
     left = index.withColumn("_i", F.pmod(F.xxhash64("child_id"), F.lit(i_blocks)).cast("int")).withColumn("_j", grid(q_blocks))
-    right = queries.withColumn("_j", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn("_i", grid(i_blocks))
+    # columns of its own: with queries from the table of the index, both sides would share theirs
+    right = queries.select(*[F.col(c).alias(f"_{c}") for c in queries.columns])
+    right = right.withColumn("_qj", F.pmod(F.xxhash64("_query_id"), F.lit(q_blocks)).cast("int")).withColumn("_qi", grid(i_blocks))
+    names = queries.columns
 
     def score(a: pa.Table, b: pa.Table) -> pa.Table:
         if a.num_rows == 0 or b.num_rows == 0:
             return schema.empty_table()
         found, rows = [], a.combine_chunks()
+        b = b.select([f"_{c}" for c in names]).rename_columns(names)
         for ids, vectors, allowed in _by_width(b):
             top = RunningTop(len(ids), k)
             _block_top(rows, vectors, allowed, metric, k, top)
             found.append(_result(top, ids, schema))
         return pa.Table.from_batches([f for f in found if f is not None], schema=schema)
 
-    return left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInArrow(score, ddl)
+    return left.groupBy("_i", "_j").cogroup(right.groupBy("_qi", "_qj")).applyInArrow(score, ddl)
 
 
 def alias_index(aliases: DataFrame) -> DataFrame:

@@ -118,3 +118,45 @@ def test_widths_outside_the_sample_and_empty_index(spark):
     same(rows(DI.indexed_vectors(stored, q, 6), *names), rows(V.vector_topk(index.drop("group_id"), q, 6, "l2"), *names))
     none = DI.write_vector_index(index.limit(0), folder, "v2", "l2")
     assert DI.indexed_vectors(none, q, 3).count() == 0
+
+
+@pytest.mark.parametrize("metric", V.METRICS)
+def test_tiles_give_the_rows_of_one_product(metric, monkeypatch):
+    monkeypatch.setattr(V, "TILE", 7)
+    rng = np.random.default_rng(5)
+    index = rng.integers(-2, 3, (90, 3)).astype(float)  # many copies and ties, some zero vectors
+    queries = np.vstack([index[:40], rng.normal(size=(10, 3)), np.zeros((1, 3))])
+    names = np.eye(4)[rng.integers(0, 4, 90)], (rng.random((51, 4)) < 0.3).astype(float)
+    exact = np.array([V._pair_scores(index, np.repeat(q[None], 90, axis=0), metric) for q in queries]).T
+    for k in (1, 5, 100):
+        for rights in (None, names):
+            row, query, score = V._tiled_top(index, queries, metric, k, rights)
+            want = V.best_rows(exact, None if rights is None else rights[0] @ rights[1].T > 0, k)
+            assert set(zip(row, query)) == set(zip(*want))
+            assert np.allclose(score, exact[row, query])
+
+
+def test_a_batch_of_queries_is_ranked_once(spark, monkeypatch):
+    # ranking all queries again every 64 index rows made time grow faster than the pairs
+    calls = []
+    top = V.RunningTop(600, 3)
+    monkeypatch.setattr(top, "add", lambda ids, query, score: calls.append(len(ids)))
+    monkeypatch.setattr(V, "SCORE_CELLS", 1000)
+    rng = np.random.default_rng(6)
+    rows = rng.normal(size=(500, 4))
+    batch = V.pa.table({"child_id": np.arange(500), "embedding": rows.tolist()})
+    V._block_top(batch, rng.normal(size=(600, 4)), None, "cosine", 3, top)
+    assert calls == [1800]
+
+
+def test_blocks_of_queries_from_the_table_of_the_index(spark):
+    # both sides of the block join shared the embedding column, which failed
+    rng = np.random.default_rng(7)
+    e = spark.createDataFrame([(i, rng.normal(size=4).tolist(), i % 3) for i in range(120)], "vec_id long, embedding array<float>, label int")
+    index = e.select(F.col("vec_id").alias("child_id"), "embedding", F.col("label").cast("string").alias("corpus_id"))
+    allowed = F.transform(F.sequence(F.lit(0), F.col("label")), lambda n: n.cast("string"))
+    q = e.select(F.col("vec_id").alias("query_id"), "embedding", allowed.alias("corpus_ids"))
+    names = ("query_id", "rank", "child_id", "score")
+    want = rows(V.vector_topk(index, q, 4, "cosine"), *names)
+    same(rows(V.vector_topk(index, q, 4, "cosine", max_values=1), *names), want)
+    same(rows(V.vector_topk(index, q, 4, "cosine", max_values=1, block_rows=16), *names), want)
