@@ -11,6 +11,7 @@ Layout below ``folder/release_id=...``: ``blocks`` (bucket=...), ``shards``, ``l
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import TOKEN_PATTERN, WHITESPACE_CHARS, text_or_empty
 from corpusloom.operators.blocks import best_rows
 from corpusloom.operators.lexical import Okapi, corpus_stats, inverse_frequencies
 from corpusloom.operators.pruning import pruned_rows, pruned_share
@@ -28,6 +30,7 @@ from corpusloom.session import materialized
 
 SHARD_PASSAGES = 2048
 BUCKETS = 64
+GAIN_CELLS = 1_000_000  # cells of one matrix of gains
 _BLOCKS = "shard long, term string, n int, max_tf int, min_dl int, places array<int>, tfs array<int>, bucket int"
 
 
@@ -54,11 +57,25 @@ def write_lexical_index(tokenized: DataFrame, folder: str, release: str, shard_p
     The passages are read once.  Passages that follow one another share a shard, so documents and
     corpora stay together.
     """
-    spark, home = tokenized.sparkSession, _home(folder, release)
-    id_type = dict(tokenized.dtypes)["child_id"]
+    rows = tokenized.select("child_id", "tokens", F.col("dl").cast("int").alias("dl"))
+    return _write(rows, _sharder(shard_passages), folder, release, buckets)
+
+
+def write_text_index(passages: DataFrame, folder: str, release: str, text: str = "search_text", shard_passages: int = SHARD_PASSAGES, buckets: int = BUCKETS) -> LexicalIndex:
+    """As ``write_lexical_index`` of the ``retrieval_tokens`` of a text column of ``passages``.
+
+    Tokens are numbered from the code points of a shard's texts and never become rows or arrays of text.
+    """
+    rows = passages.select("child_id", F.lower(text_or_empty(F.col(text))).alias("low"))
+    return _write(rows, _sharder(shard_passages), folder, release, buckets)
+
+
+def _write(rows: DataFrame, sharder, folder: str, release: str, buckets: int) -> LexicalIndex:
+    spark, home = rows.sparkSession, _home(folder, release)
+    id_type = dict(rows.dtypes)["child_id"]
     ddl = f"shard long, term string, n int, max_tf int, min_dl int, places array<int>, tfs array<int>, child_ids array<{id_type}>, dls array<int>"
     # one map-only job decides the shards; both tables come from what it wrote
-    staged = materialized(tokenized.select("child_id", "tokens", F.col("dl").cast("int").alias("dl")).mapInArrow(_sharder(shard_passages, id_type), ddl))
+    staged = materialized(rows.mapInArrow(sharder, ddl))
     blocks = staged.filter("term is not null").select("shard", "term", "n", "max_tf", "min_dl", "places", "tfs", _bucket("term", F.lit(buckets)).alias("bucket"))
     placed = blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "shard")
     placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{home}/blocks")
@@ -124,14 +141,46 @@ def _lists(values: np.ndarray, starts: np.ndarray, kind: pa.DataType) -> pa.Arra
     return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), pa.array(values, kind))
 
 
-def _sharder(size: int, id_type: str):
+def _coded_tokens(rows: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(terms, number of each token's term, its passage)."""
+    tokens = rows.column("tokens").combine_chunks()
+    coded = tokens.flatten().dictionary_encode()
+    owner = np.repeat(np.arange(rows.num_rows), np.asarray(pc.fill_null(pc.list_value_length(tokens), 0)))
+    return coded.dictionary.cast(pa.string()), np.asarray(coded.indices).astype(np.int64), owner
+
+
+_WORD = re.compile(TOKEN_PATTERN)
+_POINT = 1 << 21  # more than the largest code point
+
+
+def _coded_text(rows: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """As ``_coded_tokens`` for the lower-cased texts: words by their pattern, pairs from code points."""
+    texts = rows.column("low").to_pylist()
+    sizes = np.array([len(t) for t in texts])
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    pairs, own = points[:-1] * _POINT + points[1:], owner[:-1]
+    space = np.isin(points, [ord(c) for c in WHITESPACE_CHARS])
+    kept = (own == owner[1:]) & ~(space[:-1] & space[1:])
+    seen, pair_code = np.unique(pairs[kept], return_inverse=True)
+    names = np.stack(np.divmod(seen, _POINT), axis=1).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    words: dict[str, int] = {}
+    found = [[words.setdefault(w, len(words)) for w in _WORD.findall(t)] for t in texts]
+    # a word of two characters is the term of a pair
+    terms = pa.array([names[i : i + 2] for i in range(0, len(names), 2)] + list(words), pa.string()).dictionary_encode()
+    merged = np.asarray(terms.indices).astype(np.int64)
+    word_code = np.array([c for f in found for c in f], np.int64) + len(seen)
+    code = merged[np.concatenate([pair_code, word_code])]
+    return terms.dictionary, code, np.concatenate([own[kept], np.repeat(np.arange(len(texts)), [len(f) for f in found])])
+
+
+def _sharder(size: int):
     def shard(rows: pa.Table, number: int) -> Iterator[pa.RecordBatch]:
         rows = rows.take(pc.sort_indices(rows.column("child_id"))).combine_chunks()
-        ids, dl = rows.column("child_id").combine_chunks(), np.asarray(rows.column("dl"))
-        tokens = rows.column("tokens").combine_chunks()
-        coded = tokens.flatten().dictionary_encode()
-        owner = np.repeat(np.arange(len(ids)), np.asarray(pc.fill_null(pc.list_value_length(tokens), 0)))
-        cells, tf = np.unique(np.asarray(coded.indices).astype(np.int64) * len(ids) + owner, return_counts=True)
+        ids = rows.column("child_id").combine_chunks()
+        names, token, owner = (_coded_text if "low" in rows.schema.names else _coded_tokens)(rows)
+        dl = np.asarray(rows.column("dl")) if "dl" in rows.schema.names else np.bincount(owner, minlength=len(ids))
+        cells, tf = np.unique(token * len(ids) + owner, return_counts=True)
         code, place = np.divmod(cells, len(ids))
         starts = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.array([], np.int64)
         n = len(starts)
@@ -140,7 +189,7 @@ def _sharder(size: int, id_type: str):
             yield pa.RecordBatch.from_pydict(
                 {
                     "shard": pa.array(np.full(n, number), pa.int64()),
-                    "term": coded.dictionary.take(pa.array(code[starts])).cast(pa.string()),
+                    "term": names.take(pa.array(code[starts])),
                     "n": pa.array(np.diff(np.append(starts, len(code))), pa.int32()),
                     "max_tf": pa.array(np.maximum.reduceat(tf, starts), pa.int32()),
                     "min_dl": pa.array(np.minimum.reduceat(dl[place], starts), pa.int32()),
@@ -188,30 +237,41 @@ def _scorer(k: int, okapi: Okapi, ddl: str, spark: SparkSession):
         place = np.asarray(lists.flatten())
         tf = np.asarray(blocks.column("tfs").combine_chunks().flatten(), dtype=np.float64)
         sizes = np.asarray(pc.list_value_length(lists)).astype(np.int64)
-        starts = np.cumsum(sizes) - sizes
         mean = right.column("avgdl")[0].as_py()
         gain = tf * (okapi.k1 + 1) / (tf + okapi.k1 * (1 - okapi.b + okapi.b * dl[place] / mean))
         asked = right.column("terms").combine_chunks()
-        ends = np.cumsum(np.asarray(pc.list_value_length(asked)))
         words = asked.flatten()
-        codes = pc.fill_null(pc.index_in(words.field("term"), value_set=blocks.column("term").combine_chunks()), -1)
-        codes, weights = np.asarray(codes).astype(np.int64), np.asarray(words.field("w"))
-        queries, rows, scores = [], [], []
-        for q, (a, b) in enumerate(zip(np.append(0, ends[:-1]).tolist(), ends.tolist())):
-            known = codes[a:b] >= 0
-            code = codes[a:b][known]
-            if not len(code):
+        # terms in one order for all shards, so that equal passages get equal sums
+        vocabulary = pc.unique(words.field("term"))
+        vocabulary = vocabulary.take(pc.sort_indices(vocabulary))
+        weights = np.zeros((right.num_rows, len(vocabulary)))
+        asks = np.repeat(np.arange(right.num_rows), np.asarray(pc.list_value_length(asked)))
+        weights[asks, np.asarray(pc.index_in(words.field("term"), value_set=vocabulary))] = np.asarray(words.field("w"))
+        wanted = np.zeros(weights.shape, bool)
+        wanted[asks, np.asarray(pc.index_in(words.field("term"), value_set=vocabulary))] = True
+        code = np.asarray(pc.fill_null(pc.index_in(blocks.column("term").combine_chunks(), value_set=vocabulary), -1)).astype(np.int64)
+        code = np.repeat(code, sizes)
+        total = np.zeros((right.num_rows, len(ids)))
+        # a term of weight 0 still makes a match
+        signed = bool((weights[wanted] <= 0).any())
+        matches = np.zeros(total.shape) if signed else total
+        step = max(1, GAIN_CELLS // max(len(ids), 1))
+        order = np.argsort(code, kind="stable")
+        for first in range(0, len(vocabulary), step):
+            some = order[slice(*np.searchsorted(code[order], (first, first + step)))]
+            if not len(some):
                 continue
-            n = sizes[code]
-            # places of all postings of the query's terms
-            flat = np.arange(n.sum()) + np.repeat(starts[code] - (np.cumsum(n) - n), n)
-            where = place[flat]
-            total = np.bincount(where, gain[flat] * np.repeat(weights[a:b][known], n), len(ids))[:, None]
-            # a term of weight 0 still makes a match
-            row, _ = best_rows(total, np.bincount(where, minlength=len(ids))[:, None] > 0, k)
+            gains = np.zeros((min(step, len(vocabulary) - first), len(ids)))
+            gains[code[some] - first, place[some]] = gain[some]
+            total += weights[:, first : first + step] @ gains
+            if signed:
+                matches += wanted[:, first : first + step] @ (gains > 0).astype(np.float64)
+        queries, rows, scores = [], [], []
+        for q in range(right.num_rows):
+            row, _ = best_rows(total[q][:, None], matches[q][:, None] > 0, k)
             queries.append(np.full(len(row), q))
             rows.append(row)
-            scores.append(total[row, 0])
+            scores.append(total[q, row])
         if not queries:
             return schema.empty_table()
         columns = [right.column("query_id").take(pa.array(np.concatenate(queries))), ids.take(pa.array(np.concatenate(rows))), pa.array(np.round(np.concatenate(scores), SCORE_DIGITS))]

@@ -58,7 +58,7 @@ def passages(spark, sf_dir) -> DataFrame:
 
 
 def lexical_index(spark, sf_dir) -> LI.LexicalIndex:
-    folder = stored(spark, sf_dir, "lexical", lambda folder: LI.write_lexical_index(X.tokenize(passages(spark, sf_dir)), folder, "v1"))
+    folder = stored(spark, sf_dir, "lexical", lambda folder: LI.write_text_index(passages(spark, sf_dir), folder, "v1"))
     return LI.read_lexical_index(spark, folder, "v1")
 
 

@@ -160,3 +160,14 @@ def test_blocks_of_queries_from_the_table_of_the_index(spark):
     want = rows(V.vector_topk(index, q, 4, "cosine"), *names)
     same(rows(V.vector_topk(index, q, 4, "cosine", max_values=1), *names), want)
     same(rows(V.vector_topk(index, q, 4, "cosine", max_values=1, block_rows=16), *names), want)
+
+
+def test_text_index_equals_the_index_of_tokens(spark):
+    odd = ["a  b", "ab ab\t\nab", "　　税 相続", "x\U0001f600y \U0001f600", "İ_9", "", None, " ", "\x1c\x1d q", "a\x85\xa0b", "\x00 \x00"]
+    kids = spark.createDataFrame([(f"c{i:03d}", t) for i, t in enumerate(odd + texts(n=30))], "child_id string, search_text string").repartitionByRange(2, "child_id")
+    one = LI.write_lexical_index(X.tokenize(kids), tempfile.mkdtemp(prefix="spark-"), "v", shard_passages=16, buckets=2)
+    two = LI.write_text_index(kids, tempfile.mkdtemp(prefix="spark-"), "v", shard_passages=16, buckets=2)
+    for table, names in (("blocks", ("shard", "term", "n", "max_tf", "min_dl", "places", "tfs")), ("shards", ("shard", "child_ids", "dls"))):
+        assert rows(getattr(one, table), *names) == rows(getattr(two, table), *names)
+    lexicon = [sorted(map(str, t.lexicon.select("term", "df", "total_length").collect())) for t in (one, two)]
+    assert lexicon[0] == lexicon[1] and len(lexicon[0]) > 50
