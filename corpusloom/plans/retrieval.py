@@ -159,8 +159,9 @@ filtered AS (SELECT query_id, child_id, parent_id, rerank_score, score, pos AS r
 SETTINGS = S.Retrieval(reranker_min_score=0.3, reranker_min_keep=2, reranker_max_keep=6, reranker_dedupe_parent=True)
 
 
-def lexical(spark, sf_dir) -> DataFrame:
-    return LI.indexed_topk(lexical_index(spark, sf_dir), X.query_terms(questions(spark, sf_dir)), 20)
+def lexical(spark, sf_dir, k: int = 20) -> DataFrame:
+    """The k best passages of each question, stored: later joins see how small they are."""
+    return materialized(LI.indexed_topk(lexical_index(spark, sf_dir), X.query_terms(questions(spark, sf_dir)), k))
 
 
 def fused(spark, sf_dir) -> DataFrame:
