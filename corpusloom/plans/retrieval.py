@@ -220,8 +220,7 @@ def bm25_normalized(spark, sf_dir):
 
 @query("topk", ctes(*LEXICAL) + f"SELECT {RAW} FROM lex20 WHERE rank <= 8")
 def topk(spark, sf_dir):
-    rows = X.bm25_topk(X.tokenize(passages(spark, sf_dir)), X.query_terms(questions(spark, sf_dir)), 8)
-    return rows.withColumn("score", F.round("score", 3))
+    return lexical(spark, sf_dir, 8).withColumn("score", F.round("score", 3))
 
 
 def _ranked_lexical(spark, sf_dir) -> DataFrame:
