@@ -364,14 +364,13 @@ _SEARCH = diversified_sql("(SELECT * FROM merged WHERE query_id NOT IN (SELECT q
 _FINAL = "searched AS (SELECT query_id, child_id, rank, score FROM filtered UNION ALL SELECT query_id, child_id, rank, score FROM rest)"
 
 
-def searched(spark, sf_dir) -> DataFrame:
-    rows = fused_once(spark, sf_dir)
+def searched(rows: DataFrame) -> DataFrame:
     return S.search(rows, rerank_scores(R.topk(rows, 40)), 8, SETTINGS)
 
 
 @query("search", ctes(*HYBRID, RERANK_SQL, MERGED, _FILTER, _SEARCH, _FINAL) + f"SELECT {SCORED}, 'hybrid_reranker' AS retrieval_mode FROM searched")
 def search(spark, sf_dir):
-    return searched(spark, sf_dir).select("query_id", "child_id", "rank", F.round("score", 6).alias("score"), "retrieval_mode")
+    return searched(fused_once(spark, sf_dir)).select("query_id", "child_id", "rank", F.round("score", 6).alias("score"), "retrieval_mode")
 
 
 @query(
@@ -383,7 +382,8 @@ def search(spark, sf_dir):
 )
 def compare_modes(spark, sf_dir):
     vector = S.vector_only(passage_vectors(spark, sf_dir), question_vectors(spark, sf_dir), current(spark, sf_dir), 8)
-    rows = S.compare_modes(vector, S.hybrid(fused(spark, sf_dir), 8), searched(spark, sf_dir))
+    both = fused_once(spark, sf_dir)
+    rows = S.compare_modes(vector, S.hybrid(both, 8), searched(both))
     return rows.withColumn("score", F.round("score", 6))
 
 

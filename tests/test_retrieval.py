@@ -180,3 +180,17 @@ def test_releases(spark):
     assert {r.release_id: r.status for r in S.archive_release(table, "c_2").collect()}["c_2"] == "active"
     index = spark.createDataFrame([("a", "c_1"), ("b", "c_2")], "child_id string, release_id string")
     assert [r.child_id for r in S.active_rows(index, table).collect()] == ["b"]
+
+
+def test_lexical_hits_and_the_fused_list_are_stored(spark, monkeypatch):
+    from corpusloom.plans import load_all
+    from corpusloom.plans import retrieval as P
+
+    folder = "/root/testdata/sf0.001"
+    source = P.lexical(spark, folder, 8).inputFiles()
+    assert source and not any("bucket=" in f or "/passages-" in f for f in source)
+    made = []
+    once = P.fused
+    monkeypatch.setattr(P, "fused", lambda *a: made.append(1) or once(*a))
+    load_all()[0]["compare_modes"](spark, folder)
+    assert len(made) == 1
