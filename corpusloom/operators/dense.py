@@ -25,6 +25,8 @@ BLOCK_ROWS = 4096
 INDEX_BLOCK_ROWS = 65_536  # index rows that meet a block of queries in one task, at most
 SCORE_CELLS = 4_000_000  # cells of one score block
 TILE = 2048  # rows and queries of one matrix product
+MAX_SINGLE = 1e15  # larger numbers are multiplied in double precision
+TINY = 1e-30  # more than what single precision loses of the smallest numbers
 METRICS = ("l2", "cosine", "dot")
 
 
@@ -106,14 +108,20 @@ def _pair_scores(index: np.ndarray, queries: np.ndarray, metric: str) -> np.ndar
 
 def _keyed(index: np.ndarray, queries: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Vectors whose product orders as the scores do (minus the squared distance for l2), and what
-    rounding may change of a query's products."""
+    rounding may change of a query's products.
+
+    The products only tell which cells to score, so they are in single precision where the numbers allow it.
+    """
     a, b = np.linalg.norm(index, axis=1, keepdims=True), np.linalg.norm(queries, axis=1, keepdims=True)
     if metric == "cosine":
         index, queries = (np.divide(v, n, out=np.zeros_like(v), where=n > 0) for v, n in ((index, a), (queries, b)))
         a, b = np.minimum(a, 1), np.minimum(b, 1)
     elif metric == "l2":
         index, queries = np.hstack([index, a**2, np.ones_like(a)]), np.hstack([2 * queries, -np.ones_like(b), -(b**2)])
-    return index, queries, 1e-12 * (a.max() + b[:, 0]) ** 2
+    slack = (a.max() + b[:, 0]) ** 2
+    if max(np.abs(index).max(), np.abs(queries).max()) < MAX_SINGLE:
+        return index.astype(np.float32), queries.astype(np.float32), (index.shape[1] + 8) * 2.0**-23 * slack + TINY
+    return index, queries, 1e-12 * slack
 
 
 def _limits(scores: np.ndarray, slack: np.ndarray, metric: str) -> np.ndarray:
@@ -131,7 +139,7 @@ def _tiled_top(index: np.ndarray, queries: np.ndarray, metric: str, k: int, righ
     are scored and sorted, so almost all cells cost their product and one comparison.
     """
     a, b, slack = _keyed(index, queries, metric)
-    lowest = np.finfo(np.float64).min
+    lowest = np.finfo(a.dtype).min
     found = []
     for q0 in range(0, len(queries), TILE):
         some, near = b[q0 : q0 + TILE], slack[q0 : q0 + TILE]
@@ -151,7 +159,8 @@ def _tiled_top(index: np.ndarray, queries: np.ndarray, metric: str, k: int, righ
                     kth = np.partition(part, width - k, axis=1)[:, width - k]
                     reached = 1.0 / (1.0 + np.maximum(-kth, 0.0)) if metric == "l2" else kth
                     least[open_] = _limits(reached, 2 * near[open_], metric)
-            q, r = np.divmod(np.flatnonzero(keys >= np.maximum(least, lowest)[:, None]), width)
+            least = np.nextafter(np.clip(least, lowest, None).astype(keys.dtype), lowest)
+            q, r = np.divmod(np.flatnonzero(keys >= least[:, None]), width)
             r += r0
             if rights is not None:
                 seen = np.einsum("ij,ij->i", rights[0][r], rights[1][q0 + q]) > 0

@@ -171,3 +171,24 @@ def test_text_index_equals_the_index_of_tokens(spark):
         assert rows(getattr(one, table), *names) == rows(getattr(two, table), *names)
     lexicon = [sorted(map(str, t.lexicon.select("term", "df", "total_length").collect())) for t in (one, two)]
     assert lexicon[0] == lexicon[1] and len(lexicon[0]) > 50
+
+
+def test_a_search_writes_no_row_per_query_and_ring(spark, monkeypatch):
+    from corpusloom.operators import pruning
+
+    index, q = vectors(spark)
+    stored = DI.write_vector_index(index, tempfile.mkdtemp(prefix="spark-"), "v1", "cosine", centres=10, block_rows=8, buckets=4)
+    sizes, keep = [], DI.materialized
+
+    def counted(df):
+        out = keep(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(DI, "materialized", counted)
+    monkeypatch.setattr(pruning, "materialized", counted)
+    monkeypatch.setattr(DI, "SHARD_ROWS", 100, raising=False)
+    monkeypatch.setattr(DI, "QUERY_ROWS", 3, raising=False)
+    names = ("query_id", "rank", "child_id", "score")
+    same(rows(DI.indexed_vectors(stored, q, 6), *names), rows(V.vector_topk(index.drop("group_id"), q, 6, "cosine"), *names))
+    assert max(sizes) <= q.count() * 6
