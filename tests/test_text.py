@@ -1,8 +1,11 @@
+import tracemalloc
 from datetime import date
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
+from corpusloom.functions import unicode
 from corpusloom.functions import values as V
 from corpusloom.operators import documents as D
 from corpusloom.operators import pages as P
@@ -113,3 +116,15 @@ def test_validity(spark):
         "unbounded", "not_started", "expired", "current", "invalid_period", "invalid_period",
     ]
     assert date(2024, 6, 30)
+
+
+def test_a_batch_of_pages_is_decoded_in_parts():
+    # all texts of a batch, and all results, were Python objects at once
+    values = pa.array([None, "", "&amp;amp;\n&lt;"] + [f"{i} &amp; " + "x" * 4000 for i in range(3000)])
+    tracemalloc.start()
+    found = unicode._each(values, unicode._unescape_lines)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6e6 < values.nbytes / 2
+    assert found.to_pylist() == [None if v is None else unicode._unescape_lines(v) for v in values.to_pylist()]
+    assert unicode._each(pa.array([], pa.string()), str).type == pa.string()
