@@ -121,3 +121,21 @@ def test_long_documents_take_time_in_proportion(spark):
     seconds(500)
     small, large = seconds(10_000), seconds(80_000)
     assert large < 16 * small + 2
+
+
+def test_steps_of_folds_do_not_read_headings_again(spark):
+    # whatever a step mentions is evaluated at each mention: level and title are read before the fold
+    df = spark.createDataFrame([("# A\nx\n\n## B\ny\n\nz",)], "t string")
+    for made in (C.blocks("t", F.lit("p")), C.child_chunks("t", F.lit("p"), 70, 10), C.template_sections("t")):
+        plan = df.select(made.alias("m"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("^(#{1,6})") == 1
+    assert [tuple(b) for b in df.select(C.blocks("t", F.lit("p")).alias("b")).first().b] == [("A", "# A\nx"), ("A > B", "## B\ny"), ("A > B", "z")]
+
+
+def test_line_ends_are_made_plain_once(spark):
+    df = spark.createDataFrame([("c", "f", "t", "# A\r\nx\x0by")], "corpus_id string, source_file string, title string, text string")
+    df = df.withColumn("chunking", F.struct(F.array(F.lit(2)).alias("parent_split_levels"), F.lit(500).alias("max_parent_chars"), F.lit(0).alias("min_parent_chars"), F.lit(200).alias("child_max_chars"), F.lit(0).alias("child_overlap_chars"), F.lit(False).alias("force_heading_split"), F.lit(False).alias("auto_descend"), F.lit("auto").alias("chunking_mode")))
+    report = C.chunk_report(C.chunk_documents(df, markers=False))
+    # once by the chunker, once by the report
+    assert report._jdf.queryExecution().analyzed().toString().count(r"\x1c-\x1e") == 2
+    assert report.first().source_chars == 7

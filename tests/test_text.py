@@ -128,3 +128,14 @@ def test_a_batch_of_pages_is_decoded_in_parts():
     assert peak < 6e6 < values.nbytes / 2
     assert found.to_pylist() == [None if v is None else unicode._unescape_lines(v) for v in values.to_pylist()]
     assert unicode._each(pa.array([], pa.string()), str).type == pa.string()
+
+
+def test_white_space_in_lines_and_tags_in_mixed_case(spark):
+    spaces = X.WHITESPACE_CHARS.replace("\n", "")
+    text = "".join(f"{c}a{c}{c}b{c}\n{c}\n" for c in spaces) + "​\xe9᠎ \n"
+    rows = F.transform(F.split(F.lit(text), "\n", -1), X.squeeze)
+    assert one(spark, X.squeeze_lines(F.lit(text))) == one(spark, X.strip(F.array_join(rows, "\n")))
+    ends = "a\r\nb\rc\n\rd\x0b\ne\x0cf\x1cg\x1dh\x1ei\x1fj\x85k l m\r\r\nn"
+    assert one(spark, X.unix_newlines(F.lit(ends)))[0] == "a\nb\nc\n\nd\n\ne\nf\ng\nh\ni\x1fj\nk\nl\nm\n\nn"
+    html = "<H2 x>T</h2><uL><Li>p<lI a>q</LI></ul><tR><tD>1</Td><TH>2</tH></tr>\r\rx\r\n\n\ny<iMg aLt='z'>"
+    assert one(spark, P.html_to_markdown(F.lit(html)))[0] == "## T\n\n- p\n- q\n\n1 | 2 |\n\nx\n\ny\n[画像: z]"
