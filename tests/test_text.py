@@ -139,3 +139,9 @@ def test_white_space_in_lines_and_tags_in_mixed_case(spark):
     assert one(spark, X.unix_newlines(F.lit(ends)))[0] == "a\nb\nc\n\nd\n\ne\nf\ng\nh\ni\x1fj\nk\nl\nm\n\nn"
     html = "<H2 x>T</h2><uL><Li>p<lI a>q</LI></ul><tR><tD>1</Td><TH>2</tH></tr>\r\rx\r\n\n\ny<iMg aLt='z'>"
     assert one(spark, P.html_to_markdown(F.lit(html)))[0] == "## T\n\n- p\n- q\n\n1 | 2 |\n\nx\n\ny\n[画像: z]"
+
+
+def test_references_that_a_semicolon_ends():
+    raw = "&quot &quot; &amp &amp; &lt;b&gt; &#65; &#x42; &#67 &notit; &copy2 &CounterClockwiseContourIntegral;"
+    assert unicode._decode_ended(raw) == '&quot " & & <b> A B &#67 &notit; &copy2 ∳'
+    assert unicode._unescape_lines("&amp;quot\n&amp;quot;", unicode._decode_ended) == '&quot\n"'

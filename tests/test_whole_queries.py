@@ -70,3 +70,15 @@ def test_best_passages_by_points_equal_the_joined_scores(spark, monkeypatch):
     want = {tuple(r) for r in E.best_evidence(E.evidence_scores(q, kids)).select("question_id", "child_id", "score").collect()}
     got = {tuple(r) for r in E.best_scored(q, kids).select("question_id", "child_id", "score").collect()}
     assert got == want and len(want) == 4
+
+
+PAGE_TEXT = "html_to_markdown clean_text page_title doc_title trim_main frontmatter heading_sections heading_sections_simple blocks merge_small parent_sections child_chunks child_rows chunk_report"
+
+
+@pytest.mark.parametrize("name", PAGE_TEXT.split())
+def test_references_cut_off_before_their_semicolon(spark, check, name):
+    cuts = ["token = &quot", "token = &quo", "a&amp;&amp", "a &copy b &middot c", "&amp;quot x &amp;quot; &ampquot;"]
+    body = "<h1>{0}</h1><p>" + "words of it " * 90 + "{0}</p><p>{0} &quot;end&quot; &copy; &middot;</p>"
+    pages = spark.createDataFrame(
+        [(i, f"u{i}", f"<html><head><title>{t}</title></head><body>{body.format(t)}</body></html>") for i, t in enumerate(cuts)], "page_id long, url string, html string")
+    assert check(name, pages=pages) == ""
